@@ -4,23 +4,91 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+from codegrove.llm import audio, chat, decontaminate, licenses, line_dedup, packing, quality, toxicity
 from codegrove.llm.common import documents
 from codegrove.llm.simhash import near_duplicates
 from codegrove.llm.substring_dedup import dedup_substrings
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op2_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings rendered from embeddings (a note per component), aligned.
+
+    A row for each recording with its class (match_class and the rest null) and a row for
+    each pair of classes that match.
+    """
+
+    def run(batches):
+        for b in batches:
+            sounds = [audio.render(e.values.to_numpy(zero_copy_only=False)) if e.is_valid else None for e in b.column("embedding")]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(sounds, pa.binary())], names=["rec_id", "audio"])
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    members, matches = audio.align(vectors.mapInArrow(run, "rec_id long, audio binary"))
+    return members.unionByName(matches.withColumnRenamed("query_class", "class_id"), allowMissingColumns=True)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    control = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], rows.schema)
+    return chat.digests(chat.format_conversations(rows.union(extra)))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir)).drop("removed")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash,
-    "op10_substring_dedup": op10_substring_dedup,
-}
-ORACLE: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_simhash,
+        op2_audio_fingerprints,
+        op3_quality,
+        op4_chat,
+        op5_licenses,
+        op6_decontamination,
+        op7_toxicity,
+        op8_packing,
+        op9_line_dedup,
+        op10_substring_dedup,
+    )
+} | {"pipeline": corpus_pipeline.run}
+
+ORACLE: dict[str, str] = {"op5_licenses": licenses.oracle_sql(), "op6_decontamination": decontaminate.ORACLE}
