@@ -1,6 +1,259 @@
-"""Registered queries over code corpora and their expected answers in SQL."""
+"""Registered queries over code corpora and catalogs, and their expected answers in SQL.
+
+The SQL side never parses source text: it computes what the generated sources must give.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from codegrove.api import Corpus
+from codegrove.operators import links, metrics, renderer, validator
+from codegrove.plans.generated import LINKED, SHAPE, linked_catalog, order_functions, part_catalog, supplier_catalog, supplier_modules
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+SHAPES = f"""WITH f AS (SELECT *, l + d + 1 + 2 * b AS sloc, d + b AS branches, CASE WHEN d > 0 THEN d WHEN b > 0 THEN 1 ELSE 0 END AS depth,
+  CASE WHEN d > 0 THEN 4 + doc + l + d WHEN b > 0 THEN 6 + doc + l ELSE 1 END AS depth_line, CASE WHEN d > 0 THEN 4 * (d + 1) WHEN b > 0 THEN 8 ELSE 0 END AS depth_col,
+  4 + doc + l + d + 2 * b AS last_line FROM (SELECT {SHAPE} FROM orders))"""
+TAGS = SHAPES + """, t AS (
+  SELECT k, 0 AS detector_ord, 'deep-nesting' AS name, depth_line AS line, depth_col AS col, 'Control flow nested ' || depth || ' levels deep. Default threshold: 4.' AS measured FROM f WHERE depth >= 4
+  UNION ALL SELECT k, 1, 'long-function', 1, 0, 'Function body has ' || sloc || ' SLOC (excluding docstring and nested-scope bodies). Default threshold: 80.' FROM f WHERE sloc >= 80
+  UNION ALL SELECT k, 2, 'god-function', 1, 0, 'Function is long AND branchy: ' || sloc || ' SLOC, ' || branches || ' branches (if/elif/for/while/except/case). Default thresholds: 200 SLOC & 15 branches.' FROM f WHERE sloc >= 200 AND branches >= 15
+  UNION ALL SELECT k, 3, 'too-many-params', 1, 0, 'Function signature has ' || p || ' parameters (excluding self/cls; *args and **kwargs count as 1 each). Default threshold: 5.' FROM f WHERE p >= 5)"""
+INDEX = ", i(entry_kind, entry_id, entry_number, entry_title, name, entry_ord) AS (VALUES " + ", ".join(
+    f"('{kind}', '{id_}', {'NULL' if number is None else number}, '{title}', '{tag}', {10 * (kind != 'dogma') + ord_})" for kind, ord_, id_, number, title, tags in LINKED for tag in tags
+) + ")"
+MODULES = """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 4 + 1 AS m FROM supplier), g AS (
+  SELECT k, 2 * i AS fn_ord, 'C' || k || '.m' || i AS qualified_name, 'method' AS kind, 'C' || k AS container, 2 + 4 * i AS lineno, 5 + 4 * i AS end_lineno, 3 AS n_params FROM s, unnest(range(m)) AS u(i)
+  UNION ALL SELECT k, 2 * i + 1, 'C' || k || '.m' || i || '.helper', 'nested', 'C' || k || '.m' || i, 3 + 4 * i, 4 + 4 * i, 0 FROM s, unnest(range(m)) AS u(i)
+  UNION ALL SELECT k, 2 * m, 'top', 'function', NULL, 2 + 4 * m, 3 + 4 * m, 1 FROM s
+  UNION ALL SELECT k, 2 * m + 1, 'top', 'function', NULL, 4 + 4 * m, 5 + 4 * m, 0 FROM s WHERE k % 3 = 0)"""
+PARTS = """WITH p AS (SELECT p_partkey AS k, p_partkey % 4 <> 0 AS dogma, CASE WHEN p_partkey % 50 = 0 THEN 'dup' || (p_partkey % 7) ELSE 'e' || p_partkey END AS id,
+  CASE WHEN p_partkey % 97 = 1 THEN 5 ELSE p_partkey END AS number FROM part)"""
+ISSUES = {
+    1: """SELECT 1 AS rule, 'error' AS severity, 'dogma:' || id AS entity, CASE WHEN k % 7 = 0 THEN 'counter_dogma ''n'' has no `attribution` (rule 1 — honesty-bug)' ELSE 'counter_dogmas[1] is not a mapping: ''text''' END AS message FROM p WHERE dogma AND k % 7 < 2""",
+    2: """SELECT 2, CASE WHEN k % 8 = 3 THEN 'warning' ELSE 'error' END, 'dogma:' || id, CASE k % 8
+  WHEN 1 THEN 'failure_cases: unknown marker ''bogus''. Allowed: [''need_cases'', ''need_data'', ''need_postmortems''] or a list of entries.'
+  WHEN 3 THEN 'failure_cases[1] is missing `title`' WHEN 4 THEN 'failure_cases: expected str marker or list, got int' ELSE 'failure_cases[0] must be a mapping with title/source_url/summary, got str' END FROM p WHERE dogma AND k % 8 IN (1, 3, 4, 5)""",
+    3: """SELECT 3, 'error', 'catalog', 'id ''' || id || ''' reused across entries: ' || string_agg(CASE WHEN dogma THEN 'dogma §' || number ELSE 'candidate' END, ', ' ORDER BY NOT dogma, k) FROM p GROUP BY id HAVING count(*) > 1""",
+    4: """SELECT 4, 'error', 'catalog', 'number §' || number || ' reused: [' || string_agg('''' || id || '''', ', ' ORDER BY k) || ']' FROM p WHERE dogma GROUP BY number HAVING count(*) > 1
+UNION ALL SELECT 4, 'error', 'catalog', 'dogma numbers are not a continuous 1..N sequence. Got [' || (SELECT string_agg(number, ', ' ORDER BY number) FROM n) || ']. Missing: ['
+  || coalesce((SELECT string_agg(x, ', ' ORDER BY x) FROM unnest(range(1, (SELECT count(*) + 1 FROM n))) AS u(x) WHERE x NOT IN (SELECT number FROM n)), '') || ']. Extra/out-of-range: ['
+  || coalesce((SELECT string_agg(number, ', ' ORDER BY number) FROM n WHERE number > (SELECT count(*) FROM n)), '') || '].'""",
+    5: """SELECT 5, 'error', 'dogma:' || id, 'v01_priority is true but status is ''stub'' — priority dogmas must be at least ''draft''.' FROM p WHERE dogma AND k % 5 = 0 AND k % 3 = 0""",
+    6: """SELECT 6, 'error', 'dogma:' || id, 'honest_verdict.status is ''final'' but these fields are empty/missing: [''break_when'', ''main_signal'']' FROM p WHERE dogma AND k % 9 = 1""",
+}
+PARTS += ", n AS (SELECT DISTINCT number FROM p WHERE dogma)"
+
+
+def _register(name: str, oracle: str) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[name], ORACLE[name] = query, oracle
+        return query
+
+    return add
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> Corpus:
+    return Corpus(order_functions(spark, sf_dir))
+
+
+def _modules(spark: SparkSession, sf_dir: str) -> Corpus:
+    return Corpus(supplier_modules(spark, sf_dir))
+
+
+def _longs(df: DataFrame) -> DataFrame:
+    """Every int column as long, as counted by the other side."""
+    return df.select(*(F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
+
+
+def _typed(sql: str, text: tuple[str, ...] = (), long: tuple[str, ...] = ()) -> str:
+    columns = ", ".join([*text, *(f"CAST({c} AS BIGINT) AS {c}" for c in long)])
+    return f"SELECT {columns} FROM ({sql})"
+
+
+@_register("q_list_functions", _typed(MODULES + " SELECT 's' || k AS path, * FROM g", ("path", "qualified_name", "kind", "container"), ("fn_ord", "lineno", "end_lineno")))
+def list_functions(spark, sf_dir):
+    return _longs(_modules(spark, sf_dir).functions().select("path", "qualified_name", "kind", "container", "fn_ord", "lineno", "end_lineno"))
+
+
+@_register("q_find_function", _typed(MODULES + " SELECT 's' || k AS path, min(fn_ord) AS fn_ord, min(lineno) AS lineno FROM g WHERE qualified_name = 'top' GROUP BY k", ("path",), ("fn_ord", "lineno")))
+def find_function(spark, sf_dir):
+    return _longs(_modules(spark, sf_dir).find("top").select("path", "fn_ord", "lineno"))
+
+
+@_register("q_kind_counts", MODULES + " SELECT kind, count(*) AS n FROM g GROUP BY kind")
+def kind_counts(spark, sf_dir):
+    return _modules(spark, sf_dir).functions().groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@_register("q_listing", """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 4 + 1 AS m FROM supplier)
+SELECT 's' || k AS path, 'Top-level functions:' || chr(10) || '- top (line ' || (2 + 4 * m) || ')' || CASE WHEN k % 3 = 0 THEN chr(10) || '- top (line ' || (4 + 4 * m) || ')' ELSE '' END
+  || chr(10) || 'Methods:' || (SELECT string_agg(chr(10) || '- C' || k || '.m' || i || ' (line ' || (2 + 4 * i) || ')', '' ORDER BY i) FROM unnest(range(m)) AS u(i))
+  || chr(10) || 'Nested functions:' || (SELECT string_agg(chr(10) || '- C' || k || '.m' || i || '.helper (line ' || (3 + 4 * i) || ')', '' ORDER BY i) FROM unnest(range(m)) AS u(i)) AS listing FROM s""")
+def listing(spark, sf_dir):
+    return _modules(spark, sf_dir).listing()
+
+
+@_register("q_params", _typed(SHAPES + " SELECT 'f' || k AS qualified_name, p AS n_params FROM f UNION ALL (" + MODULES + " SELECT qualified_name, n_params FROM g)", ("qualified_name",), ("n_params",)))
+def params(spark, sf_dir):
+    both = _orders(spark, sf_dir).functions().union(_modules(spark, sf_dir).functions())
+    return _longs(both.select("qualified_name", metrics.n_params().alias("n_params")))
+
+
+@_register("q_nesting_depth", _typed(SHAPES + " SELECT 'f' || k AS qualified_name, * FROM f", ("qualified_name",), ("depth", "depth_line", "depth_col")))
+def nesting_depth(spark, sf_dir):
+    return _longs(_orders(spark, sf_dir).metrics().select("qualified_name", F.col("max_depth").alias("depth"), "depth_line", "depth_col"))
+
+
+@_register("q_sloc", _typed(SHAPES + " SELECT 'f' || k AS qualified_name, * FROM f", ("qualified_name",), ("sloc",)))
+def sloc(spark, sf_dir):
+    return _longs(_orders(spark, sf_dir).metrics().select("qualified_name", "sloc"))
+
+
+@_register("q_branches", _typed(SHAPES + " SELECT 'f' || k AS qualified_name, * FROM f", ("qualified_name",), ("branches",)))
+def branches(spark, sf_dir):
+    return _longs(_orders(spark, sf_dir).metrics().select("qualified_name", "branches"))
+
+
+def _tag_rows(spark, sf_dir) -> DataFrame:
+    measured = F.regexp_extract("detail", "^(.*?) Source note", 1).alias("measured")
+    return _longs(_orders(spark, sf_dir).tags().select("qualified_name", "detector_ord", "name", "line", "col", measured))
+
+
+_TAG_TYPES = ("qualified_name", "name", "measured"), ("detector_ord", "line", "col")
+
+
+@_register("q_tags", _typed(TAGS + " SELECT 'f' || k AS qualified_name, * FROM t", *_TAG_TYPES))
+def tags(spark, sf_dir):
+    return _tag_rows(spark, sf_dir)
+
+
+for _query, _name in (("q_deep_nesting", "deep-nesting"), ("q_long_function", "long-function"), ("q_god_function", "god-function"), ("q_too_many_params", "too-many-params")):
+    _register(_query, _typed(TAGS + f" SELECT 'f' || k AS qualified_name, * FROM t WHERE name = '{_name}'", *_TAG_TYPES))(
+        lambda spark, sf_dir, name=_name: _tag_rows(spark, sf_dir).where(F.col("name") == name)
+    )
+
+
+@_register("q_statements", _typed(SHAPES + """, w AS (SELECT k, l + doc + d + 1 + 2 * b AS statements, l + doc + 1 + CASE WHEN b > 0 THEN 1 ELSE 0 END AS top_statements FROM f)
+  SELECT 'o' || k AS path, * FROM w""", ("path",), ("statements", "top_statements")))
+def statements(spark, sf_dir):
+    from codegrove.functions.parser import statements as rows
+
+    return rows(_orders(spark, sf_dir).parsed).groupBy("path").agg(F.count("*").alias("statements"), F.count_if("is_top").alias("top_statements"))
+
+
+@_register("q_tag_index", _typed(TAGS + INDEX + " SELECT name AS tag, * FROM i", ("tag", "entry_kind", "entry_id", "entry_title"), ("entry_number",)))
+def tag_index(spark, sf_dir):
+    return _longs(links.tag_index(linked_catalog(spark)).select("tag", "entry_kind", "entry_id", "entry_title", "entry_number"))
+
+
+def _probed(spark, sf_dir) -> DataFrame:
+    return _orders(spark, sf_dir).probe(linked_catalog(spark))
+
+
+@_register("q_links", _typed(TAGS + INDEX + " SELECT 'f' || k AS qualified_name, name AS tag_name, * EXCLUDE (name) FROM t JOIN i USING (name)", ("qualified_name", "tag_name", "entry_id", "entry_kind", "entry_title"), ("entry_number",)))
+def linked(spark, sf_dir):
+    return _longs(links.links(_probed(spark, sf_dir)).select("qualified_name", "tag_name", "entry_id", "entry_kind", "entry_title", "entry_number"))
+
+
+@_register("q_unlinked_tags", TAGS + INDEX + " SELECT 'f' || k AS qualified_name, name FROM t WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.name = t.name)")
+def unlinked(spark, sf_dir):
+    return links.unlinked_tags(_orders(spark, sf_dir).tags(), linked_catalog(spark)).select("qualified_name", "name")
+
+
+_PROBE = TAGS + INDEX + """, a AS (SELECT k, count(*) AS n_tags, string_agg(name, ',' ORDER BY detector_ord) AS tags FROM t GROUP BY k),
+  e AS (SELECT k, string_agg(entry_id, ',' ORDER BY detector_ord, entry_ord) AS links FROM t JOIN i USING (name) GROUP BY k)
+  SELECT 'f' || k AS qualified_name, 1 AS line_start, last_line AS line_end, last_line AS loc, coalesce(n_tags, 0) AS n_tags, coalesce(tags, '') AS tags, coalesce(links, '') AS links FROM f LEFT JOIN a USING (k) LEFT JOIN e USING (k)"""
+
+
+@_register("q_probe_results", _typed(_PROBE, ("qualified_name", "tags", "links"), ("line_start", "line_end", "loc", "n_tags")))
+def probe_results(spark, sf_dir):
+    names = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), ",")
+    out = _probed(spark, sf_dir).select("qualified_name", F.col("lineno").alias("line_start"), F.col("end_lineno").alias("line_end"), "loc", F.size("tags").alias("n_tags"), names("tags", "name").alias("tags"), names("links", "entry_id").alias("links"))
+    return _longs(out)
+
+
+@_register("q_probe_report", _PROBE.replace("SELECT 'f' || k AS qualified_name", ", h AS (SELECT 'f' || k AS qualified_name", 1) + """)
+SELECT qualified_name, '=== Function Probe ===' || chr(10) || 'File: o' || substr(qualified_name, 2) || chr(10) || 'Function: ' || qualified_name || ' (lines 1-' || line_end || ', ' || loc || ' total)' AS head,
+  CASE WHEN n_tags = 0 THEN 0 ELSE n_tags END AS tag_lines, CASE WHEN links = '' THEN 0 ELSE len(string_split(links, ',')) END AS link_lines, n_tags > 0 AND links = '' AS says_none FROM h""")
+def probe_report(spark, sf_dir):
+    count = lambda p: F.regexp_count("report", F.lit(p)).cast("long")
+    head = F.regexp_extract("report", r"(?s)^(=== Function Probe ===\n.*? total\))\n\n", 1)
+    return _probed(spark, sf_dir).select("qualified_name", head.alias("head"), count(r"(?m)^- \[[a-z-]+\] at line \d+, col \d+$").alias("tag_lines"), count(r"(?m)^- \[[a-z-]+\] → .*  \[[a-z-]+\]$").alias("link_lines"), F.col("report").contains("Catalog links: none").alias("says_none"))
+
+
+@_register("q_spoken_summary", TAGS + """, a AS (SELECT k, count(*) AS n, string_agg(replace(name, '-', ' '), ', ' ORDER BY detector_ord) AS said FROM t GROUP BY k)
+  SELECT 'f' || k AS qualified_name, CASE WHEN n IS NULL THEN 'No tags detected.' ELSE CASE n WHEN 1 THEN 'One tag' WHEN 2 THEN 'Two tags' WHEN 3 THEN 'Three tags' ELSE 'Four tags' END || ' found: ' || said || '.' END || ' Trust score unknown.' AS spoken FROM f LEFT JOIN a USING (k)""")
+def spoken_summary(spark, sf_dir):
+    return _probed(spark, sf_dir).select("qualified_name", "spoken")
+
+
+@_register("q_parse_errors", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def parse_errors(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sources = docs.select(F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    return Corpus(sources).errors().groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("lang")).agg(F.count("*").alias("n"))
+
+
+for _k, _sql in ISSUES.items():
+    _columns = "" if _k == 1 else "AS i(rule, severity, entity, message)"
+    _register(f"q_validate_rule{_k}", f"{PARTS} SELECT CAST(rule AS INTEGER) AS rule, severity, entity, message FROM ({_sql}) {_columns}")(
+        lambda spark, sf_dir, rule=validator.RULES[_k - 1]: rule(part_catalog(spark, sf_dir)).drop("catalog")
+    )
+
+_ALL = " UNION ALL ".join(ISSUES.values())
+
+
+@_register("q_issues_sorted", f"{PARTS}, a AS ({_ALL}) SELECT row_number() OVER (ORDER BY rule, encode(entity), encode(message)) AS rank, CAST(rule AS INTEGER) AS rule, entity, message FROM a")
+def issues_sorted(spark, sf_dir):
+    from pyspark.sql import Window
+
+    issues = validator.validate(part_catalog(spark, sf_dir))
+    # issues of one catalog: what a person reads
+    return issues.withColumn("rank", F.row_number().over(Window.partitionBy("catalog").orderBy("rule", "entity", "message")).cast("long")).select("rank", "rule", "entity", "message")
+
+
+@_register("q_issue_counts", f"{PARTS}, a AS ({_ALL}) SELECT CAST(rule AS INTEGER) AS rule, severity, count(*) AS n, severity = 'error' AS fails FROM a GROUP BY rule, severity")
+def issue_counts(spark, sf_dir):
+    issues = validator.validate(part_catalog(spark, sf_dir))
+    return issues.groupBy("rule", "severity").agg(F.count("*").alias("n"), F.bool_or(F.col("severity") == "error").alias("fails"))
+
+
+_N = "chr(10)"
+_TAGS_LINE = f"CASE WHEN k % 2 = 0 THEN {_N} || {_N} || '**Related tags:** `deep-nesting`, `x`.' ELSE '{{}}' END"
+_BLOCK = f"""WITH s AS (SELECT s_suppkey AS k, s_name, 100000 - s_suppkey AS number FROM supplier), r AS (SELECT k, number, k % 5 <> 0 AS dogma, CASE
+  WHEN k % 5 = 0 THEN '### ' || s_name || '  \\[e' || k || '\\]' || {_N} || {_N} || 'Note ' || k || {_N} || {_N} || '{renderer.TEXT['sources']}' || {_N} || {_N} || '- [Q](w)' || CASE WHEN k % 2 = 0 THEN {_TAGS_LINE} ELSE {_N} END
+  ELSE '## §' || number || '. ' || s_name || CASE WHEN k % 7 = 0 THEN ' 🎯' ELSE '' END || '  \\[' || CASE WHEN k % 3 = 0 THEN 'stub' ELSE 'filled' END || '\\]' || {_N} || {_N} || '{renderer.TEXT['definition']}Def ' || k || {_N} || {_N}
+    || CASE WHEN k % 3 = 0 THEN '{renderer.TEXT['stub']}' || CASE WHEN k % 2 = 0 THEN {_TAGS_LINE} ELSE '' END
+    ELSE '{renderer.TEXT['conditions']}' || {_N} || {_N} || '- c1' || {_N} || '- c2' || {_N} || {_N} || '**Failure cases.**' || {_N} || {_N} || CASE WHEN k % 4 = 1 THEN '- _need_data_' ELSE '- [T](u) — S' END || {_N} || {_N}
+      || '{renderer.TEXT['counter']}' || {_N} || {_N} || '- **N** — _{renderer.TEXT['no-author']}_' || {_N} || '  > H' || CASE WHEN k % 2 = 0 THEN {_TAGS_LINE} ELSE {_N} END END END AS block FROM s)"""
+
+
+@_register("q_render_block", _BLOCK + " SELECT 'e' || k AS id, block FROM r")
+def render_block(spark, sf_dir):
+    return renderer.blocks(supplier_catalog(spark, sf_dir)).select("id", "block")
+
+
+@_register("q_render_catalog", _BLOCK + f""" SELECT '{renderer.TEXT['banner']}' || {_N} || {_N} || '{renderer.TEXT['title']}' || {_N} || {_N} || '_Обновлено: 2026-01-02 — schema v1._' || {_N} || {_N} || replace('{renderer.TEXT['rules'].replace(chr(10), '~')}', '~', {_N}) || {_N} || {_N}
+  || string_agg(block, {_N} || {_N} ORDER BY number) FILTER (dogma) || {_N} || {_N} || replace('{renderer.TEXT['candidates'].replace(chr(10), '~')}', '~', {_N}) || {_N} || {_N}
+  || string_agg(block, {_N} || {_N} ORDER BY k) FILTER (NOT dogma) || {_N} || {_N} || replace('{renderer.TEXT['footer'].replace(chr(10), '~')}', '~', {_N}) || {_N} AS markdown FROM r""")
+def render_catalog(spark, sf_dir):
+    return renderer.render(supplier_catalog(spark, sf_dir), "2026-01-02").select("markdown")
+
+
+@_register("q_drift", _BLOCK + f""" SELECT side, line_no, line FROM (SELECT 'rendered' AS side, 2 AS line_no, '{renderer.TEXT['title']}' AS line UNION ALL SELECT 'written', 2, '# Changed')""")
+def drift(spark, sf_dir):
+    text = renderer.render(supplier_catalog(spark, sf_dir)).select(F.col("markdown").alias("text"))
+    return renderer.drift(text, text.select(F.replace("text", F.lit(renderer.TEXT["title"]), F.lit("# Changed")).alias("text")))
+
+
+@_register("q_rule_list", """SELECT CASE WHEN s_suppkey % 5 = 0 THEN '- ' || s_name || '  [e' || s_suppkey || ']'
+  ELSE '§' || (100000 - s_suppkey) || '. ' || s_name || ' [filled]' || CASE WHEN s_suppkey % 7 = 0 THEN ' 🎯' ELSE '' END END AS line FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 3 <> 0""")
+def rule_list(spark, sf_dir):
+    return renderer.rule_list(supplier_catalog(spark, sf_dir), stubs=False, candidates=True).select("line")
