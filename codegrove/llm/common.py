@@ -23,11 +23,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codegrove-{label}-{uuid.uuid4().hex}"
+    _free(spark)
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # the job's shuffle files go as soon as nothing on the driver refers to them
+    _free(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _free(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go as soon as the driver's collector finds nothing that refers to them."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a DataFrame that materialize returned and nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -4,42 +4,46 @@ Lines are sets of lower-case words. A line goes when an earlier line (by doc_id,
 number) has a Jaccard similarity of `threshold` or more with it; blank lines stay. Later
 lines are judged against all earlier lines, whether or not those stay.
 
-1. Word counts over all documents order the words by rarity. They are kept in a fixed
-   number of hashed counters; any order is exact, a good one keeps groups small.
+1. Word counts over all documents order the words by rarity, in steps of a twelfth of a
+   doubling. They are kept in a fixed number of hashed counters; any order is exact, a good
+   one keeps groups small.
 2. Lines with equal word sets are one class, known by two 64-bit sums over word hashes;
    every line but the first of a class goes.
 3. Each class puts its rarest words, the prefix that two similar sets must share one of,
-   into an index. Members of one index entry meet in rounds: round k pairs each class with
-   the earliest 4 ** k members, then pairs that pass the length and positional filters are
-   verified by Jaccard, and a class with a match leaves. So a line with many near copies
-   meets few of them, and no entry forms all its pairs.
+   into an index, with a 128-bit bitmap of its words. Members of an index entry meet,
+   earliest first; a pair passes the length and positional filters and the bound that the
+   bitmaps put on the overlap; a class that has PARTNERS partners is not compared on.
+   Entries of words counted more than GROUP times are never gathered: they meet in rounds,
+   round k with the earliest 16 ** k members, taken by partial aggregation.
+4. Partners are verified by Jaccard on the word sets. A class none of whose partners holds,
+   and which was not compared with all candidates, is compared with the rest of them.
 """
 
 from __future__ import annotations
 
-import hashlib
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from codegrove.llm.common import materialize
+from codegrove.llm.common import discard, materialize
 
 THRESHOLD = 0.8
 #: Counters for word frequencies, whatever the vocabulary.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
+#: Words counted more often are joined in rounds.
+GROUP = 4096
+STEPS = 12
+#: So many partners of a class are taken from an index entry before comparison stops.
+PARTNERS = 8
 KEY = ["k1", "k2"]
 ORDER = ["doc_id", "line", "rk"]
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < 1 << 18:
-            self[word] = h
-        return h
+#: What an entry knows of its class; (doc_id, line, tag) tells and orders classes. The tag, half of k1, only matters for rows that share a doc_id.
+MEMBER = ["doc_id", "line", "tag", "n", "at", "b1", "b2"]
+#: Tables of classes up to so many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def _line_words(text: str | None) -> list[list[bytes]]:
@@ -51,140 +55,225 @@ def _mix(h: np.ndarray, by: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _sets(lines: list[list[bytes]], cache: dict, counts: np.ndarray | None = None):
-    """Distinct word hashes of many lines: (line index, hash), sorted by line, then rarity."""
+def _sets(lines: list[list[bytes]], levels: np.ndarray | None = None):
+    """Distinct word hashes of many lines: (line index, hash, rarity), sorted by line, then rarity, then hash."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = np.fromiter((cache[w] for words in lines for w in words), np.uint64, int(sizes.sum()))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lines)), np.uint64, int(sizes.sum()))
     line = np.repeat(np.arange(len(lines)), sizes)
-    rarity = counts[(h % np.uint64(len(counts))).astype(np.int64)] if counts is not None else np.zeros(len(h), np.int64)
-    order = np.lexsort((h, rarity, line))
-    line, h = line[order], h[order]
+    level = levels[(h % np.uint64(len(levels))).astype(np.int64)] if levels is not None else np.zeros(len(h), np.uint16)
+    packed = (line.astype(np.uint64) << np.uint64(42)) | (level.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
+    order = np.argsort(packed)
+    p, x = packed[order], h[order]
+    if len(lines) >= 1 << 22 or ((p[1:] == p[:-1]) & (x[1:] != x[:-1])).any():  # hashes that agree in their upper half
+        order = np.lexsort((h, level, line))
+    line, h, level = line[order], h[order], level[order]
     new = np.r_[True, (line[1:] != line[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
-    return line[new], h[new]
+    return line[new], h[new], level[new]
 
 
-def word_counts(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
-    """How often the words of each counter occur in docs; the array's size is fixed."""
+def word_levels(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
+    """How often the words of each counter occur in docs, as STEPS * log2(n), rounded; the array's size is fixed."""
 
     def run(batches):
-        total, cache = np.zeros(counters, np.int64), _Hashes()
+        total = np.zeros(counters, np.int64)
         for b in batches:
             for text in b.column("text"):
                 words = (text.as_py() or "").encode().lower().split()
-                h = np.fromiter((cache[w] for w in words), np.uint64, len(words))
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
                 np.add.at(total, (h % np.uint64(counters)).astype(np.int64), 1)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["counter", "n"])
+        for i in range(0, len(at), 1 << 18):
+            part = at[i : i + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["counter", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(counters, np.int64)
-    out[rows["counter"].to_numpy()] = rows["n"].to_numpy()
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+    rows = docs.select("text").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    rows = rows.select("counter", F.round(F.log2("n") * STEPS).cast("short").alias("level")).toArrow()  # at most `counters` rows
+    out = np.zeros(counters, np.uint16)
+    out[rows["counter"].to_numpy()] = rows["level"].to_numpy()
+    return out
 
 
-def _classes(docs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, rk, line, k1, k2, n, prefix) for each line that has words."""
-    counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs))  # COUNTERS numbers of four bytes
+def _classes(docs: DataFrame, threshold: float, group: int) -> DataFrame:
+    """(doc_id, rk, line, k1, k2, n, b1, b2, prefix, hot) for each line that has words; hot: number of words at the prefix's end that are common."""
+    levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))  # COUNTERS numbers of two bytes
+    common = STEPS * np.log2(group) if group else -1
 
     def run(batches):
-        cache = _Hashes()
         for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+            for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
                 texts = [_line_words(t.as_py()) for t in part.column("text")]
                 doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-                number = np.concatenate([np.arange(len(t)) for t in texts]) if texts else np.zeros(0, np.int64)
-                line, h = _sets([words for t in texts for words in t], cache, counts.value)
+                number = np.concatenate([np.arange(len(t)) for t in texts])
+                line, h, level = _sets([words for t in texts for words in t], levels.value)
                 if not len(line):
                     continue
                 start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
                 n = np.diff(np.r_[start, len(line)])
                 k1, k2 = (np.add.reduceat(_mix(h, by), start).view(np.int64) for by in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+                bit = np.uint64(1) << (h & np.uint64(63))
+                upper = (h >> np.uint64(6)) & np.uint64(1) == 1
+                b1, b2 = (np.bitwise_or.reduceat(np.where(keep, bit, np.uint64(0)), start).view(np.int64) for keep in (upper, ~upper))
                 prefix = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+                prefix[n / (n + 1) < threshold - 1e-9] = 0  # so short that only equal sets are similar
                 inside = np.arange(len(line)) - np.repeat(start, n) < np.repeat(prefix, n)
+                hot = np.add.reduceat(inside & (level > common), start)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(h[inside].view(np.int64)))
                 at = line[start]
                 take = pa.array(doc[at])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(take), part.column("rk").take(take), pa.array(number[at].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n.astype(np.int32)), lists],
-                    names=["doc_id", "rk", "line", "k1", "k2", "n", "prefix"],
-                )
-
-    return docs.mapInArrow(run, "doc_id long, rk long, line int, k1 long, k2 long, n int, prefix array<bigint>")
-
-
-def _word_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(k1, k2, words) of the classes in needed, read from the first line of each."""
-    lines = needed.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("line", *KEY)).alias("lines"))
+                numbers = [pa.array(number[at].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n.astype(np.int32)), pa.array(b1), pa.array(b2), lists, pa.array(hot.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("rk").take(take), *numbers], names=["doc_id", "rk", "line", "k1", "k2", "n", "b1", "b2", "prefix", "hot"])
+
+    return docs.mapInArrow(run, "doc_id long, rk long, line int, k1 long, k2 long, n int, b1 long, b2 long, prefix array<bigint>, hot int")
+
+
+def _meet(entries: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a class and its earliest partners in each index entry; more: there may be others. All members of an entry are in memory; callers bound their number."""
+    names = ["word", *MEMBER]
+
+    def partners(c: dict[str, np.ndarray]):
+        word = c["word"]
+        start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        head = np.repeat(start, np.diff(np.r_[start, len(word)]))
+        n, at, b1, b2 = c["n"].astype(np.int64), c["at"].astype(np.int64), c["b1"].view(np.uint64), c["b2"].view(np.uint64)
+        mine, theirs = [], []
+        rows, j, had = np.arange(len(word)), 0, np.zeros(len(word), np.int32)
+        while True:
+            rows = rows[head[rows] + j < rows]
+            if not len(rows):
+                break
+            a = head[rows] + j
+            both, small = n[rows] + n[a], np.minimum(n[rows], n[a])
+            apart = np.bitwise_count(b1[rows] ^ b1[a]).astype(np.int64) + np.bitwise_count(b2[rows] ^ b2[a])
+            need = np.ceil(both * (threshold / (1 + threshold)) - 1e-9)
+            ok = (small >= np.maximum(n[rows], n[a]) * threshold - 1e-9) & (np.minimum(n[rows] - at[rows], n[a] - at[a]) >= need) & (both - apart >= 2 * need)
+            mine.append(rows[ok])
+            theirs.append(a[ok])
+            had[rows[ok]] += 1
+            rows, j = rows[had[rows] < PARTNERS], j + 1
+        mine, theirs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (mine, theirs))
+        cols = [c[k][i] for i in (mine, theirs) for k in ("doc_id", "line", "tag")]
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), pa.array(had[mine] >= PARTNERS)], names=[*PAIR, "more"])
 
     def run(batches):
-        cache = _Hashes()
+        kept: list[list[np.ndarray]] = []
         for b in batches:
-            for text, wanted in zip(b.column("text"), b.column("lines").to_pylist()):
-                wanted = list({(w["k1"], w["k2"]): w for w in wanted}.values())
-                lines = _line_words(text.as_py())
-                line, h = _sets([lines[w["line"]] for w in wanted], cache)
-                ends = np.searchsorted(line, np.arange(len(wanted) + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([w["k1"] for w in wanted]), pa.array([w["k2"] for w in wanted]), lists], names=["k1", "k2", "words"])
-
-    return docs.join(lines, ["doc_id", "rk"]).select("text", "lines").mapInArrow(run, "k1 long, k2 long, words array<bigint>").dropDuplicates(KEY)
+            cols = [b.column(k).to_numpy() for k in names]
+            if not len(cols[0]):
+                continue
+            kept.append(cols)
+            if kept[0][0][0] == cols[0][-1]:
+                continue
+            cols = [np.concatenate(x) for x in zip(*kept)]
+            last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1
+            yield partners({k: x[:last] for k, x in zip(names, cols)})
+            kept = [[x[last:] for x in cols]]
+        if kept:
+            yield partners(dict(zip(names, (np.concatenate(x) for x in zip(*kept)))))
+
+    ordered = entries.select(*names).repartition("word").sortWithinPartitions("word", "doc_id", "line", "tag")
+    return ordered.mapInArrow(run, "doc_id long, line int, tag int, a_doc_id long, a_line int, a_tag int, more boolean")
 
 
 def _prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select(*(F.col(c).alias(p + c) for c in df.columns))
 
 
-def _similar(docs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
-    """Classes (k1, k2) that are similar to a class whose first line is earlier."""
-    entries = firsts.select(*KEY, *ORDER, "n", F.posexplode("prefix").alias("at", "word"))
-    first = F.struct(*ORDER, *KEY, "n", "at")
-    shared = entries.groupBy("word").agg(F.min(first).alias("head"), F.count("*").alias("members")).where("members > 1")
-    entries = materialize(entries.join(shared.select("word", "members"), "word"), "entries")
-
-    def pairs(heads: DataFrame, later: DataFrame) -> DataFrame:
-        both = later.join(_prefixed(heads, "a_"), F.col("word") == F.col("a_word"))
-        small, large = F.least("n", "a_n"), F.greatest("n", "a_n")
-        # the first word that two sets share also pairs them, and of it this bound holds
-        room = F.least(F.col("n") - F.col("at"), F.col("a_n") - F.col("a_at"))
-        need = F.ceil((F.col("n") + F.col("a_n")) * (threshold / (1 + threshold)) - 1e-9)
-        return both.where(F.struct(*("a_" + c for c in ORDER)) < F.struct(*ORDER)).where((small >= large * threshold - 1e-9) & (room >= need)).select(*KEY, "a_k1", "a_k2").distinct()
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        candidates = materialize(candidates, "candidates")
-        keys = candidates.select(*KEY).union(candidates.select("a_k1", "a_k2")).distinct()
-        sets = materialize(_word_sets(docs, firsts.join(keys, KEY, "left_semi").select(*ORDER, *KEY)), "word-sets")
-        both = candidates.join(sets, KEY).join(_prefixed(sets, "a_"), ["a_k1", "a_k2"])
-        shared = F.size(F.array_intersect("words", "a_words"))
-        return materialize(both.where(shared >= (F.size("words") + F.size("a_words") - shared) * threshold - 1e-9).select(*KEY).distinct(), "similar")
+PAIR = ["doc_id", "line", "tag", "a_doc_id", "a_line", "a_tag"]
+MINE, THEIRS = PAIR[:3], PAIR[3:]
+
 
+def _pairs(later: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
+    """The same filters as _meet, as a join of entries on their word."""
+    both = later.join(_prefixed(earlier, "a_"), F.col("word") == F.col("a_word")).where(F.struct(*THEIRS) < F.struct(*MINE))
+    need = F.ceil((F.col("n") + F.col("a_n")) * (threshold / (1 + threshold)) - 1e-9)
+    apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("a_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("a_b2")))
+    ok = F.least("n", "a_n") >= F.greatest("n", "a_n") * threshold - 1e-9
+    ok &= (F.least(F.col("n") - F.col("at"), F.col("a_n") - F.col("a_at")) >= need) & (F.col("n") + F.col("a_n") - apart >= 2 * need)
+    return both.where(ok).select(*PAIR)
+
+
+def _rounds(entries: DataFrame, threshold: float) -> DataFrame | None:
+    """_meet for entries of common words: no entry is gathered anywhere. None if there are no entries."""
+    entries = materialize(entries, "common")
     found, low, high = None, 0, 1
-    while True:
-        crowded = entries.where(F.col("members") > max(1, low))
-        if low and crowded.isEmpty():
-            return found
+    while not entries.isEmpty():
         if low:
-            rank = F.row_number().over(Window.partitionBy("word").orderBy(*ORDER))
-            heads = crowded.withColumn("rank", rank).where(F.col("rank") <= high).where(F.col("rank") > low).drop("rank", "members")
-            later = crowded.join(found, KEY, "left_anti")
+            rank = F.row_number().over(Window.partitionBy("word").orderBy(*MINE))
+            heads = entries.withColumn("rank", rank).where(F.col("rank") <= high).where(F.col("rank") > low).drop("rank")
         else:
-            heads, later = shared.select("word", "head.*"), entries
-        now = verified(pairs(heads, later))
+            heads = entries.groupBy("word").agg(F.min(F.struct(*MEMBER)).alias("m")).select("word", "m.*")
+        heads = materialize(heads, "heads")
+        if heads.isEmpty():
+            break
+        later = entries if found is None else entries.join(found.select(*MINE), MINE, "left_anti")
+        now = materialize(_pairs(later, heads, threshold).distinct(), "partners")
         found = now if found is None else found.union(now)
-        low, high = high, high * 4
+        low, high = high, high * 16
+    return found
 
 
-def find_repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _word_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(doc_id, line, tag, words) of the classes in needed (doc_id, line, tag, rk), read from the first line of each."""
+    lines = materialize(needed.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("line", "tag")).alias("lines")), "wanted")
+
+    def run(batches):
+        for b in batches:
+            for doc, text, wanted in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("lines").to_pylist()):
+                lines = _line_words(text.as_py())
+                line, h, _ = _sets([lines[w["line"]] for w in wanted])
+                ends = np.searchsorted(line, np.arange(len(wanted) + 1)).astype(np.int32)
+                cols = [pa.array([doc] * len(wanted), pa.int64()), pa.array([w["line"] for w in wanted], pa.int32()), pa.array([w["tag"] for w in wanted], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["doc_id", "line", "tag", "words"])
+
+    found = docs.join(lines, ["doc_id", "rk"]).select("doc_id", "text", "lines").mapInArrow(run, "doc_id long, line int, tag int, words array<bigint>")
+    return found.dropDuplicates(MINE)
+
+
+def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Classes (doc_id, line, tag) with a pair whose word sets are similar."""
+    needed = pairs.select(*MINE).union(pairs.select(*THEIRS)).distinct()
+    sets = materialize(_word_sets(docs, firsts.join(needed, MINE, "left_semi").select(*MINE, "rk")), "word-sets")
+    both = pairs.join(sets, MINE).join(_prefixed(sets, "a_"), THEIRS)
+    shared = F.size(F.array_intersect("words", "a_words"))
+    return materialize(both.where(shared >= (F.size("words") + F.size("a_words") - shared) * threshold - 1e-9).select(*MINE).distinct(), "similar")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _similar(docs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
+    """Classes (doc_id, line, tag) that are similar to a class whose first line is earlier."""
+    entries = firsts.select("doc_id", "line", "tag", "n", "b1", "b2", (F.size("prefix") - F.col("hot")).alias("cold"), F.posexplode("prefix").alias("at", "word"))
+    pairs = _meet(entries.where("at < cold"), threshold)
+    common = _rounds(entries.where("at >= cold").select("word", *MEMBER), threshold)
+    if common is not None:
+        pairs = pairs.union(common.withColumn("more", F.lit(True)))
+    pairs = materialize(pairs.groupBy(*PAIR).agg(F.max("more").alias("more")), "pairs")
+    found = _verified(docs, firsts, pairs, threshold)
+    failed = materialize(pairs.where("more").select(*MINE).distinct().join(found, MINE, "left_anti"), "failed")
+    if failed.isEmpty():
+        return found
+    again = materialize(entries.join(_small(failed), MINE, "left_semi").select("word", *MEMBER), "again")
+    others = entries.join(_small(again.select("word").distinct()), "word", "left_semi").select("word", *MEMBER)
+    rest = _pairs(again, others, threshold).distinct().join(pairs, PAIR, "left_anti")
+    return found.union(_verified(docs, firsts, materialize(rest, "rest"), threshold))
+
+
+def find_repeats(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """(doc_id, rk, lines): numbers of the lines to remove, for each document that loses lines. docs: doc_id, rk, text."""
-    lines = materialize(_classes(docs.where("doc_id is not null"), threshold), "lines")
-    first = F.min(F.struct(*ORDER, "n", "prefix")).alias("f")
-    firsts = materialize(lines.groupBy(*KEY).agg(first).select(*KEY, "f.*"), "firsts")
-    similar = _similar(docs, firsts, threshold)
-    stay = materialize(firsts.join(similar, KEY, "left_anti").select(*KEY, *ORDER), "stay")
-    gone = lines.select(*ORDER).join(stay.select(*ORDER), ORDER, "left_anti")
+    lines = materialize(_classes(docs.where("doc_id is not null"), threshold, group), "lines")
+    first = F.min(F.struct(*ORDER, "n", "b1", "b2", "prefix", "hot")).alias("f")
+    firsts = materialize(lines.groupBy(*KEY).agg(first).select(*KEY, "f.*", F.col("k1").bitwiseAND(0x7FFFFFFF).cast("int").alias("tag")), "firsts")
+    places = materialize(lines.select(*ORDER), "places")
+    discard(lines)
+    stay = materialize(firsts.join(_similar(docs, firsts, threshold), MINE, "left_anti").select(*ORDER), "stay")
+    discard(firsts)
+    gone = places.join(stay, ORDER, "left_anti")
     return gone.groupBy("doc_id", "rk").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """docs with repeated lines removed from text, and the columns n_lines and n_removed (replacing any of these names).
 
     Null and empty texts have one blank line and stay as they are; blank lines stay. Rows
@@ -195,7 +284,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("rk"), F.col("text").cast("string").alias("text"))
-    repeats = find_repeats(inner, threshold).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), F.col("lines").alias("__gone"))
+    repeats = find_repeats(inner, threshold, group).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), F.col("lines").alias("__gone"))
     joined = docs.withColumn("__key", key).join(repeats, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__rk")), "left")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")

@@ -21,8 +21,8 @@ def brute_lines(docs, threshold=0.8):
     return gone
 
 
-@pytest.mark.parametrize("threshold", [0.8, 0.5])
-def test_line_dedup_matches_brute_force(spark, threshold):
+@pytest.mark.parametrize("threshold, group", [(0.8, 4096), (0.5, 4096), (0.8, 0), (0.5, 20)])
+def test_line_dedup_matches_brute_force(spark, threshold, group):
     rng = random.Random(11)
     pool = [f"w{i}" for i in range(60)]
     base = [[rng.choice(pool) for _ in range(rng.randint(1, 14))] for _ in range(25)]
@@ -37,7 +37,7 @@ def test_line_dedup_matches_brute_force(spark, threshold):
         docs.append((d * 2, "\n".join(out)))
     docs += [(900, None), (901, ""), (902, "\n\n \n"), (903, "É b c\né b c"), (None, docs[5][1])]
     frame = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], SCHEMA).repartition(4)
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame, threshold).collect()}
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame, threshold, group).collect()}
     gone = brute_lines(docs, threshold)
     assert len(got) == len(docs) and sum(map(len, gone.values())) > 30
     for d, t in docs:
