@@ -24,8 +24,8 @@ from codegrove.llm.common import connected_components, materialize
 
 #: Width of the three blocks of a 64-bit fingerprint.
 BLOCKS = (22, 21, 21)
-NODE_LIMIT = 2048
-_FRONTIER = 1 << 22
+NODE_LIMIT = 1024
+_FRONTIER = 1 << 20
 
 
 def simhash(text: str | None, shingle_words: int = 3) -> int:
@@ -77,7 +77,7 @@ def trie_pairs(codes: np.ndarray, left: np.ndarray, right: np.ndarray, depth: in
             alo, ahi, blo, bhi, acc = alo[rest], ahi[rest], blo[rest], bhi[rest], acc[rest]
         if not len(alo):
             break
-        ones = np.concatenate(([0], np.cumsum((codes >> np.uint64(63 - level)) & np.uint64(1)))).astype(np.int64)
+        ones = np.concatenate(([0], np.cumsum((codes >> np.uint64(63 - level)) & np.uint64(1)))).astype(np.int32)
         amid, bmid = ahi - (ones[ahi] - ones[alo]), bhi - (ones[bhi] - ones[blo])
         parts = []
         for x0, x1, y0, y1, step, mirrored in ((alo, amid, blo, bmid, 0, False), (amid, ahi, bmid, bhi, 0, False), (alo, amid, bmid, bhi, 1, False), (amid, ahi, blo, bmid, 1, True)):
@@ -127,8 +127,8 @@ def _links(task: np.ndarray, side: np.ndarray, codes: np.ndarray, node: np.ndarr
         k += 1 + same
     if not left:
         return
-    left, right = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
-    size = np.cumsum((left[:, 1] - left[:, 0]) * (right[:, 1] - right[:, 0]))
+    left, right = np.array(left, dtype=np.int32), np.array(right, dtype=np.int32)
+    size = np.cumsum((left[:, 1] - left[:, 0]).astype(np.int64) * (right[:, 1] - right[:, 0]))
     for group in np.split(np.arange(len(left)), np.flatnonzero(np.diff(size // _FRONTIER)) + 1):
         a, b = trie_pairs(codes, left[group], right[group], depth, budget)
         if len(a):

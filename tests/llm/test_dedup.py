@@ -57,7 +57,7 @@ def test_trie_pairs_match_brute_force():
     assert {tuple(p) for p in zip(*(x.tolist() for x in halves))} == {p for p in got if p[0] < 100 <= p[1]}
 
 
-@pytest.mark.parametrize("limit", [2048, 7])
+@pytest.mark.parametrize("limit", [1024, 7])
 def test_links_connect_what_brute_force_connects(spark, limit):
     rng = random.Random(2)
     codes = {rng.getrandbits(64) for _ in range(60)}
