@@ -82,14 +82,15 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        sp, su = sigmoid(positive @ w[:-1] + w[-1]), sigmoid(unlabelled @ w[:-1] + w[-1])
+        narrow = w[:-1].astype(positive.dtype)  # products of one type: the matrices are not copied
+        sp, su = (sigmoid((x @ narrow).astype(np.float64) + w[-1]) for x in (positive, unlabelled))
         negative = np.logaddexp(0, np.log(su / (1 - su))).mean() - prior * np.logaddexp(0, np.log(sp / (1 - sp))).mean()
         up, down = prior * (sp - 1) / len(sp), (-prior * sp / len(sp), su / len(su))
         if negative >= 0:
             gp, gu = up + down[0], down[1]
         else:  # the estimate of the negative risk fell below zero: step back from it
             gp, gu = -down[0], -down[1]
-        g = np.r_[positive.T @ gp + unlabelled.T @ gu + decay * w[:-1], gp.sum() + gu.sum()]
+        g = np.r_[gp.astype(positive.dtype) @ positive + gu.astype(unlabelled.dtype) @ unlabelled + decay * w[:-1], gp.sum() + gu.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (1 - (t - 1) / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
