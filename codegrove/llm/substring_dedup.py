@@ -13,7 +13,7 @@ fall into blocks of one anchor wherever they stand, and equal passages are cut a
    `window_words` words that begin or end there.
 3. Words covered by a factor are removed.
 
-Blocks and windows are known by two independent 64-bit polynomial hashes over XXH64 word
+Blocks and windows are known by two independent 64-bit polynomial hashes over XXH3 word
 hashes. The index keeps one row for each distinct block, so a passage that a third of all
 documents holds costs one row, and all grouping is by hash with partial aggregation.
 """
@@ -35,19 +35,11 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < 1 << 18:
-            self[word] = h
-        return h
-
-
 class Rolling:
     """Hashes of word ranges of one document."""
 
-    def __init__(self, words: list[bytes], cache: dict):
-        h = np.fromiter((cache[w] for w in words), dtype=np.uint64, count=len(words))
+    def __init__(self, words: list[bytes]):
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
         self.sums, self.down = [], []
         for base, seed in zip(BASES, (0, 0x165667B19E3779F9)):
             up = np.full(len(h) + 1, base, dtype=np.uint64)
@@ -80,13 +72,13 @@ def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def parse(words: list[bytes], window: int, cache: dict) -> dict[str, np.ndarray] | None:
+def parse(words: list[bytes], window: int) -> dict[str, np.ndarray] | None:
     """Blocks of one document: first window, number of windows, anchor, two hashes."""
     n = len(words) - window + 1
     if n <= 0:
         return None
     k = min(ANCHOR_WORDS, window)
-    roll = Rolling(words, cache)
+    roll = Rolling(words)
     start = np.arange(len(words) - k + 1)
     gram = roll(0, start, start + k)
     at = sliding_argmin(gram, window - k + 1)
@@ -99,11 +91,10 @@ def parse(words: list[bytes], window: int, cache: dict) -> dict[str, np.ndarray]
 
 def _blocks(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
-        cache = _Words()
         for b in batches:
             words = [(t.as_py() or "").encode().split() for t in b.column("text")]
             whole = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
-            rows = [parse(w, window, cache) if d.is_valid else None for d, w in zip(b.column("doc_id"), words)]
+            rows = [parse(w, window) if d.is_valid else None for d, w in zip(b.column("doc_id"), words)]
             ends = pa.array(np.cumsum([0] + [len(r["first"]) if r else 0 for r in rows]).astype(np.int32))
             lists = [
                 pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64)] + [r[k].view(np.int64) for r in rows if r])))
@@ -122,11 +113,10 @@ def _windows(opened: DataFrame, window: int) -> DataFrame:
     """(doc_id, rk, first, w1, w2) for each window of the opened blocks."""
 
     def run(batches):
-        cache = _Words()
         for b in batches:
             for doc, rk, text, spans in zip(b.column("doc_id").to_pylist(), b.column("rk").to_pylist(), b.column("text"), b.column("spans").to_pylist()):
                 at = np.unique(np.concatenate([np.arange(s["first"], s["first"] + s["count"]) for s in spans]))
-                roll = Rolling(text.as_py().encode().split(), cache)
+                roll = Rolling(text.as_py().encode().split())
                 keys = [pa.array(roll(k, at, at + window).view(np.int64)) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(at), doc)), pa.array(np.full(len(at), rk)), pa.array(at), *keys], names=["doc_id", "rk", "first", "w1", "w2"]
