@@ -30,7 +30,7 @@ def op2_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
             sounds = [audio.render(e.values.to_numpy(zero_copy_only=False)) if e.is_valid else None for e in b.column("embedding")]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(sounds, pa.binary())], names=["rec_id", "audio"])
 
