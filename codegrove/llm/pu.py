@@ -75,7 +75,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS, decay: float = 1e-5, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS, decay: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk (Adam, full batches)."""
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     w = np.zeros(positive.shape[1] + 1)
@@ -101,8 +101,8 @@ def remainder(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, sample: int = SAMPLE, prior: float | None = None) -> Model:
-    """Learn from the rows of labels and docs whose remainder is not held. Null ids and labels are skipped; of several labels of a document the highest counts."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, sample: int = SAMPLE, prior: float | None = None, strength: float = 1.0) -> Model:
+    """Learn from the rows of labels and docs whose remainder is not held. Null ids and labels are skipped; of several labels of a document the highest counts. strength: weight decay times the number of positives."""
     ids = F.col("doc_id")
     known = labels.select(ids.cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(ids.isNotNull() & F.col(label).isNotNull() & (remainder(ids, folds) != held))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, s
     x = np.zeros((len(roles), len(edges) * BINS + len(words)), dtype=np.float32)
     for i, (s, w) in enumerate(zip(stats, rows["words"].to_pylist())):
         x[i, model.columns(s, w)] = 1
-    model.weights, model.bias = minimise(x[roles == 1], x[roles == 0], prior)
+    model.weights, model.bias = minimise(x[roles == 1], x[roles == 0], prior, decay=strength / sizes[1])
     return model
 
 
@@ -157,13 +157,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.drop("score").mapInArrow(run, fields.add("score", "double"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, threshold: float = 0.3, sample: int = SAMPLE, strength: float = 1.0) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs.
 
     Null texts count as empty and are scored like any text; rows with a null or repeated
     doc_id are scored each by its own text. Without a positive to learn from, every score
     is 0. An empty table gives an empty result; columns besides doc_id and text are not read.
     """
-    model = fit(docs, labels, label, folds, held, sample)
+    model = fit(docs, labels, label, folds, held, sample, strength=strength)
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
     return scored.select("doc_id", (remainder(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

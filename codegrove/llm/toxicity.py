@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from codegrove.llm import pu
 
+#: Weight decay times the number of positives, chosen on rows inside the learning fold.
+STRENGTH = 0.25
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = pu.SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted): the chance that labels.toxic is 1. Cases of nulls and ties: pu.classify."""
-    return pu.classify(docs, labels, "toxic", FOLDS, HELD, THRESHOLD, sample)
+    return pu.classify(docs, labels, "toxic", FOLDS, HELD, THRESHOLD, sample, STRENGTH)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = pu.SAMPLE) -> DataFrame:
     """The rows of docs, all columns unchanged, whose text is not predicted toxic."""
-    model = pu.fit(docs, labels, "toxic", FOLDS, HELD, sample)
+    model = pu.fit(docs, labels, "toxic", FOLDS, HELD, sample, strength=STRENGTH)
     name = "score" if "score" not in docs.columns else "_toxicity"
     rows = docs.withColumnRenamed("score", "_kept_score") if name == "_toxicity" else docs
     kept = pu.score(rows, model).where(F.col("score") < THRESHOLD).drop("score")
