@@ -10,7 +10,8 @@ lines are judged against all earlier lines, whether or not those stay.
 2. Lines with equal word sets are one class, known by two 64-bit sums over word hashes;
    every line but the first of a class goes.
 3. Each class puts its rarest words, the prefix that two similar sets must share one of,
-   into an index, with a 128-bit bitmap of its words. Members of an index entry meet,
+   into an index, with a 128-bit bitmap of its words; a word that occurs once in all
+   documents is left out, as nobody else has it. Members of an index entry meet,
    earliest first; a pair passes the length and positional filters and the bound that the
    bitmaps put on the overlap; a class that has PARTNERS partners is not compared on.
    Entries of words counted more than GROUP times are never gathered: they meet in rounds,
@@ -42,6 +43,8 @@ KEY = ["k1", "k2"]
 ORDER = ["doc_id", "line", "rk"]
 #: What an entry knows of its class; (doc_id, line, tag) tells and orders classes. The tag, half of k1, only matters for rows that share a doc_id.
 MEMBER = ["doc_id", "line", "tag", "n", "at", "b1", "b2"]
+#: Two numbers of so many bits are packed into one long where entries are exchanged.
+HALF = 31
 #: Tables of classes up to so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -94,7 +97,10 @@ def word_levels(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, threshold: float, group: int) -> DataFrame:
-    """(doc_id, rk, line, k1, k2, n, b1, b2, prefix, hot) for each line that has words; hot: number of words at the prefix's end that are common."""
+    """(doc_id, rk, line, k1, k2, n, b1, b2, prefix, lone, hot) for each line that has words.
+
+    lone: number of words before the prefix that occur once in all documents; hot: number of words at its end that are common.
+    """
     levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))  # COUNTERS numbers of two bytes
     common = STEPS * np.log2(group) if group else -1
 
@@ -116,25 +122,28 @@ def _classes(docs: DataFrame, threshold: float, group: int) -> DataFrame:
                 prefix = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
                 prefix[n / (n + 1) < threshold - 1e-9] = 0  # so short that only equal sets are similar
                 inside = np.arange(len(line)) - np.repeat(start, n) < np.repeat(prefix, n)
+                lone = np.add.reduceat(inside & (level == 0), start)  # the rarest, so they come first
+                inside &= level > 0
                 hot = np.add.reduceat(inside & (level > common), start)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(h[inside].view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix - lone)].astype(np.int32)), pa.array(h[inside].view(np.int64)))
                 at = line[start]
                 take = pa.array(doc[at])
-                numbers = [pa.array(number[at].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n.astype(np.int32)), pa.array(b1), pa.array(b2), lists, pa.array(hot.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("rk").take(take), *numbers], names=["doc_id", "rk", "line", "k1", "k2", "n", "b1", "b2", "prefix", "hot"])
+                numbers = [pa.array(number[at].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n.astype(np.int32)), pa.array(b1), pa.array(b2), lists, pa.array(lone.astype(np.int32)), pa.array(hot.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("rk").take(take), *numbers], names=["doc_id", "rk", "line", "k1", "k2", "n", "b1", "b2", "prefix", "lone", "hot"])
 
-    return docs.mapInArrow(run, "doc_id long, rk long, line int, k1 long, k2 long, n int, b1 long, b2 long, prefix array<bigint>, hot int")
+    return docs.mapInArrow(run, "doc_id long, rk long, line int, k1 long, k2 long, n int, b1 long, b2 long, prefix array<bigint>, lone int, hot int")
 
 
 def _meet(entries: DataFrame, threshold: float) -> DataFrame:
     """Pairs of a class and its earliest partners in each index entry; more: there may be others. All members of an entry are in memory; callers bound their number."""
-    names = ["word", *MEMBER]
+    names = ["word", "doc_id", "place", "extent", "b1", "b2"]
+    low = (1 << HALF) - 1
 
     def partners(c: dict[str, np.ndarray]):
         word = c["word"]
         start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         head = np.repeat(start, np.diff(np.r_[start, len(word)]))
-        n, at, b1, b2 = c["n"].astype(np.int64), c["at"].astype(np.int64), c["b1"].view(np.uint64), c["b2"].view(np.uint64)
+        n, at, b1, b2 = c["extent"] >> HALF, c["extent"] & low, c["b1"].view(np.uint64), c["b2"].view(np.uint64)
         mine, theirs = [], []
         rows, j, had = np.arange(len(word)), 0, np.zeros(len(word), np.int32)
         while True:
@@ -151,7 +160,7 @@ def _meet(entries: DataFrame, threshold: float) -> DataFrame:
             had[rows[ok]] += 1
             rows, j = rows[had[rows] < PARTNERS], j + 1
         mine, theirs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (mine, theirs))
-        cols = [c[k][i] for i in (mine, theirs) for k in ("doc_id", "line", "tag")]
+        cols = [x.astype(t) for i in (mine, theirs) for x, t in ((c["doc_id"][i], np.int64), (c["place"][i] >> HALF, np.int32), (c["place"][i] & low, np.int32))]
         return pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), pa.array(had[mine] >= PARTNERS)], names=[*PAIR, "more"])
 
     def run(batches):
@@ -170,7 +179,9 @@ def _meet(entries: DataFrame, threshold: float) -> DataFrame:
         if kept:
             yield partners(dict(zip(names, (np.concatenate(x) for x in zip(*kept)))))
 
-    ordered = entries.select(*names).repartition("word").sortWithinPartitions("word", "doc_id", "line", "tag")
+    two = lambda high, low, name: F.shiftleft(F.col(high).cast("long"), HALF).bitwiseOR(F.col(low).cast("long")).alias(name)
+    packed = entries.select("word", "doc_id", two("line", "tag", "place"), two("n", "at", "extent"), "b1", "b2")
+    ordered = packed.repartition("word").sortWithinPartitions("word", "doc_id", "place")
     return ordered.mapInArrow(run, "doc_id long, line int, tag int, a_doc_id long, a_line int, a_tag int, more boolean")
 
 
@@ -244,7 +255,8 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _similar(docs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
     """Classes (doc_id, line, tag) that are similar to a class whose first line is earlier."""
-    entries = firsts.select("doc_id", "line", "tag", "n", "b1", "b2", (F.size("prefix") - F.col("hot")).alias("cold"), F.posexplode("prefix").alias("at", "word"))
+    cold = (F.col("lone") + F.size("prefix") - F.col("hot")).alias("cold")
+    entries = firsts.select("doc_id", "line", "tag", "n", "b1", "b2", "lone", cold, F.posexplode("prefix").alias("at", "word")).withColumn("at", F.col("lone") + F.col("at")).drop("lone")
     pairs = _meet(entries.where("at < cold"), threshold)
     common = _rounds(entries.where("at >= cold").select("word", *MEMBER), threshold)
     if common is not None:
@@ -263,7 +275,7 @@ def _similar(docs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
 def find_repeats(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """(doc_id, rk, lines): numbers of the lines to remove, for each document that loses lines. docs: doc_id, rk, text."""
     lines = materialize(_classes(docs.where("doc_id is not null"), threshold, group), "lines")
-    first = F.min(F.struct(*ORDER, "n", "b1", "b2", "prefix", "hot")).alias("f")
+    first = F.min(F.struct(*ORDER, "n", "b1", "b2", "prefix", "lone", "hot")).alias("f")
     firsts = materialize(lines.groupBy(*KEY).agg(first).select(*KEY, "f.*", F.col("k1").bitwiseAND(0x7FFFFFFF).cast("int").alias("tag")), "firsts")
     places = materialize(lines.select(*ORDER), "places")
     discard(lines)
