@@ -22,7 +22,7 @@ lines are judged against all earlier lines, whether or not those stay.
 
 from __future__ import annotations
 
-from itertools import chain
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -45,29 +45,76 @@ ORDER = ["doc_id", "line", "rk"]
 MEMBER = ["doc_id", "line", "tag", "n", "at", "b1", "b2"]
 #: Two numbers of so many bits are packed into one long where entries are exchanged.
 HALF = 31
+#: Bytes hashed at once.
+SLAB = 1 << 18
+#: Words of more bytes are hashed one by one.
+LONG = 32
 #: Tables of classes up to so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
-def _line_words(text: str | None) -> list[list[bytes]]:
-    return [line.split() for line in (text or "").encode().lower().split(b"\n")]
-
-
 def _mix(h: np.ndarray, by: int) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(by)
     return h ^ (h >> np.uint64(29))
 
 
-def _sets(lines: list[list[bytes]], levels: np.ndarray | None = None):
-    """Distinct word hashes of many lines: (line index, hash, rarity), sorted by line, then rarity, then hash."""
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lines)), np.uint64, int(sizes.sum()))
-    line = np.repeat(np.arange(len(lines)), sizes)
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes are white space, a number for each byte (A-Z as a-z), and powers of an odd base and of its inverse modulo 2^64."""
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    values = _mix(_mix(np.arange(1, 257, dtype=np.uint64), 0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F)
+    values[65:91] = values[97:123]
+    base = 0x9FB21C651E98DF2B
+    powers = (np.cumprod(np.r_[np.uint64(1), np.full(SLAB + LONG, x, np.uint64)]) for x in (base, pow(base, -1, 1 << 64)))
+    return space, values, *powers
+
+
+def _words(data: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of UTF-8 bytes start, and 64-bit hashes of them in lower case (A-Z only). docs: offsets of the documents, at which words end.
+
+    A word's hash is a polynomial in its bytes, taken from running sums. Long words, among
+    which such a polynomial has systematic collisions, get XXH3 instead.
+    """
+    space, values, powers, inverse = _tables()
+    gap = space[data]
+    first, last = ~gap, ~gap
+    first[1:] &= gap[:-1]
+    last[:-1] &= gap[1:]
+    inner = docs[(docs > 0) & (docs < len(data))]
+    first[inner] = ~gap[inner]
+    last[inner - 1] = ~gap[inner - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    h = np.zeros(len(start), np.uint64)
+    short = end - start <= LONG
+    cuts = np.searchsorted(start, np.arange(0, len(data) + SLAB, SLAB))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        own = np.arange(a, b)[short[a:b]]
+        if len(own):
+            low, high = start[own[0]], end[own[-1]]
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(values[data[low:high]] * powers[: high - low], out=total[1:])
+            h[own] = (total[end[own] - low] - total[start[own] - low]) * inverse[start[own] - low]
+    for i in np.flatnonzero(~short):
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes().lower())
+    return start, _mix(h, 0x9E3779B97F4A7C15)
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and each text's offset in them; null counts as empty."""
+    texts = texts.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def _sets(line: np.ndarray, h: np.ndarray, levels: np.ndarray | None = None):
+    """Distinct word hashes of many lines: (line, hash, rarity), sorted by line, then rarity, then hash. line and h: of each word."""
     level = levels[(h % np.uint64(len(levels))).astype(np.int64)] if levels is not None else np.zeros(len(h), np.uint16)
     packed = (line.astype(np.uint64) << np.uint64(42)) | (level.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
     order = np.argsort(packed)
     p, x = packed[order], h[order]
-    if len(lines) >= 1 << 22 or ((p[1:] == p[:-1]) & (x[1:] != x[:-1])).any():  # hashes that agree in their upper half
+    if (len(line) and line.max() >= 1 << 22) or ((p[1:] == p[:-1]) & (x[1:] != x[:-1])).any():  # hashes that agree in their upper half
         order = np.lexsort((h, level, line))
     line, h, level = line[order], h[order], level[order]
     new = np.r_[True, (line[1:] != line[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
@@ -80,9 +127,8 @@ def word_levels(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
     def run(batches):
         total = np.zeros(counters, np.int64)
         for b in batches:
-            for text in b.column("text"):
-                words = (text.as_py() or "").encode().lower().split()
-                h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            for part in (b.column("text").slice(i, 512) for i in range(0, b.num_rows, 512)):
+                h = _words(*_bytes(part))[1]
                 np.add.at(total, (h % np.uint64(counters)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 1 << 18):
@@ -107,12 +153,13 @@ def _classes(docs: DataFrame, threshold: float, group: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
-                texts = [_line_words(t.as_py()) for t in part.column("text")]
-                doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-                number = np.concatenate([np.arange(len(t)) for t in texts])
-                line, h, level = _sets([words for t in texts for words in t], levels.value)
-                if not len(line):
+                data, docs = _bytes(part.column("text"))
+                at, h = _words(data, docs)
+                if not len(at):
                     continue
+                breaks = np.r_[0, np.cumsum(data == 10)]  # line breaks before each byte
+                opening = breaks[docs[:-1]] + np.arange(len(docs) - 1)  # number of each document's first line among all lines
+                line, h, level = _sets(breaks[at] + np.repeat(np.arange(len(docs) - 1), np.diff(np.searchsorted(at, docs))), h, levels.value)
                 start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
                 n = np.diff(np.r_[start, len(line)])
                 k1, k2 = (np.add.reduceat(_mix(h, by), start).view(np.int64) for by in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
@@ -126,9 +173,9 @@ def _classes(docs: DataFrame, threshold: float, group: int) -> DataFrame:
                 inside &= level > 0
                 hot = np.add.reduceat(inside & (level > common), start)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix - lone)].astype(np.int32)), pa.array(h[inside].view(np.int64)))
-                at = line[start]
-                take = pa.array(doc[at])
-                numbers = [pa.array(number[at].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n.astype(np.int32)), pa.array(b1), pa.array(b2), lists, pa.array(lone.astype(np.int32)), pa.array(hot.astype(np.int32))]
+                doc = np.searchsorted(opening, line[start], side="right") - 1
+                take = pa.array(doc)
+                numbers = [pa.array((line[start] - opening[doc]).astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n.astype(np.int32)), pa.array(b1), pa.array(b2), lists, pa.array(lone.astype(np.int32)), pa.array(hot.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("rk").take(take), *numbers], names=["doc_id", "rk", "line", "k1", "k2", "n", "b1", "b2", "prefix", "lone", "hot"])
 
     return docs.mapInArrow(run, "doc_id long, rk long, line int, k1 long, k2 long, n int, b1 long, b2 long, prefix array<bigint>, lone int, hot int")
@@ -228,13 +275,17 @@ def _word_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     lines = materialize(needed.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("line", "tag")).alias("lines")), "wanted")
 
     def run(batches):
-        for b in batches:
-            for doc, text, wanted in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("lines").to_pylist()):
-                lines = _line_words(text.as_py())
-                line, h, _ = _sets([lines[w["line"]] for w in wanted])
-                ends = np.searchsorted(line, np.arange(len(wanted) + 1)).astype(np.int32)
-                cols = [pa.array([doc] * len(wanted), pa.int64()), pa.array([w["line"] for w in wanted], pa.int32()), pa.array([w["tag"] for w in wanted], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["doc_id", "line", "tag", "words"])
+        for b in (x.slice(i, 64) for x in batches for i in range(0, x.num_rows, 64)):
+            wanted = [[(doc, w["line"], w["tag"]) for w in lines] for doc, lines in zip(b.column("doc_id").to_pylist(), b.column("lines").to_pylist())]
+            texts = [(text.as_py() or "").encode().split(b"\n") for text in b.column("text")]
+            data = np.frombuffer(b"\n".join(lines[w[1]] for lines, ws in zip(texts, wanted) for w in ws), np.uint8)
+            at, h = _words(data, np.zeros(0, np.int64))
+            line, h, _ = _sets(np.r_[0, np.cumsum(data == 10)][at], h)
+            doc, number, tag = zip(*(w for ws in wanted for w in ws)) if b.num_rows else ((), (), ())
+            ends = np.searchsorted(line, np.arange(len(doc) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(tag, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["doc_id", "line", "tag", "words"]
+            )
 
     found = docs.join(lines, ["doc_id", "rk"]).select("doc_id", "text", "lines").mapInArrow(run, "doc_id long, line int, tag int, words array<bigint>")
     return found.dropDuplicates(MINE)
@@ -298,7 +349,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROU
     inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("rk"), F.col("text").cast("string").alias("text"))
     repeats = find_repeats(inner, threshold, group).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), F.col("lines").alias("__gone"))
     joined = docs.withColumn("__key", key).join(repeats, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__rk")), "left")
-    lines = F.split("text", "\n")
+    joined = joined.withColumn("__lines", F.split("text", "\n"))  # a column of its own, so that transform does not split the text for every line
+    lines = F.col("__lines")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
     kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     columns = [kept.alias("text") if c == "text" else F.col(c) for c in docs.columns]
