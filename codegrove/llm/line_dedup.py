@@ -34,6 +34,8 @@ from codegrove.llm.common import discard, materialize
 THRESHOLD = 0.8
 #: Counters for word frequencies, whatever the vocabulary.
 COUNTERS = 1 << 22
+#: Counters that travel together; at most 2^16.
+BLOCK = 1 << 16
 #: Words counted more often are joined in rounds.
 GROUP = 4096
 STEPS = 12
@@ -45,6 +47,8 @@ ORDER = ["doc_id", "line", "rk"]
 MEMBER = ["doc_id", "line", "tag", "n", "at", "b1", "b2"]
 #: Two numbers of so many bits are packed into one long where entries are exchanged.
 HALF = 31
+#: Entries travel in blocks, dealt by word into BUCKETS buckets, or as many as leave about ENTRIES entries in each.
+BUCKETS, ENTRIES = 256, 1 << 18
 #: Bytes hashed at once.
 SLAB = 1 << 18
 #: Words of more bytes are hashed one by one.
@@ -122,24 +126,38 @@ def _sets(line: np.ndarray, h: np.ndarray, levels: np.ndarray | None = None):
 
 
 def word_levels(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
-    """How often the words of each counter occur in docs, as STEPS * log2(n), rounded; the array's size is fixed."""
+    """How often the words of each counter occur in docs, as STEPS * log2(n), rounded; the array's size is fixed.
 
-    def run(batches):
+    Counters travel in blocks of BLOCK, of which a task sends those that are not zero.
+    """
+
+    def count(batches):
         total = np.zeros(counters, np.int64)
         for b in batches:
             for part in (b.column("text").slice(i, 512) for i in range(0, b.num_rows, 512)):
                 h = _words(*_bytes(part))[1]
                 np.add.at(total, (h % np.uint64(counters)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 18):
-            part = at[i : i + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["counter", "n"])
+        for k, i in enumerate(range(0, counters, BLOCK)):
+            at = np.flatnonzero(total[i : i + BLOCK])
+            if len(at):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "at": [at.astype(np.uint16).tobytes()], "n": [total[i + at].tobytes()]})
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, at, n in zip(*(b.column(c).to_pylist() for c in ("block", "at", "n"))):
+                total = sums.setdefault(k, np.zeros(BLOCK, np.int64))
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+        for k, total in sums.items():
+            level = np.rint(np.log2(np.maximum(total, 1)) * STEPS).astype(np.uint16)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "levels": [level.tobytes()]})
 
-    rows = docs.select("text").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    rows = rows.select("counter", F.round(F.log2("n") * STEPS).cast("short").alias("level")).toArrow()  # at most `counters` rows
-    out = np.zeros(counters, np.uint16)
-    out[rows["counter"].to_numpy()] = rows["level"].to_numpy()
-    return out
+    counted = docs.select("text").mapInArrow(count, "block int, at binary, n binary")
+    rows = counted.repartition("block").mapInArrow(add, "block int, levels binary").toArrow()  # a row for each block
+    out = np.zeros(-(-counters // BLOCK) * BLOCK, np.uint16)
+    for k, level in zip(rows["block"].to_pylist(), rows["levels"].to_pylist()):
+        out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(level, np.uint16)
+    return out[:counters]
 
 
 def _classes(docs: DataFrame, threshold: float, group: int) -> DataFrame:
@@ -181,10 +199,44 @@ def _classes(docs: DataFrame, threshold: float, group: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, rk long, line int, k1 long, k2 long, n int, b1 long, b2 long, prefix array<bigint>, lone int, hot int")
 
 
-def _meet(entries: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a class and its earliest partners in each index entry; more: there may be others. All members of an entry are in memory; callers bound their number."""
-    names = ["word", "doc_id", "place", "extent", "b1", "b2"]
+def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a class and its earliest partners in each index entry whose word is not common; more: there may be others.
+
+    A bucket is in memory at once. Its words occur at most GROUP times each, and the number
+    of buckets follows the number of entries.
+    """
     low = (1 << HALF) - 1
+    total = firsts.select(F.sum(F.ceil(F.col("n") * (1 - threshold)) + 1)).first()[0] or 0
+    buckets = max(BUCKETS, -(-int(total) // ENTRIES))
+
+    def deal(batches):
+        held, count = [], 0
+
+        def blocks():
+            rows = np.concatenate(held)
+            bucket = (_mix(rows[:, 0].view(np.uint64), 0xC2B2AE3D27D4EB4F) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = np.r_[start[1:], len(rows)]
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[start]), "entries": pa.array([rows[i:j].tobytes() for i, j in zip(start, ends)], pa.binary())})
+
+        for b in batches:
+            col = {k: b.column(k).to_numpy() for k in ("doc_id", "line", "tag", "n", "b1", "b2", "lone", "hot")}
+            sizes = b.column("prefix").value_lengths().to_numpy().astype(np.int64)
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(own)) - (np.cumsum(sizes) - sizes)[own]
+            cold = at < (sizes - col["hot"])[own]
+            own, at = own[cold], at[cold] + col["lone"][own[cold]]
+            place = (col["line"].astype(np.int64) << HALF) | col["tag"]
+            extent = (col["n"].astype(np.int64)[own] << HALF) | at
+            held.append(np.column_stack([b.column("prefix").flatten().to_numpy()[cold], col["doc_id"][own], place[own], extent, col["b1"][own], col["b2"][own]]))
+            count += len(own)
+            if count >= 2 * ENTRIES:
+                yield blocks()
+                held, count = [], 0
+        if count:
+            yield blocks()
 
     def partners(c: dict[str, np.ndarray]):
         word = c["word"]
@@ -210,26 +262,25 @@ def _meet(entries: DataFrame, threshold: float) -> DataFrame:
         cols = [x.astype(t) for i in (mine, theirs) for x, t in ((c["doc_id"][i], np.int64), (c["place"][i] >> HALF, np.int32), (c["place"][i] & low, np.int32))]
         return pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), pa.array(had[mine] >= PARTNERS)], names=[*PAIR, "more"])
 
+    def bucket(blocks: list[bytes]):
+        rows = np.concatenate([np.frombuffer(x, np.int64) for x in blocks]).reshape(-1, 6)
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        return partners({k: np.ascontiguousarray(rows[:, i]) for i, k in enumerate(("word", "doc_id", "place", "extent", "b1", "b2"))})
+
     def run(batches):
-        kept: list[list[np.ndarray]] = []
+        blocks, now = [], None
         for b in batches:
-            cols = [b.column(k).to_numpy() for k in names]
-            if not len(cols[0]):
-                continue
-            kept.append(cols)
-            if kept[0][0][0] == cols[0][-1]:
-                continue
-            cols = [np.concatenate(x) for x in zip(*kept)]
-            last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1
-            yield partners({k: x[:last] for k, x in zip(names, cols)})
-            kept = [[x[last:] for x in cols]]
-        if kept:
-            yield partners(dict(zip(names, (np.concatenate(x) for x in zip(*kept)))))
-
-    two = lambda high, low, name: F.shiftleft(F.col(high).cast("long"), HALF).bitwiseOR(F.col(low).cast("long")).alias(name)
-    packed = entries.select("word", "doc_id", two("line", "tag", "place"), two("n", "at", "extent"), "b1", "b2")
-    ordered = packed.repartition("word").sortWithinPartitions("word", "doc_id", "place")
-    return ordered.mapInArrow(run, "doc_id long, line int, tag int, a_doc_id long, a_line int, a_tag int, more boolean")
+            for k, x in zip(b.column("bucket").to_pylist(), b.column("entries").to_pylist()):
+                if blocks and k != now:
+                    yield bucket(blocks)
+                    blocks = []
+                blocks.append(x)
+                now = k
+        if blocks:
+            yield bucket(blocks)
+
+    dealt = firsts.select("doc_id", "line", "tag", "n", "b1", "b2", "lone", "hot", "prefix").mapInArrow(deal, "bucket int, entries binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, line int, tag int, a_doc_id long, a_line int, a_tag int, more boolean")
 
 
 def _prefixed(df: DataFrame, p: str) -> DataFrame:
@@ -304,12 +355,17 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _entries(firsts: DataFrame) -> DataFrame:
+    """A row for each index entry of the classes; entries of common words have at >= cold."""
+    cold = (F.col("lone") + F.size("prefix") - F.col("hot")).alias("cold")
+    rows = firsts.select("doc_id", "line", "tag", "n", "b1", "b2", "lone", cold, F.posexplode("prefix").alias("at", "word"))
+    return rows.withColumn("at", F.col("lone") + F.col("at")).drop("lone")
+
+
 def _similar(docs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
     """Classes (doc_id, line, tag) that are similar to a class whose first line is earlier."""
-    cold = (F.col("lone") + F.size("prefix") - F.col("hot")).alias("cold")
-    entries = firsts.select("doc_id", "line", "tag", "n", "b1", "b2", "lone", cold, F.posexplode("prefix").alias("at", "word")).withColumn("at", F.col("lone") + F.col("at")).drop("lone")
-    pairs = _meet(entries.where("at < cold"), threshold)
-    common = _rounds(entries.where("at >= cold").select("word", *MEMBER), threshold)
+    pairs = _meet(firsts, threshold)
+    common = _rounds(_entries(firsts.where("hot > 0")).where("at >= cold").select("word", *MEMBER), threshold)
     if common is not None:
         pairs = pairs.union(common.withColumn("more", F.lit(True)))
     pairs = materialize(pairs.groupBy(*PAIR).agg(F.max("more").alias("more")), "pairs")
@@ -317,8 +373,8 @@ def _similar(docs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
     failed = materialize(pairs.where("more").select(*MINE).distinct().join(found, MINE, "left_anti"), "failed")
     if failed.isEmpty():
         return found
-    again = materialize(entries.join(_small(failed), MINE, "left_semi").select("word", *MEMBER), "again")
-    others = entries.join(_small(again.select("word").distinct()), "word", "left_semi").select("word", *MEMBER)
+    again = materialize(_entries(firsts.join(_small(failed), MINE, "left_semi")).select("word", *MEMBER), "again")
+    others = _entries(firsts).join(_small(again.select("word").distinct()), "word", "left_semi").select("word", *MEMBER)
     rest = _pairs(again, others, threshold).distinct().join(pairs, PAIR, "left_anti")
     return found.union(_verified(docs, firsts, materialize(rest, "rest"), threshold))
 
