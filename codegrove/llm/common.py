@@ -19,12 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here and a lost executor costs no recomputation."""
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends here and a lost executor costs no recomputation. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codegrove-{label}-{uuid.uuid4().hex}"
     _free(spark)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _free(spark)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -63,15 +63,10 @@ def _mix(h: np.ndarray, by: int) -> np.ndarray:
 
 
 @functools.cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which bytes are white space, a number for each byte (A-Z as a-z), and powers of an odd base and of its inverse modulo 2^64."""
-    space = np.zeros(256, bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-    values = _mix(_mix(np.arange(1, 257, dtype=np.uint64), 0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F)
-    values[65:91] = values[97:123]
+def _powers() -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64."""
     base = 0x9FB21C651E98DF2B
-    powers = (np.cumprod(np.r_[np.uint64(1), np.full(SLAB + LONG, x, np.uint64)]) for x in (base, pow(base, -1, 1 << 64)))
-    return space, values, *powers
+    return [np.cumprod(np.r_[np.uint64(1), np.full(SLAB + LONG, x, np.uint64)]) for x in (base, pow(base, -1, 1 << 64))]
 
 
 def _words(data: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +75,8 @@ def _words(data: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     A word's hash is a polynomial in its bytes, taken from running sums. Long words, among
     which such a polynomial has systematic collisions, get XXH3 instead.
     """
-    space, values, powers, inverse = _tables()
-    gap = space[data]
+    powers, inverse = _powers()
+    gap = (data == 32) | (data - np.uint8(9) < 5)
     first, last = ~gap, ~gap
     first[1:] &= gap[:-1]
     last[:-1] &= gap[1:]
@@ -97,7 +92,9 @@ def _words(data: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(own):
             low, high = start[own[0]], end[own[-1]]
             total = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(values[data[low:high]] * powers[: high - low], out=total[1:])
+            part = data[low:high]
+            lower = part + ((part - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+            np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * powers[: high - low], out=total[1:])
             h[own] = (total[end[own] - low] - total[start[own] - low]) * inverse[start[own] - low]
     for i in np.flatnonzero(~short):
         h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes().lower())
@@ -242,7 +239,8 @@ def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
         word = c["word"]
         start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         head = np.repeat(start, np.diff(np.r_[start, len(word)]))
-        n, at, b1, b2 = c["extent"] >> HALF, c["extent"] & low, c["b1"].view(np.uint64), c["b2"].view(np.uint64)
+        n, at, b1, b2 = (c["extent"] >> HALF).astype(np.int32), (c["extent"] & low).astype(np.int32), c["b1"].view(np.uint64), c["b2"].view(np.uint64)
+        least, most = np.ceil(n * threshold - 1e-9).astype(np.int32), np.floor(n / threshold + 1e-9).astype(np.int32)
         mine, theirs = [], []
         rows, j, had = np.arange(len(word)), 0, np.zeros(len(word), np.int32)
         while True:
@@ -250,13 +248,15 @@ def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
             if not len(rows):
                 break
             a = head[rows] + j
-            both, small = n[rows] + n[a], np.minimum(n[rows], n[a])
-            apart = np.bitwise_count(b1[rows] ^ b1[a]).astype(np.int64) + np.bitwise_count(b2[rows] ^ b2[a])
+            fits = np.flatnonzero((n[a] >= least[rows]) & (n[a] <= most[rows]))
+            r, a = rows[fits], a[fits]
+            both = n[r] + n[a]
             need = np.ceil(both * (threshold / (1 + threshold)) - 1e-9)
-            ok = (small >= np.maximum(n[rows], n[a]) * threshold - 1e-9) & (np.minimum(n[rows] - at[rows], n[a] - at[a]) >= need) & (both - apart >= 2 * need)
-            mine.append(rows[ok])
+            apart = np.bitwise_count(b1[r] ^ b1[a]).astype(np.int64) + np.bitwise_count(b2[r] ^ b2[a])
+            ok = (np.minimum(n[r] - at[r], n[a] - at[a]) >= need) & (both - apart >= 2 * need)
+            mine.append(r[ok])
             theirs.append(a[ok])
-            had[rows[ok]] += 1
+            had[r[ok]] += 1
             rows, j = rows[had[rows] < PARTNERS], j + 1
         mine, theirs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (mine, theirs))
         cols = [x.astype(t) for i in (mine, theirs) for x, t in ((c["doc_id"][i], np.int64), (c["place"][i] >> HALF, np.int32), (c["place"][i] & low, np.int32))]
@@ -381,9 +381,10 @@ def _similar(docs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
 
 def find_repeats(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """(doc_id, rk, lines): numbers of the lines to remove, for each document that loses lines. docs: doc_id, rk, text."""
-    lines = materialize(_classes(docs.where("doc_id is not null"), threshold, group), "lines")
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("k1", "k2", "b1", "b2", "prefix.list.element")}  # numbers that hardly repeat
+    lines = materialize(_classes(docs.where("doc_id is not null"), threshold, group), "lines", **plain)
     first = F.min(F.struct(*ORDER, "n", "b1", "b2", "prefix", "lone", "hot")).alias("f")
-    firsts = materialize(lines.groupBy(*KEY).agg(first).select(*KEY, "f.*", F.col("k1").bitwiseAND(0x7FFFFFFF).cast("int").alias("tag")), "firsts")
+    firsts = materialize(lines.groupBy(*KEY).agg(first).select(*KEY, "f.*", F.col("k1").bitwiseAND(0x7FFFFFFF).cast("int").alias("tag")), "firsts", **plain)
     places = materialize(lines.select(*ORDER), "places")
     discard(lines)
     stay = materialize(firsts.join(_similar(docs, firsts, threshold), MINE, "left_anti").select(*ORDER), "stay")
