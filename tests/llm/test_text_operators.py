@@ -181,3 +181,14 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
     assert len(packed) == corpus_pipeline.run(spark, sf).count()
+
+
+def test_words_are_told_apart_like_split():
+    import pyarrow as pa
+
+    texts = ["", "Ab aB", "x" * 40 + " " + "X" * 40, None, " \t ", "\n\nq\n", "é É", "ab", "a\0 a a\0\0", "tail", "tail", "w " * 200_000]
+    expected = [w for t in texts for w in (t or "").encode().lower().split()]
+    start, h = line_dedup._words(*line_dedup._bytes(pa.array(texts)))
+    assert len(start) == len(expected)
+    assert {(w, int(x)) for w, x in zip(expected, h)} == {(w, int(dict(zip(expected, h))[w])) for w in set(expected)}
+    assert len(set(h.tolist())) == len(set(expected))
