@@ -51,8 +51,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as (u, v) long pairs.
 
     Returns (node, component) for every node that has an edge; component is the
-    smallest node reachable. Alternates large-star and small-star steps until every
-    edge points at a root, so rounds grow with the logarithm of the graph's size.
+    smallest node reachable. Alternates large-star and small-star steps until every node
+    that is not a root has one parent and that is a root, so rounds grow with the logarithm of the graph's size.
     Each round is written to the shared folder. No edges: an empty result.
     """
     current = materialize(
@@ -66,8 +66,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = materialize(small.union(least).distinct(), "small-star")
-        roots = current.select(F.col("v").alias("u")).distinct()
-        if current.join(roots, "u", "left_semi").isEmpty():
+        roots = current.select(F.col("v").alias("u"), F.lit(True).alias("root")).distinct()
+        if current.groupBy("u").count().join(roots, "u", "left").where("count > 1 or root").isEmpty():
             break
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -73,6 +73,20 @@ def test_links_connect_what_brute_force_connects(spark, limit):
     assert [got.get(i, i) for i in range(len(codes))] == want
 
 
+def test_components_of_small_graphs(spark):
+    rng = random.Random(8)
+    graphs = [[(4, 1), (4, 3), (5, 3), (5, 2)]]
+    for n in (8, 12):
+        ids = rng.sample(range(100), n)
+        graphs.append(list(zip(ids, ids[1:])))
+        graphs.append([(ids[i], ids[rng.randrange(i)]) for i in range(1, n)] + [(200, 201), (202, 202)])
+    for edges in graphs:
+        ids = sorted({x for e in edges for x in e if e[0] != e[1]})
+        want = brute_components(ids, lambda a, b: (a, b) in edges or (b, a) in edges)
+        got = [(r.node, r.component) for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()]
+        assert sorted(got) == [(i, ids[c]) for i, c in zip(ids, want)]
+
+
 def test_near_duplicates_edge_cases(spark):
     long = " ".join(f"w{i}" for i in range(3000))
     rows = [(5, "", None, 1), (3, None, None, 2), (9, long, "x", 3), (7, long + " tail", "x", 3), (7, long + " tail", "x", 3), (None, long, "x", 3), (1, "other words here entirely", "x", 3)]
