@@ -169,6 +169,8 @@ def hamming_links(nodes: DataFrame, max_bits: int = 2, node_limit: int = NODE_LI
     Only a spanning forest of each trie node's links is returned: it connects exactly
     what all links connect.
     """
+    if not 0 <= max_bits < len(BLOCKS):
+        raise ValueError(f"{len(BLOCKS)} blocks find all pairs within 0 to {len(BLOCKS) - 1} bits, not within {max_bits}")
     links = None
     for r, width in enumerate(BLOCKS):
         turn = sum(BLOCKS[:r])

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codegrove.llm.common import materialize
 from codegrove.llm.decontaminate import drop_contaminated
 from codegrove.llm.line_dedup import dedup_lines
+from codegrove.llm.near_dedup import near_copies
 from codegrove.llm.packing import pack
-from codegrove.llm.simhash import near_duplicates
 from codegrove.llm.toxicity import drop_toxic
 
 
@@ -29,9 +29,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays; rows without an id stay."""
-    classes = near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (five-word shingles, similarity of 0.8) the document with the smallest doc_id stays; rows without an id or a text stay."""
+    copies = near_copies(docs).where("component_id < doc_id").select(F.col("doc_id").alias("copy_id"), "text_hash").distinct()
+    copy = (F.col("doc_id").cast("long") == F.col("copy_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("text_hash")) & F.col("text").isNotNull()
+    return docs.join(copies, copy, "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

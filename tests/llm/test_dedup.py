@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from codegrove.llm import near_dedup
 from codegrove.llm.simhash import hamming_links, near_duplicates, simhash, trie_pairs
 from codegrove.llm.common import connected_components
 from codegrove.llm.substring_dedup import dedup_substrings, sliding_argmin
@@ -153,3 +154,47 @@ def test_substring_edge_cases(spark):
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed, len(r.removed)) for r in dedup_substrings(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(-1, 80, 0, 0), (4, 80, 0, 0), (4, 80, 0, 0), (9, 81, 80, 1)]
     assert dedup_substrings(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_near_copies_match_brute_force(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(500)]
+    passage = [rng.choice(pool) for _ in range(40)]
+    docs = []
+    for size, edits in [(60, 1), (120, 1), (240, 2), (500, 4), (500, 8), (1000, 1), (30, 1)]:
+        for _ in range(6):
+            words = [rng.choice(pool) for _ in range(size)]
+            for n in (0, edits, edits, 3 * edits):
+                copy = list(words)
+                for _ in range(n):
+                    copy[rng.randrange(size)] = "changed"
+                docs.append(copy)
+    docs += [passage + [rng.choice(pool) for _ in range(rng.randint(0, 12))] for _ in range(40)]
+    docs += [["a", "b", "c"], ["A", "b", "c"], ["a", "b", "d"], [], [" "]]
+    rng.shuffle(docs)
+    rows = [(3 * i + 1, " ".join(w), "x", 0) for i, w in enumerate(docs)] + [(9000, None, "x", 0), (9001, None, "x", 0), (None, " ".join(docs[0]), "x", 0), (9002, " ".join(docs[0]), "x", 0), (9002, "of its own", "x", 0)]
+
+    def shingled(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    texts = [r for r in rows if r[0] is not None and r[1] is not None]
+    sets = [shingled(t) for _, t, *_ in texts]
+    root = brute_components(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    want = sorted((r[0], texts[c][0]) for r, c in zip(texts, root))
+    assert sum(d != c for d, c in want) > 80
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    for common in (4, 1):
+        monkeypatch.setattr(near_dedup, "COMMON", common)
+        assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_copies(frame).collect()) == want
+    kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.simhash_near_dedup(spark, frame, "").collect())
+    gone = {d for d, c in want if c < d} - {9002}
+    assert kept == sorted((d or 0, t) for d, t, *_ in rows if d not in gone and (d, t) != (9002, " ".join(docs[0])))
+    assert near_dedup.near_copies(frame.limit(0)).collect() == []
+
+
+def test_links_refuse_budgets_that_the_blocks_do_not_cover(spark):
+    with pytest.raises(ValueError):
+        hamming_links(spark.createDataFrame([], "fp long, node long"), 3)
