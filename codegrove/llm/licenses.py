@@ -3,6 +3,10 @@
 Texts are cut into sentences; a normalised sentence that is known maps to an identifier;
 the identifier sequence of a document is matched against rules, each an ordered list of
 identifiers that must follow one another without another sentence between them.
+
+A text is read twice: line by line, where every line break ends a sentence, and as wrapped
+text, where only punctuation and lines without a letter or digit do. The second reading
+leaves out list numbers; comment marks are no letters and vanish in both.
 """
 
 from __future__ import annotations
@@ -12,6 +16,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Sentences end at a line break, or at punctuation before white space.
 SENTENCE_END = r"[.;:!?]*[ \t\r]*\n+|[.;:!?]+[ \t]+"
 
+#: The same for wrapped text: each end is one of SENTENCE_END too.
+WRAPPED_END = r"[.;:!?]+[ \t\r]*\n+|[.;:!?]+[ \t]+|\n[^A-Za-z0-9\n]*\n"
+LIST_NUMBER = r"^(?:[0-9]{1,3}|[a-z]|[ivx]{1,4})$"
+#: A list number that is not a sentence of its own: 1) or (a) before the first word.
+LIST_MARK = r"^[^A-Za-z0-9]*(?:[0-9]{1,3}|[A-Za-z]|[ivxIVX]{1,4})[)][ \t]+"
+
 #: Known sentences, normalised (lower case, runs of other characters than a-z and 0-9 as one space).
 SENTENCES = {
     "apache-2.0-line": "licensed under the apache license version 2 0",
@@ -65,22 +75,31 @@ def _table(spark, rows, schema) -> DataFrame:
 def scan_licenses(docs: DataFrame, sentences: dict | None = None, rules: dict | None = None) -> DataFrame:
     """Rules found: (doc_id, rule, license, first_sentence, n_sentences).
 
-    first_sentence counts a text's non-blank sentences from 0. A rule of n sentences is
-    found where its n identifiers stand on n sentences in a row; a shorter rule inside is
-    reported too. Null, empty and blank texts have no sentence. A null doc_id is reported
-    as null; equal rows are reported once. An empty table gives an empty result; columns
-    besides doc_id and text are not read.
+    first_sentence counts a text's non-blank sentences, read line by line, from 0. A rule of
+    n sentences is found where its n identifiers stand on n sentences in a row, in either
+    reading; a shorter rule inside is reported too. Null, empty and blank texts have no
+    sentence. A null doc_id is reported as null; equal rows are reported once. An empty
+    table gives an empty result; columns besides doc_id and text are not read.
     """
     sentences, rules = sentences or SENTENCES, rules or RULES
     spark = docs.sparkSession
     known = _table(spark, sorted((text, name) for name, text in sentences.items()), "sentence string, name string")
     steps = _table(spark, [(rule, lic, len(names), k, n) for rule, (lic, names) in rules.items() for k, n in enumerate(names)], "rule string, license string, n_sentences int, step int, name string")
     text = F.col("text").cast("string")
-    parts = F.filter(F.transform(F.split(text, SENTENCE_END), normalised), lambda s: s != "")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("rk"), F.posexplode(parts).alias("at", "sentence"))
+    lines = lambda t: F.filter(F.transform(F.split(t, SENTENCE_END), normalised), lambda s: s != "")
+    read = lambda s, k: F.struct(normalised(F.regexp_replace(s, LIST_MARK, "")).alias("sentence"), k.alias("place"))
+    whole = F.filter(F.transform(F.split(text, WRAPPED_END), read), lambda s: (s["sentence"] != "") & ~s["sentence"].rlike(LIST_NUMBER))
+    found_in = lambda s: s["sentence"].isin(sorted(sentences.values()))
+    lined = F.filter(F.transform(lines(text), lambda s, k: F.struct(F.lit(0).alias("reading"), s.alias("sentence"), k.alias("at"), k.alias("place"))), found_in)
+    wrapped = F.filter(F.transform(whole, lambda s, k: F.struct(F.lit(1).alias("reading"), s["sentence"].alias("sentence"), k.alias("at"), s["place"].alias("place"))), found_in)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("rk"), text.alias("text"), F.concat(lined, wrapped).alias("hits")).where(F.size("hits") > 0)
+    # the line-wise number of a wrapped sentence: sentences of the parts before it
+    before = F.aggregate(F.slice(F.split("text", WRAPPED_END), 1, F.col("hit.place")), F.lit(0), lambda n, part: n + F.size(lines(part)))
+    rows = rows.select("doc_id", "rk", "text", F.explode("hits").alias("hit"))
+    rows = rows.select("doc_id", "rk", "hit.reading", "hit.sentence", "hit.at", F.when(F.col("hit.reading") == 0, F.col("hit.place")).otherwise(before).alias("first"))
     hits = rows.join(known, "sentence").join(steps, "name")
-    found = hits.groupBy("doc_id", "rk", "rule", "license", "n_sentences", (F.col("at") - F.col("step")).alias("first_sentence")).agg(F.count_distinct("step").alias("n"))
-    return found.where("n = n_sentences").select("doc_id", "rule", "license", "first_sentence", "n_sentences")
+    found = hits.groupBy("doc_id", "rk", "reading", "rule", "license", "n_sentences", (F.col("at") - F.col("step")).alias("start")).agg(F.count_distinct("step").alias("n"), F.min(F.when(F.col("step") == 0, F.col("first"))).alias("first_sentence"))
+    return found.where("n = n_sentences").select("doc_id", "rk", "rule", "license", "first_sentence", "n_sentences").distinct().drop("rk")
 
 
 def _quote(text: str) -> str:

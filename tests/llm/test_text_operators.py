@@ -67,6 +67,26 @@ def test_licences(spark):
     assert licenses.scan_licenses(frame.limit(0)).collect() == []
 
 
+def test_wrapped_and_numbered_licences(spark):
+    import textwrap
+
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+    notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd = [licenses.SENTENCES["bsd-redistribution"] + ":"] + [f"{{}} {licenses.SENTENCES[n]}." for n in ("bsd-source", "bsd-binary", "bsd-endorse")]
+    wrap = lambda paragraphs, between="\n\n", **how: between.join(textwrap.fill(p, 60, **how) for p in paragraphs)
+    numbered = lambda marks: [bsd[0], *(b.format(m) for b, m in zip(bsd[1:], marks))]
+    texts = [
+        (1, "Title\n\n" + wrap([mit, notice])), (2, wrap([mit, notice], "\n *\n", initial_indent=" * ", subsequent_indent=" * ").replace("\n", "\r\n")), (3, wrap(["Intro", gpl])), (4, wrap(numbered(["1.", "2.", "3."]))),
+        (5, "\n".join(numbered(["1.", "2.", "3."]))), (6, wrap(numbered(["(a)", "(b)", "(c)"]))), (7, wrap(numbered("***"))), (8, wrap([mit, "Other words.", notice])), (9, "\n".join([mit, notice])),
+    ]
+    got = sorted((r.doc_id, r.rule, r.n_sentences) for r in licenses.scan_licenses(spark.createDataFrame([(d, t, 0, "") for d, t in texts], SCHEMA)).collect())
+    both = [("bsd-2-clause", 3), ("bsd-3-clause", 4)]
+    assert got == sorted([(d, "mit-text", 2) for d in (1, 2, 9)] + [(3, "gpl-3.0-header", 2)] + [(d, *x) for d in (4, 5, 6, 7) for x in both])
+    rows = {r.doc_id: r.first_sentence for r in licenses.scan_licenses(spark.createDataFrame([(d, t, 0, "") for d, t in texts[:3]], SCHEMA)).collect()}
+    assert rows == {1: 1, 2: 0, 3: 1}
+
+
 def test_rules_use_known_sentences():
     assert {n for _, names in licenses.RULES.values() for n in names} <= set(licenses.SENTENCES)
 
