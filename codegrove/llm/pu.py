@@ -18,6 +18,7 @@ driver is bounded by the sample, BINS and MAX_WORDS. Scoring maps every document
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,7 +48,7 @@ def statistics(text: str) -> tuple[np.ndarray, set[str]]:
     marks = n[[33, 34, 39, 40, 41, 44, 45, 46, 58, 59, 63]].sum()
     symbol = n[33:48].sum() + n[58:65].sum() + n[91:97].sum() + n[123:127].sum() - marks
     same = sum(a == b for a, b in zip(words, words[1:]))
-    most = max((words.count(w) for w in words[:: max(1, len(words) // 8)][:8]), default=0)
+    most = max(Counter(words).values(), default=0)
     return np.array([
         np.log1p(size), np.log1p(len(words)), np.log1p(len(lines)), per(upper), per(lower), per(digit), per(space), per(marks), per(symbol), per(n[128:].sum()),
         per(n[124]), per(n[[35, 36, 37, 38, 42]].sum()), per(n[33]), per(n[[60, 62, 91, 93, 123, 125]].sum()), per(n[[47, 64, 58]].sum()), per(n[:9].sum() + n[14:32].sum()),

@@ -182,6 +182,15 @@ def test_classifier_edge_cases(spark):
     assert kept.columns == docs.columns and 0 < kept.count() < 45
 
 
+def test_most_frequent_word_counts_wherever_it_stands():
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80)]
+    for at in range(10):
+        held = list(words)
+        for k in range(8):
+            held[10 * k + at] = "often"
+        assert pu.statistics(" ".join(held))[0][20] == np.float32(0.1)
+
+
 def test_non_negative_risk_learns_from_positives_and_unlabelled():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
