@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,31 +10,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of this machine serves a local session; on a cluster it is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codegrove-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
+#: Spark deletes the shuffle files of an execution when that ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here and a lost executor costs no recomputation. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codegrove-{label}-{uuid.uuid4().hex}"
-    _free(spark)
-    df.write.options(**options).parquet(path)
-    _free(spark)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _free(spark: SparkSession) -> None:
-    """Shuffle files of finished jobs go as soon as the driver's collector finds nothing that refers to them."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def discard(df: DataFrame) -> None:
     """Delete the files of a DataFrame that materialize returned and nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm

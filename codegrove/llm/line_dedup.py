@@ -7,8 +7,8 @@ lines are judged against all earlier lines, whether or not those stay.
 1. Word counts over all documents order the words by rarity, in steps of a twelfth of a
    doubling. They are kept in a fixed number of hashed counters; any order is exact, a good
    one keeps groups small.
-2. Lines with equal word sets are one class, known by two 64-bit sums over word hashes;
-   every line but the first of a class goes.
+2. Lines with equal word sets are one class, known by two 64-bit sums over differently
+   mixed word hashes; every line but the first of a class goes.
 3. Each class puts its rarest words, the prefix that two similar sets must share one of,
    into an index, with a 128-bit bitmap of its words; a word that occurs once in all
    documents is left out, as nobody else has it. Members of an index entry meet,
@@ -18,6 +18,10 @@ lines are judged against all earlier lines, whether or not those stay.
    round k with the earliest 16 ** k members, taken by partial aggregation.
 4. Partners are verified by Jaccard on the word sets. A class none of whose partners holds,
    and which was not compared with all candidates, is compared with the rest of them.
+
+Words are told by 64-bit hashes throughout, in classes and in verification: two words that
+agree in theirs count as one. Texts are read in runs of whole lines of about SLICE bytes,
+so memory follows the longest line and not the longest text.
 """
 
 from __future__ import annotations
@@ -41,16 +45,19 @@ GROUP = 4096
 STEPS = 12
 #: So many partners of a class are taken from an index entry before comparison stops.
 PARTNERS = 8
-KEY = ["k1", "k2"]
-ORDER = ["doc_id", "line", "rk"]
+#: A line that has words, as it travels: sums of its word hashes, its place, size and bitmap, numbers of prefix words.
+ROW = np.dtype([(k, "<i8") for k in ("k1", "k2", "doc", "rk", "b1", "b2")] + [(k, "<i4") for k in ("line", "n", "lone", "hot", "size")])
+LATER = np.dtype([("doc", "<i8"), ("rk", "<i8"), ("line", "<i4")])
 #: What an entry knows of its class; (doc_id, line, tag) tells and orders classes. The tag, half of k1, only matters for rows that share a doc_id.
 MEMBER = ["doc_id", "line", "tag", "n", "at", "b1", "b2"]
 #: Two numbers of so many bits are packed into one long where entries are exchanged.
 HALF = 31
 #: Entries travel in blocks, dealt by word into BUCKETS buckets, or as many as leave about ENTRIES entries in each.
 BUCKETS, ENTRIES = 256, 1 << 18
-#: Bytes hashed at once.
-SLAB = 1 << 18
+#: Bytes of text taken up at once, and bytes hashed at once.
+SLICE, SLAB = 1 << 20, 1 << 18
+#: Parts in which the earliest entries of a common word are found before they are merged.
+PARTS = 16
 #: Words of more bytes are hashed one by one.
 LONG = 32
 #: Tables of classes up to so many rows are broadcast; larger ones are joined by shuffle.
@@ -122,18 +129,43 @@ def _sets(line: np.ndarray, h: np.ndarray, levels: np.ndarray | None = None):
     return line[new], h[new], level[new]
 
 
-def word_levels(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
-    """How often the words of each counter occur in docs, as STEPS * log2(n), rounded; the array's size is fixed.
+def _slices(texts: pa.Array, size: int = SLICE):
+    """Runs of whole lines of about `size` bytes, or one longer line: (bytes, offsets of the documents in them, number of the first document, number of the line it begins with)."""
+    data, offsets = _bytes(texts)
+    doc, at, line = 0, 0, 0
+    while doc < len(texts):
+        end = max(doc, int(np.searchsorted(offsets, at + size, side="right")) - 1)
+        if end > doc:  # whole documents, but for the beginning of the first
+            yield data[at : offsets[end]], np.r_[0, offsets[doc + 1 : end + 1] - at], doc, line
+            doc, at, line = end, int(offsets[end]), 0
+            continue
+        stop, cut, seen = int(offsets[doc + 1]), 0, at
+        while not cut and seen < stop:
+            breaks = np.flatnonzero(data[seen : min(seen + size, stop)] == 10)
+            cut = seen + int(breaks[-1]) + 1 if len(breaks) else 0
+            seen += size
+        cut = cut or stop
+        yield data[at:cut], np.array([0, cut - at]), doc, line
+        line += int((data[at:cut] == 10).sum())
+        at = cut
+        if cut == stop:
+            doc, line = doc + 1, 0
+
+
+def word_levels(docs: DataFrame, counters: int = COUNTERS) -> tuple[np.ndarray, int]:
+    """How often the words of each counter occur in docs, as STEPS * log2(n), rounded; the array's size is fixed. Also the number of line breaks in docs.
 
     Counters travel in blocks of BLOCK, of which a task sends those that are not zero.
     """
 
     def count(batches):
-        total = np.zeros(counters, np.int64)
+        total, breaks = np.zeros(counters, np.int64), 0
         for b in batches:
-            for part in (b.column("text").slice(i, 512) for i in range(0, b.num_rows, 512)):
-                h = _words(*_bytes(part))[1]
+            for data, offsets, _, _ in _slices(b.column("text")):
+                h = _words(data, offsets)[1]
                 np.add.at(total, (h % np.uint64(counters)).astype(np.int64), 1)
+                breaks += int((data == 10).sum()) + len(offsets)
+        yield pa.RecordBatch.from_pydict({"block": pa.array([-1], pa.int32()), "at": [b"\0\0"], "n": [np.int64(breaks).tobytes()]})
         for k, i in enumerate(range(0, counters, BLOCK)):
             at = np.flatnonzero(total[i : i + BLOCK])
             if len(at):
@@ -147,53 +179,138 @@ def word_levels(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
                 total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
         for k, total in sums.items():
             level = np.rint(np.log2(np.maximum(total, 1)) * STEPS).astype(np.uint16)
-            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "levels": [level.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "levels": [total[:1].tobytes() if k < 0 else level.tobytes()]})
 
     counted = docs.select("text").mapInArrow(count, "block int, at binary, n binary")
     rows = counted.repartition("block").mapInArrow(add, "block int, levels binary").toArrow()  # a row for each block
-    out = np.zeros(-(-counters // BLOCK) * BLOCK, np.uint16)
+    out, breaks = np.zeros(-(-counters // BLOCK) * BLOCK, np.uint16), 0
     for k, level in zip(rows["block"].to_pylist(), rows["levels"].to_pylist()):
-        out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(level, np.uint16)
-    return out[:counters]
+        if k < 0:
+            breaks = int(np.frombuffer(level, np.int64)[0])
+        else:
+            out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(level, np.uint16)
+    return out[:counters], breaks
+
+
+def _lines(data: np.ndarray, offsets: np.ndarray, first_line: int, levels: np.ndarray, threshold: float, common: float):
+    """Of each line that has words: (number of its document, ROW without doc and rk), and all prefixes, end to end."""
+    at, h = _words(data, offsets)
+    breaks = np.flatnonzero(data == 10)
+    word_doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(at, offsets)))
+    opening = np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1)  # number of each document's first line among all lines
+    line, h, level = _sets(np.searchsorted(breaks, at) + word_doc, h, levels)
+    start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+    rows = np.zeros(len(start), ROW)
+    if not len(start):
+        return np.zeros(0, np.int64), rows, np.zeros(0, np.int64)
+    n = np.diff(np.r_[start, len(line)])
+    rows["k1"], rows["k2"] = (np.add.reduceat(_mix(h, by), start).view(np.int64) for by in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+    bit = np.uint64(1) << (h & np.uint64(63))
+    upper = (h >> np.uint64(6)) & np.uint64(1) == 1
+    rows["b1"], rows["b2"] = (np.bitwise_or.reduceat(np.where(keep, bit, np.uint64(0)), start).view(np.int64) for keep in (upper, ~upper))
+    prefix = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+    prefix[n / (n + 1) < threshold - 1e-9] = 0  # so short that only equal sets are similar
+    inside = np.arange(len(line)) - np.repeat(start, n) < np.repeat(prefix, n)
+    rows["lone"] = np.add.reduceat(inside & (level == 0), start)  # the rarest, so they come first
+    inside &= level > 0
+    rows["hot"] = np.add.reduceat(inside & (level > common), start)
+    rows["size"], rows["n"] = prefix - rows["lone"], n
+    doc = np.searchsorted(opening, line[start], side="right") - 1
+    rows["line"] = line[start] - opening[doc] + np.where(doc == 0, first_line, 0)
+    return doc, rows, h[inside].view(np.int64)
+
+
+def _reduced(held: list[tuple[np.ndarray, np.ndarray]]):
+    """The first row of each class with its prefix, and the other rows, but for repeats of the first itself."""
+    rows, prefix = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort([rows[k] for k in ("rk", "line", "doc", "k2", "k1")])
+    size = rows["size"].astype(np.int64)
+    begin = np.cumsum(size) - size
+    rows = rows[order]
+    head = np.flatnonzero(np.r_[True, (rows["k1"][1:] != rows["k1"][:-1]) | (rows["k2"][1:] != rows["k2"][:-1])])
+    of = np.repeat(head, np.diff(np.r_[head, len(rows)]))
+    later = (rows["doc"] != rows["doc"][of]) | (rows["line"] != rows["line"][of]) | (rows["rk"] != rows["rk"][of])
+    size, begin = size[order[head]], begin[order[head]]
+    take = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    others = np.empty(int(later.sum()), LATER)
+    for k in LATER.names:
+        others[k] = rows[k][later]
+    return rows[head], prefix[take], others
 
 
 def _classes(docs: DataFrame, threshold: float, group: int) -> DataFrame:
-    """(doc_id, rk, line, k1, k2, n, b1, b2, prefix, lone, hot) for each line that has words.
+    """A row for each class, at its first line: (doc_id, rk, line, tag, n, b1, b2, prefix, lone, hot); and (doc_id, rk, line) of all other lines that have words.
 
-    lone: number of words before the prefix that occur once in all documents; hot: number of words at its end that are common.
+    lone: number of words before the prefix that occur once in all documents; hot: number
+    of words at its end that are common. Rows travel in blocks, reduced to one row of each
+    class first, so a line that many documents hold costs a row for each block.
     """
-    levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))  # COUNTERS numbers of two bytes
+    levels, breaks = word_levels(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS numbers of two bytes
     common = STEPS * np.log2(group) if group else -1
+    buckets = max(BUCKETS, -(-breaks // ENTRIES))
+
+    def deal(batches):
+        held, count = [], 0
+
+        def blocks():
+            first, prefix, later = _reduced(held)
+            bucket = (_mix(first["k1"].view(np.uint64), 0xD6E8FEB86659FD93) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            size = first["size"].astype(np.int64)
+            begin = (np.cumsum(size) - size)[order]
+            first, bucket, size = first[order], bucket[order], size[order]
+            prefix = prefix[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends, cuts = np.r_[start[1:], len(first)], np.r_[0, np.cumsum(size)]
+            out = [bucket[start], [first[i:j].tobytes() for i, j in zip(start, ends)], [prefix[cuts[i] : cuts[j]].tobytes() for i, j in zip(start, ends)], [b""] * len(start)]
+            for i in range(0, len(later), 1 << 14):  # to any bucket: these rows only pass through it
+                part = later[i : i + (1 << 14)]
+                out = [np.r_[out[0], np.int32(int(part["rk"][0]) % buckets)], [*out[1], b""], [*out[2], b""], [*out[3], part.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "rows", "prefixes", "later"])
+
+        for b in batches:
+            ids, keys = b.column("doc_id").to_numpy(), b.column("rk").to_numpy()
+            for data, offsets, first_doc, first_line in _slices(b.column("text")):
+                doc, rows, prefix = _lines(data, offsets, first_line, shared.value, threshold, common)
+                rows["doc"], rows["rk"] = ids[first_doc + doc], keys[first_doc + doc]
+                held.append((rows, prefix))
+                count += len(rows)
+                if count >= ENTRIES // 2:
+                    yield blocks()
+                    held, count = [], 0
+        if count:
+            yield blocks()
+
+    def bucket(held):
+        first, prefix, later = _reduced(held)
+        ends = pa.array(np.r_[0, np.cumsum(first["size"])].astype(np.int32))
+        numbers = {"doc_id": first["doc"], "rk": first["rk"], "line": first["line"], "tag": (first["k1"] & 0x7FFFFFFF).astype(np.int32), **{k: first[k] for k in ("n", "b1", "b2", "lone", "hot")}}
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in numbers.values()), pa.ListArray.from_arrays(ends, pa.array(prefix))], names=[*numbers, "prefix"])
+        yield others(later)
+
+    def others(later):
+        none = {**dict.fromkeys(("tag", "n"), pa.int32()), **dict.fromkeys(("b1", "b2"), pa.int64()), **dict.fromkeys(("lone", "hot"), pa.int32()), "prefix": pa.list_(pa.int64())}
+        known = [pa.array(np.ascontiguousarray(later[k])) for k in ("doc", "rk", "line")]
+        return pa.RecordBatch.from_arrays([*known, *(pa.nulls(len(later), t) for t in none.values())], names=["doc_id", "rk", "line", *none])
 
     def run(batches):
+        held, now = [], None
         for b in batches:
-            for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
-                data, docs = _bytes(part.column("text"))
-                at, h = _words(data, docs)
-                if not len(at):
-                    continue
-                breaks = np.r_[0, np.cumsum(data == 10)]  # line breaks before each byte
-                opening = breaks[docs[:-1]] + np.arange(len(docs) - 1)  # number of each document's first line among all lines
-                line, h, level = _sets(breaks[at] + np.repeat(np.arange(len(docs) - 1), np.diff(np.searchsorted(at, docs))), h, levels.value)
-                start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-                n = np.diff(np.r_[start, len(line)])
-                k1, k2 = (np.add.reduceat(_mix(h, by), start).view(np.int64) for by in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
-                bit = np.uint64(1) << (h & np.uint64(63))
-                upper = (h >> np.uint64(6)) & np.uint64(1) == 1
-                b1, b2 = (np.bitwise_or.reduceat(np.where(keep, bit, np.uint64(0)), start).view(np.int64) for keep in (upper, ~upper))
-                prefix = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
-                prefix[n / (n + 1) < threshold - 1e-9] = 0  # so short that only equal sets are similar
-                inside = np.arange(len(line)) - np.repeat(start, n) < np.repeat(prefix, n)
-                lone = np.add.reduceat(inside & (level == 0), start)  # the rarest, so they come first
-                inside &= level > 0
-                hot = np.add.reduceat(inside & (level > common), start)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix - lone)].astype(np.int32)), pa.array(h[inside].view(np.int64)))
-                doc = np.searchsorted(opening, line[start], side="right") - 1
-                take = pa.array(doc)
-                numbers = [pa.array((line[start] - opening[doc]).astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n.astype(np.int32)), pa.array(b1), pa.array(b2), lists, pa.array(lone.astype(np.int32)), pa.array(hot.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("rk").take(take), *numbers], names=["doc_id", "rk", "line", "k1", "k2", "n", "b1", "b2", "prefix", "lone", "hot"])
-
-    return docs.mapInArrow(run, "doc_id long, rk long, line int, k1 long, k2 long, n int, b1 long, b2 long, prefix array<bigint>, lone int, hot int")
+            for k, rows, prefixes, later in zip(*(b.column(c).to_pylist() for c in ("bucket", "rows", "prefixes", "later"))):
+                if held and k != now:
+                    yield from bucket(held)
+                    held = []
+                now = k
+                if rows:
+                    held.append((np.frombuffer(rows, ROW), np.frombuffer(prefixes, np.int64)))
+                if later:
+                    yield others(np.frombuffer(later, LATER))
+        if held:
+            yield from bucket(held)
+
+    dealt = docs.mapInArrow(deal, "bucket int, rows binary, prefixes binary, later binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "doc_id long, rk long, line int, tag int, n int, b1 long, b2 long, lone int, hot int, prefix array<bigint>")
 
 
 def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
@@ -210,13 +327,13 @@ def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
         held, count = [], 0
 
         def blocks():
-            rows = np.concatenate(held)
-            bucket = (_mix(rows[:, 0].view(np.uint64), 0xC2B2AE3D27D4EB4F) % np.uint64(buckets)).astype(np.int32)
+            rows = np.concatenate(held, axis=1)
+            bucket = (_mix(rows[0].view(np.uint64), 0xC2B2AE3D27D4EB4F) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[order], bucket[order]
+            rows, bucket = rows[:, order], bucket[order]
             start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[start[1:], len(rows)]
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[start]), "entries": pa.array([rows[i:j].tobytes() for i, j in zip(start, ends)], pa.binary())})
+            ends = np.r_[start[1:], rows.shape[1]]
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[start]), "entries": pa.array([rows[:, i:j].tobytes() for i, j in zip(start, ends)], pa.binary())})
 
         for b in batches:
             col = {k: b.column(k).to_numpy() for k in ("doc_id", "line", "tag", "n", "b1", "b2", "lone", "hot")}
@@ -227,7 +344,7 @@ def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
             own, at = own[cold], at[cold] + col["lone"][own[cold]]
             place = (col["line"].astype(np.int64) << HALF) | col["tag"]
             extent = (col["n"].astype(np.int64)[own] << HALF) | at
-            held.append(np.column_stack([b.column("prefix").flatten().to_numpy()[cold], col["doc_id"][own], place[own], extent, col["b1"][own], col["b2"][own]]))
+            held.append(np.stack([b.column("prefix").flatten().to_numpy()[cold], col["doc_id"][own], place[own], extent, col["b1"][own], col["b2"][own]]))
             count += len(own)
             if count >= 2 * ENTRIES:
                 yield blocks()
@@ -263,9 +380,9 @@ def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), pa.array(had[mine] >= PARTNERS)], names=[*PAIR, "more"])
 
     def bucket(blocks: list[bytes]):
-        rows = np.concatenate([np.frombuffer(x, np.int64) for x in blocks]).reshape(-1, 6)
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-        return partners({k: np.ascontiguousarray(rows[:, i]) for i, k in enumerate(("word", "doc_id", "place", "extent", "b1", "b2"))})
+        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(6, -1) for x in blocks], axis=1)
+        rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+        return partners(dict(zip(("word", "doc_id", "place", "extent", "b1", "b2"), rows)))
 
     def run(batches):
         blocks, now = [], None
@@ -307,8 +424,9 @@ def _rounds(entries: DataFrame, threshold: float) -> DataFrame | None:
     found, low, high = None, 0, 1
     while not entries.isEmpty():
         if low:
-            rank = F.row_number().over(Window.partitionBy("word").orderBy(*MINE))
-            heads = entries.withColumn("rank", rank).where(F.col("rank") <= high).where(F.col("rank") > low).drop("rank")
+            ranked = lambda df, *key: df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*MINE))).where(F.col("rank") <= high)
+            heads = ranked(entries.withColumn("part", F.pmod(F.xxhash64(*MINE), F.lit(PARTS))), "word", "part").drop("part")
+            heads = ranked(heads, "word").where(F.col("rank") > low).drop("rank")
         else:
             heads = entries.groupBy("word").agg(F.min(F.struct(*MEMBER)).alias("m")).select("word", "m.*")
         heads = materialize(heads, "heads")
@@ -316,6 +434,7 @@ def _rounds(entries: DataFrame, threshold: float) -> DataFrame | None:
             break
         later = entries if found is None else entries.join(found.select(*MINE), MINE, "left_anti")
         now = materialize(_pairs(later, heads, threshold).distinct(), "partners")
+        discard(heads)
         found = now if found is None else found.union(now)
         low, high = high, high * 16
     return found
@@ -323,32 +442,37 @@ def _rounds(entries: DataFrame, threshold: float) -> DataFrame | None:
 
 def _word_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """(doc_id, line, tag, words) of the classes in needed (doc_id, line, tag, rk), read from the first line of each."""
-    lines = materialize(needed.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("line", "tag")).alias("lines")), "wanted")
+    lines = needed.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("line", "tag")).alias("lines"))
 
     def run(batches):
         for b in (x.slice(i, 64) for x in batches for i in range(0, x.num_rows, 64)):
-            wanted = [[(doc, w["line"], w["tag"]) for w in lines] for doc, lines in zip(b.column("doc_id").to_pylist(), b.column("lines").to_pylist())]
-            texts = [(text.as_py() or "").encode().split(b"\n") for text in b.column("text")]
-            data = np.frombuffer(b"\n".join(lines[w[1]] for lines, ws in zip(texts, wanted) for w in ws), np.uint8)
+            lists = b.column("lines")
+            doc = np.repeat(b.column("doc_id").to_numpy(), lists.value_lengths().to_numpy())
+            number, tag = lists.flatten().field("line"), lists.flatten().field("tag")
+            wanted, ends = number.to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            taken = []
+            for text, i, j in zip(b.column("text"), ends[:-1], ends[1:]):
+                lines = text.as_py().encode().split(b"\n")
+                taken += [lines[k] for k in wanted[i:j]]
+            data = np.frombuffer(b"\n".join(taken), np.uint8)
             at, h = _words(data, np.zeros(0, np.int64))
-            line, h, _ = _sets(np.r_[0, np.cumsum(data == 10)][at], h)
-            doc, number, tag = zip(*(w for ws in wanted for w in ws)) if b.num_rows else ((), (), ())
-            ends = np.searchsorted(line, np.arange(len(doc) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(tag, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["doc_id", "line", "tag", "words"]
-            )
-
-    found = docs.join(lines, ["doc_id", "rk"]).select("doc_id", "text", "lines").mapInArrow(run, "doc_id long, line int, tag int, words array<bigint>")
+            line, h, _ = _sets(np.searchsorted(np.flatnonzero(data == 10), at), h)
+            cuts = pa.array(np.searchsorted(line, np.arange(len(doc) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), number, tag, pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64)))], names=["doc_id", "line", "tag", "words"])
+
+    found = docs.join(lines.hint("shuffle_hash"), ["doc_id", "rk"]).select("doc_id", "text", "lines").mapInArrow(run, "doc_id long, line int, tag int, words array<bigint>")
     return found.dropDuplicates(MINE)
 
 
 def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Classes (doc_id, line, tag) with a pair whose word sets are similar."""
+    """Classes (doc_id, line, tag) with a pair whose word sets are similar. A hash table of a partition's wanted lines, not of texts, meets the texts."""
     needed = pairs.select(*MINE).union(pairs.select(*THEIRS)).distinct()
     sets = materialize(_word_sets(docs, firsts.join(needed, MINE, "left_semi").select(*MINE, "rk")), "word-sets")
     both = pairs.join(sets, MINE).join(_prefixed(sets, "a_"), THEIRS)
     shared = F.size(F.array_intersect("words", "a_words"))
-    return materialize(both.where(shared >= (F.size("words") + F.size("a_words") - shared) * threshold - 1e-9).select(*MINE).distinct(), "similar")
+    similar = materialize(both.where(shared >= (F.size("words") + F.size("a_words") - shared) * threshold - 1e-9).select(*MINE).distinct(), "similar")
+    discard(sets)
+    return similar
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -356,16 +480,16 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _entries(firsts: DataFrame) -> DataFrame:
-    """A row for each index entry of the classes; entries of common words have at >= cold."""
-    cold = (F.col("lone") + F.size("prefix") - F.col("hot")).alias("cold")
-    rows = firsts.select("doc_id", "line", "tag", "n", "b1", "b2", "lone", cold, F.posexplode("prefix").alias("at", "word"))
+    """A row for each index entry of the classes."""
+    rows = firsts.select("doc_id", "line", "tag", "n", "b1", "b2", "lone", F.posexplode("prefix").alias("at", "word"))
     return rows.withColumn("at", F.col("lone") + F.col("at")).drop("lone")
 
 
 def _similar(docs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
     """Classes (doc_id, line, tag) that are similar to a class whose first line is earlier."""
     pairs = _meet(firsts, threshold)
-    common = _rounds(_entries(firsts.where("hot > 0")).where("at >= cold").select("word", *MEMBER), threshold)
+    hot = firsts.where("hot > 0").withColumn("lone", F.col("lone") + F.size("prefix") - F.col("hot")).withColumn("prefix", F.slice("prefix", F.size("prefix") - F.col("hot") + 1, F.col("hot")))
+    common = _rounds(_entries(hot).select("word", *MEMBER), threshold)
     if common is not None:
         pairs = pairs.union(common.withColumn("more", F.lit(True)))
     pairs = materialize(pairs.groupBy(*PAIR).agg(F.max("more").alias("more")), "pairs")
@@ -381,15 +505,11 @@ def _similar(docs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
 
 def find_repeats(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """(doc_id, rk, lines): numbers of the lines to remove, for each document that loses lines. docs: doc_id, rk, text."""
-    plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("k1", "k2", "b1", "b2", "prefix.list.element")}  # numbers that hardly repeat
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("b1", "b2", "prefix.list.element")}  # numbers that hardly repeat
     lines = materialize(_classes(docs.where("doc_id is not null"), threshold, group), "lines", **plain)
-    first = F.min(F.struct(*ORDER, "n", "b1", "b2", "prefix", "lone", "hot")).alias("f")
-    firsts = materialize(lines.groupBy(*KEY).agg(first).select(*KEY, "f.*", F.col("k1").bitwiseAND(0x7FFFFFFF).cast("int").alias("tag")), "firsts", **plain)
-    places = materialize(lines.select(*ORDER), "places")
-    discard(lines)
-    stay = materialize(firsts.join(_similar(docs, firsts, threshold), MINE, "left_anti").select(*ORDER), "stay")
-    discard(firsts)
-    gone = places.join(stay, ORDER, "left_anti")
+    firsts, place = lines.where("tag is not null"), ["doc_id", "rk", "line"]
+    similar = firsts.select(*MINE, "rk").join(_similar(docs, firsts, threshold), MINE, "left_semi").select(*place)
+    gone = lines.where("tag is null").select(*place).union(similar)
     return gone.groupBy("doc_id", "rk").agg(F.collect_set("line").alias("lines"))
 
 
@@ -405,11 +525,13 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROU
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("rk"), F.col("text").cast("string").alias("text"))
     repeats = find_repeats(inner, threshold, group).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), F.col("lines").alias("__gone"))
-    joined = docs.withColumn("__key", key).join(repeats, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__rk")), "left")
-    joined = joined.withColumn("__lines", F.split("text", "\n"))  # a column of its own, so that transform does not split the text for every line
-    lines = F.col("__lines")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    # the hash table is of a partition's line numbers; texts are not sorted
+    joined = docs.withColumn("__key", key).join(repeats.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__rk")), "left")
+    loses = F.col("__gone").isNotNull()
+    joined = joined.withColumn("__lines", F.when(loses, F.split("text", "\n")))  # a column of its own, so that transform does not split the text for every line
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
+    kept = F.when(loses, F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")).otherwise(F.col("text"))
     columns = [kept.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
-    return joined.select(*columns, F.when(F.col("text").isNull(), 1).otherwise(F.size(lines)).alias("n_lines"), n_removed.alias("n_removed"))
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    n_lines = (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("int")
+    return joined.select(*columns, n_lines.alias("n_lines"), F.when(loses, F.size("__gone")).otherwise(0).alias("n_removed"))

@@ -53,6 +53,34 @@ def test_line_dedup_of_repeated_rows_and_long_texts(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("size", [8, 100, 1 << 20])
+def test_slices_are_whole_lines_in_order(size):
+    import pyarrow as pa
+
+    texts = ["", "a\nbb\n\nccc", None, "x" * 50 + "\ny", "\n" * 9, "one", "z " * 300, "\n".join(f"line {i}" for i in range(60))]
+    seen = []
+    for data, offsets, doc, line in line_dedup._slices(pa.array(["skipped", *texts]).slice(1), size):
+        assert len(data) <= max(size, 601) and offsets[0] == 0 and offsets[-1] == len(data)
+        for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+            own = data[a:b].tobytes().split(b"\n")
+            seen += [(doc + i, k + (line if i == 0 else 0), x) for k, x in enumerate(own) if x]
+    assert seen == [(d, k, x) for d, t in enumerate(texts) for k, x in enumerate((t or "").encode().split(b"\n")) if x]
+
+
+def test_very_long_texts_are_read_in_bounded_parts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["".join(f"w{i % 997} {i} x\n" for i in range(d, d + 20_000)) for d in range(64)])
+    levels = np.zeros(1 << 10, np.uint16)
+    tracemalloc.start()
+    rows = sum(len(line_dedup._lines(data, offsets, line, levels, 0.8, 1)[1]) for data, offsets, _, line in line_dedup._slices(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 64 * 20_000 and peak < 128 << 20
+
+
 def test_licences(spark):
     texts = [
         (1, "Intro.\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n  http://x"),
