@@ -2,17 +2,21 @@
 
 A model is learnt from trusted positives and unlabelled texts alone: it minimises
 pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)) with the logistic loss, so its scores estimate
-the probability of label 1. The class prior pi is the share of label 1 among the labelled
-rows of the learning fold, the only place where label 0 is looked at; where no row has
-label 0, pi is 0.5 unless given.
+the probability of label 1. Rows of label 0 are never looked at. The class prior pi is
+estimated from positives and unlabelled texts too: a model learnt on one half of them
+ranks the other half, and pi is the least ratio, over all thresholds, of the share of
+unlabelled texts above a threshold to the share of positives above it, at the threshold
+where that ratio's upper confidence bound is smallest. Both halves take both roles and the
+estimates are averaged.
 
 A text is described by piecewise-constant functions of some twenty surface statistics and
 by the presence of words that positives hold significantly more or less often than
 unlabelled texts. Statistics and words come from the whole text.
 
-Fitting reads at most `sample` positives and `sample` unlabelled documents, those whose
-XXH64 of doc_id is smallest; features are computed on the executors, and what reaches the
-driver is bounded by the sample, BINS and MAX_WORDS. Scoring maps every document.
+The fitting sample is at most `sample` positives and `sample` unlabelled documents, those
+whose XXH64 of doc_id is smallest, one text of each; features are computed on the
+executors, and what reaches the driver is bounded by the sample, BINS and MAX_WORDS.
+Scoring maps every document.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ MAX_WORDS = 1024
 #: A word is a feature if its share among positives is so many standard errors off.
 MIN_Z = 6.0
 ROUNDS = 600
+#: Weight decay times the number of positives, and rounds, of the models that only rank for the prior: smoother than the final model, as they learn from half of the sample.
+RANK_STRENGTH, RANK_ROUNDS = 10.0, 150
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -76,46 +82,69 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """pi * R_p(+), the estimate R_u(-) - pi * R_p(-) of the risk on negatives, and the gradients of the two. w: weights, then the bias."""
+    narrow = w[:-1].astype(positive.dtype)  # products of one type: the matrices are not copied
+    zp, zu = ((x @ narrow).astype(np.float64) + w[-1] for x in (positive, unlabelled))
+    loss = lambda z: np.logaddexp(0, z).mean()  # noqa: E731  logistic, of a negative label at score z
+    on = lambda g, x: np.r_[g.astype(x.dtype) @ x, g.sum()]
+    sp = _sigmoid(zp) / len(zp)
+    of_positives = on(sp, positive)
+    return prior * loss(-zp), loss(zu) - prior * loss(zp), prior * (of_positives - on(np.full(len(zp), 1 / len(zp)), positive)), on(_sigmoid(zu) / len(zu), unlabelled) - prior * of_positives
+
+
 def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS, decay: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk (Adam, full batches)."""
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    """Weights and bias that minimise the non-negative risk (Adam, full batches). Where the risk on negatives is estimated below zero, a step goes up that estimate."""
     w = np.zeros(positive.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        narrow = w[:-1].astype(positive.dtype)  # products of one type: the matrices are not copied
-        sp, su = (sigmoid((x @ narrow).astype(np.float64) + w[-1]) for x in (positive, unlabelled))
-        negative = np.logaddexp(0, np.log(su / (1 - su))).mean() - prior * np.logaddexp(0, np.log(sp / (1 - sp))).mean()
-        up, down = prior * (sp - 1) / len(sp), (-prior * sp / len(sp), su / len(su))
-        if negative >= 0:
-            gp, gu = up + down[0], down[1]
-        else:  # the estimate of the negative risk fell below zero: step back from it
-            gp, gu = -down[0], -down[1]
-        g = np.r_[gp.astype(positive.dtype) @ positive + gu.astype(unlabelled.dtype) @ unlabelled + decay * w[:-1], gp.sum() + gu.sum()]
+        _, negative, up, down = risk(w, positive, unlabelled, prior)
+        g = (up + down if negative >= 0 else -down) + np.r_[decay * w[:-1], 0]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (1 - (t - 1) / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
+def tail_ratio(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The prior as a ratio of upper tails of two sets of scores; gamma weighs the confidence bound that picks the tail."""
+    cuts = np.unique(positive)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, side="left") / len(x)
+    p, u = above(positive), above(unlabelled)
+    slack = sum(np.sqrt(np.log(4 / delta) / (2 * len(x))) for x in (positive, unlabelled))
+    best = int(np.argmin((u + (1 + gamma) * slack) / p))
+    return float(u[best] / p[best])
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows; at least one in a thousand and at most all but that."""
+    estimates = []
+    for half in (0, 1):
+        own, other = ((positive[k::2], unlabelled[k::2]) for k in (half, 1 - half))
+        if all(map(len, (*own, *other))):
+            w, b = minimise(*own, 0.5, RANK_ROUNDS, RANK_STRENGTH / len(positive))
+            estimates.append(tail_ratio(*(x @ w.astype(x.dtype) + b for x in other)))
+    return float(np.clip(np.mean(estimates or [0.5]), 1e-3, 1 - 1e-3))
+
+
 def remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, sample: int = SAMPLE, prior: float | None = None, strength: float = 1.0) -> Model:
-    """Learn from the rows of labels and docs whose remainder is not held. Null ids and labels are skipped; of several labels of a document the highest counts. strength: weight decay times the number of positives."""
+    """Learn from the rows of labels and docs whose remainder is not held. Null ids and labels are skipped; a document with several labels is positive if one of them is 1, and of rows that share a doc_id the smallest text is learnt from. strength: weight decay times the number of positives."""
     ids = F.col("doc_id")
-    known = labels.select(ids.cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(ids.isNotNull() & F.col(label).isNotNull() & (remainder(ids, folds) != held))
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    positives = labels.where(ids.isNotNull() & (F.col(label).cast("int") == 1) & (remainder(ids, folds) != held)).select(ids.cast("long").alias("doc_id")).distinct()
     texts = docs.select(ids.cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(ids.isNotNull() & (remainder(ids, folds) != held))
     nothing = Model(np.zeros((0, BINS - 1)), {}, np.zeros(0), 0.0, 0.0)
 
-    n = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
-    if not n.ones:
-        return nothing
-    prior = prior or (n.ones / n.n if n.ones < n.n else 0.5)
     first = lambda rows: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = first(known.where("label = 1").select("doc_id")).withColumn("role", F.lit(1)).union(first(texts.select("doc_id")).withColumn("role", F.lit(0)))
+    chosen = first(positives).withColumn("role", F.lit(1)).union(first(texts.select("doc_id").distinct()).withColumn("role", F.lit(0)))
 
     def describe(batches):
         for b in batches:
@@ -125,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, s
             )
 
     # at most 2 * sample ids, so their broadcast is bounded
-    described = materialize(texts.join(F.broadcast(chosen), "doc_id").select("role", "text").mapInArrow(describe, "role int, stats array<float>, words array<string>"), "described")
+    learnt = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "role").agg(F.min("text").alias("text"))
+    described = materialize(learnt.select("role", "text").mapInArrow(describe, "role int, stats array<float>, words array<string>"), "described")
     sizes = {r.role: r["count"] for r in described.groupBy("role").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return nothing
@@ -138,24 +168,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, s
 
     roles, stats = np.array(rows["role"].to_pylist()), np.array(rows["stats"].to_pylist(), dtype=np.float32)
     edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T.astype(np.float32)
-    model = Model(edges, words, np.zeros(0), 0.0, prior)
+    model = Model(edges, words, np.zeros(0), 0.0, 0.0)
     x = np.zeros((len(roles), len(edges) * BINS + len(words)), dtype=np.float32)
     for i, (s, w) in enumerate(zip(stats, rows["words"].to_pylist())):
         x[i, model.columns(s, w)] = 1
-    model.weights, model.bias = minimise(x[roles == 1], x[roles == 0], prior, decay=strength / sizes[1])
+    positive, unlabelled, decay = x[roles == 1], x[roles == 0], strength / sizes[1]
+    del x
+    model.prior = prior or estimate_prior(positive, unlabelled)
+    model.weights, model.bias = minimise(positive, unlabelled, model.prior, decay=decay)
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a score column (replacing any of that name)."""
-    names, fields = docs.drop("score").columns, docs.drop("score").schema
+def score(text: Column, model: Model) -> Column:
+    """The score of a text column; only that column passes through Python. Null counts as empty."""
 
-    def run(batches):
-        for b in batches:
-            scores = [model.score(t.as_py() or "") for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(scores, pa.float64())], names=[*names, "score"])
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t.as_py() or "") for t in texts], pa.float64())
 
-    return docs.drop("score").mapInArrow(run, fields.add("score", "double"))
+    return scores(text.cast("string"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, threshold: float = 0.3, sample: int = SAMPLE, strength: float = 1.0) -> DataFrame:
@@ -166,5 +197,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
     is 0. An empty table gives an empty result; columns besides doc_id and text are not read.
     """
     model = fit(docs, labels, label, folds, held, sample, strength=strength)
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text"), model).alias("score"))
     return scored.select("doc_id", (remainder(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -19,7 +19,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = pu.SAMPLE)
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = pu.SAMPLE) -> DataFrame:
     """The rows of docs, all columns unchanged, whose text is not predicted toxic."""
     model = pu.fit(docs, labels, "toxic", FOLDS, HELD, sample, strength=STRENGTH)
-    name = "score" if "score" not in docs.columns else "_toxicity"
-    rows = docs.withColumnRenamed("score", "_kept_score") if name == "_toxicity" else docs
-    kept = pu.score(rows, model).where(F.col("score") < THRESHOLD).drop("score")
-    return kept.withColumnRenamed("_kept_score", "score") if name == "_toxicity" else kept
+    return docs.where(pu.score(F.col("text"), model) < THRESHOLD)

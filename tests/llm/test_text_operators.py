@@ -227,6 +227,50 @@ def test_non_negative_risk_learns_from_positives_and_unlabelled():
     assert auc(x @ w + b, y) > 0.9
 
 
+def test_risk_and_gradient_against_plain_versions():
+    rng = np.random.default_rng(3)
+    p, u, w, prior = rng.normal(1, 1, (30, 4)), rng.normal(0, 1, (50, 4)), rng.normal(0, 1, 5), 0.35
+    loss = lambda x, sign: np.mean([np.log(1 + np.exp(-sign * (row @ w[:-1] + w[-1]))) for row in x])
+    on_positives, on_negatives, up, down = pu.risk(w, p, u, prior)
+    assert np.isclose(on_positives, prior * loss(p, 1)) and np.isclose(on_negatives, loss(u, -1) - prior * loss(p, -1))
+    for k in range(5):
+        step = np.zeros(5)
+        step[k] = 1e-6
+        high, low = pu.risk(w + step, p, u, prior), pu.risk(w - step, p, u, prior)
+        assert np.isclose((high[0] - low[0]) / 2e-6, up[k], atol=1e-6) and np.isclose((high[1] - low[1]) / 2e-6, down[k], atol=1e-6)
+
+
+def test_minimise_reaches_what_plain_descent_reaches():
+    rng = np.random.default_rng(4)
+    y = rng.random(600) < 0.4
+    x = np.column_stack([rng.normal(2 * y, 1), rng.normal(0, 1, 600)])
+    w, b = pu.minimise(x[y][:120], x, 0.4, rounds=800, decay=0.0)
+    plain = np.zeros(3)
+    for _ in range(20_000):
+        _, negative, up, down = pu.risk(plain, x[y][:120], x, 0.4)
+        plain -= 0.1 * (up + down if negative >= 0 else -down)
+    total = lambda v: sum(np.maximum(pu.risk(v, x[y][:120], x, 0.4)[:2], 0))
+    assert total(np.r_[w, b]) < total(plain) + 1e-3
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.5, 0.9])
+def test_prior_is_found_from_positives_and_unlabelled(prior):
+    rng = np.random.default_rng(6)
+    y = rng.random(6000) < prior
+    x = np.column_stack([rng.normal(2.5 * y, 1), rng.normal(0, 1, 6000)])
+    positive = np.column_stack([rng.normal(2.5, 1, 800), rng.normal(0, 1, 800)])
+    assert abs(pu.estimate_prior(positive, x) - prior) < 0.07
+
+
+def test_drop_toxic_keeps_columns_of_any_name_and_type(spark):
+    import datetime
+
+    docs = spark.createDataFrame([(i, "good text here" if i % 2 else "bad $$$ text", i, f"s{i}", datetime.timedelta(days=i)) for i in range(40)], "doc_id long, text string, n int, Score string, gap interval day to second").selectExpr("*", "make_interval(0, n) AS months", "map(n, Score) AS m")
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.schema == docs.schema and {r.doc_id for r in kept.select("doc_id").collect()} == {i for i in range(40) if i % 2}
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
