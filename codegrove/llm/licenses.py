@@ -13,57 +13,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codegrove.llm.license_rules import RULES, identifiers, normalise
+
 #: Sentences end at a line break, or at punctuation before white space.
 SENTENCE_END = r"[.;:!?]*[ \t\r]*\n+|[.;:!?]+[ \t]+"
 
-#: The same for wrapped text: each end is one of SENTENCE_END too.
-WRAPPED_END = r"[.;:!?]+[ \t\r]*\n+|[.;:!?]+[ \t]+|\n[^A-Za-z0-9\n]*\n"
+#: The same for wrapped text: each end is one of SENTENCE_END too. A comment mark such as ; ends nothing.
+WRAPPED_END = r"[.;:!?]+[ \t\r]*\n+|(?<![\s.;:!?])[.;:!?]+[ \t]+|\n[^A-Za-z0-9\n]*\n"
 LIST_NUMBER = r"^(?:[0-9]{1,3}|[a-z]|[ivx]{1,4})$"
 #: A list number that is not a sentence of its own: 1) or (a) before the first word.
 LIST_MARK = r"^[^A-Za-z0-9]*(?:[0-9]{1,3}|[A-Za-z]|[ivxIVX]{1,4})[)][ \t]+"
 
-#: Known sentences, normalised (lower case, runs of other characters than a-z and 0-9 as one space).
-SENTENCES = {
-    "apache-2.0-line": "licensed under the apache license version 2 0",
-    "apache-2.0-header": "licensed under the apache license version 2 0 the license",
-    "apache-2.0-comply": "you may not use this file except in compliance with the license",
-    "apache-2.0-copy": "you may obtain a copy of the license at",
-    "mit-line": "released under the mit license",
-    "mit-title": "the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "gpl-3.0-line": "this work is licensed under the gnu general public license version 3",
-    "gpl-free": "this program is free software",
-    "gpl-3.0-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-2.0-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "cc-by-nc-4.0-line": "licensed under cc by nc 4 0",
-    "cc-by-4.0-line": "licensed under cc by 4 0",
-    "cc-by-sa-4.0-line": "licensed under cc by sa 4 0",
-    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "rights-reserved": "all rights reserved",
-}
-
-#: Rules as licence and ordered sentence identifiers. A list may hold both a rule and a longer rule that begins like it.
-RULES = {
-    "apache-2.0-line": ("Apache-2.0", ["apache-2.0-line"]),
-    "apache-2.0-header": ("Apache-2.0", ["apache-2.0-header", "apache-2.0-comply", "apache-2.0-copy"]),
-    "mit-line": ("MIT", ["mit-line"]),
-    "mit-text": ("MIT", ["mit-grant", "mit-notice"]),
-    "gpl-3.0-line": ("GPL-3.0-only", ["gpl-3.0-line"]),
-    "gpl-3.0-header": ("GPL-3.0-or-later", ["gpl-free", "gpl-3.0-redistribute"]),
-    "gpl-2.0-header": ("GPL-2.0-or-later", ["gpl-free", "gpl-2.0-redistribute"]),
-    "cc-by-nc-4.0-line": ("CC-BY-NC-4.0", ["cc-by-nc-4.0-line"]),
-    "cc-by-4.0-line": ("CC-BY-4.0", ["cc-by-4.0-line"]),
-    "cc-by-sa-4.0-line": ("CC-BY-SA-4.0", ["cc-by-sa-4.0-line"]),
-    "bsd-2-clause": ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
-    "bsd-3-clause": ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
-    "rights-reserved": ("LicenseRef-all-rights-reserved", ["rights-reserved"]),
-}
-
-
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
@@ -72,7 +32,7 @@ def _table(spark, rows, schema) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))  # constants: their size is fixed
 
 
-def scan_licenses(docs: DataFrame, sentences: dict | None = None, rules: dict | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, rules: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
     """Rules found: (doc_id, rule, license, first_sentence, n_sentences).
 
     first_sentence counts a text's non-blank sentences, read line by line, from 0. A rule of
@@ -80,16 +40,18 @@ def scan_licenses(docs: DataFrame, sentences: dict | None = None, rules: dict |
     reading; a shorter rule inside is reported too. Null, empty and blank texts have no
     sentence. A null doc_id is reported as null; equal rows are reported once. An empty
     table gives an empty result; columns besides doc_id and text are not read.
+    rules: (licence, sentences) by name; without, those of license_rules.
     """
-    sentences, rules = sentences or SENTENCES, rules or RULES
+    rules = rules or RULES
+    names = identifiers(rules)
     spark = docs.sparkSession
-    known = _table(spark, sorted((text, name) for name, text in sentences.items()), "sentence string, name string")
-    steps = _table(spark, [(rule, lic, len(names), k, n) for rule, (lic, names) in rules.items() for k, n in enumerate(names)], "rule string, license string, n_sentences int, step int, name string")
+    known = _table(spark, sorted(names.items()), "sentence string, name string")
+    steps = _table(spark, [(rule, lic, len(parts), k, names[normalise(s)]) for rule, (lic, parts) in rules.items() for k, s in enumerate(parts)], "rule string, license string, n_sentences int, step int, name string")
     text = F.col("text").cast("string")
     lines = lambda t: F.filter(F.transform(F.split(t, SENTENCE_END), normalised), lambda s: s != "")
     read = lambda s, k: F.struct(normalised(F.regexp_replace(s, LIST_MARK, "")).alias("sentence"), k.alias("place"))
     whole = F.filter(F.transform(F.split(text, WRAPPED_END), read), lambda s: (s["sentence"] != "") & ~s["sentence"].rlike(LIST_NUMBER))
-    found_in = lambda s: s["sentence"].isin(sorted(sentences.values()))
+    found_in = lambda s: s["sentence"].isin(sorted(names))
     lined = F.filter(F.transform(lines(text), lambda s, k: F.struct(F.lit(0).alias("reading"), s.alias("sentence"), k.alias("at"), k.alias("place"))), found_in)
     wrapped = F.filter(F.transform(whole, lambda s, k: F.struct(F.lit(1).alias("reading"), s["sentence"].alias("sentence"), k.alias("at"), s["place"].alias("place"))), found_in)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("rk"), text.alias("text"), F.concat(lined, wrapped).alias("hits")).where(F.size("hits") > 0)
@@ -102,23 +64,28 @@ def scan_licenses(docs: DataFrame, sentences: dict | None = None, rules: dict |
     return found.where("n = n_sentences").select("doc_id", "rk", "rule", "license", "first_sentence", "n_sentences").distinct().drop("rk")
 
 
-def _quote(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+#: Pieces of a rule as one expression over lower-cased raw text, for the SQL side: what may
+#: stand between two words of a sentence, between two sentences, and a list number.
+_CHAR = r"(?:[^a-z0-9\n.;:!?]|[.;:!?]+[^a-z0-9\s.;:!?])"
+_INSIDE = rf"(?:{_CHAR}+[.;:!?]*|[.;:!?]+)"
+_WRAPPED_INSIDE = rf"(?:{_CHAR}+[.;:!?]*|[.;:!?]+|{_CHAR}*\n[^a-z0-9\n]*)"
+_BETWEEN = r"[^a-z0-9]*(?:\n|[.;:!?][ \t])[^a-z0-9]*"
+_WRAPPED_BETWEEN = r"(?:[.;:!?]+[ \t]|[^a-z0-9]*(?:[^a-z0-9\s.;:!?][.;:!?]+[ \t]|[.;:!?][ \t\r]*\n|\n[^a-z0-9\n]*\n))[^a-z0-9]*"
+_NUMBER = rf"(?:(?:[0-9]{{1,3}}|[a-z]|[ivx]{{1,4}})(?:[)][ \t]+|{_WRAPPED_BETWEEN})[^a-z0-9]*)?"
+
+
+def rule_expression(sentences: list[str]) -> str:
+    """A regular expression that finds a rule in a lower-cased text, read line by line or as wrapped text. It states the rule and does not cut the text."""
+
+    def reading(inside: str, between: str, number: str) -> str:
+        parts = (inside.join(normalise(s).split()) for s in sentences)
+        return f"(?:^[^a-z0-9]*|[a-z0-9]{between}){number}" + f"{between}{number}".join(parts) + f"(?:[^a-z0-9]*$|{between})"
+
+    return f"(?:{reading(_INSIDE, _BETWEEN, '')}|{reading(_WRAPPED_INSIDE, _WRAPPED_BETWEEN, _NUMBER)})"
 
 
 def oracle_sql() -> str:
-    known = ", ".join(f"({_quote(t)}, {_quote(n)})" for n, t in SENTENCES.items())
-    steps = ", ".join(f"({_quote(r)}, {_quote(lic)}, {len(names)}, {k}, {_quote(n)})" for r, (lic, names) in RULES.items() for k, n in enumerate(names))
-    return f"""
-WITH known(sentence, name) AS (VALUES {known}),
-steps(rule, license, n_sentences, step, name) AS (VALUES {steps}),
-parts AS (
-  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '{SENTENCE_END}'),
-    lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS p
-  FROM documents),
-rows_ AS (SELECT doc_id, unnest(p) AS sentence, unnest(range(len(p))) AS at_ FROM parts)
-SELECT doc_id, rule, license, CAST(at_ - step AS INTEGER) AS first_sentence, CAST(n_sentences AS INTEGER) AS n_sentences
-FROM rows_ JOIN known USING (sentence) JOIN steps USING (name)
-GROUP BY doc_id, rule, license, at_ - step, n_sentences
-HAVING count(DISTINCT step) = n_sentences
-"""
+    """Which rules a text holds, by one regular expression for each rule."""
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    found = [f"SELECT doc_id, {quote(rule)} AS rule, {quote(lic)} AS license, {len(parts)} AS n_sentences FROM t WHERE contains(plain, {quote(normalise(parts[0]))}) AND regexp_matches(low, {quote(rule_expression(parts))})" for rule, (lic, parts) in RULES.items()]
+    return "WITH t AS MATERIALIZED (SELECT doc_id, lower(text) AS low, regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') AS plain FROM documents)\n" + "\nUNION ALL ".join(found)

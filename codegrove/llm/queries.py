@@ -51,7 +51,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(documents(spark, sf_dir))
+    """Which rules each document holds."""
+    return licenses.scan_licenses(documents(spark, sf_dir)).select("doc_id", "rule", "license", "n_sentences").distinct()
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

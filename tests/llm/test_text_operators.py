@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from codegrove.llm import audio, decontaminate, licenses, line_dedup, pu, quality, toxicity
+from codegrove.llm import audio, decontaminate, license_rules, licenses, line_dedup, pu, quality, toxicity
 
 SCHEMA = "doc_id long, text string, n int, rk string"
 
@@ -95,28 +95,55 @@ def test_licences(spark):
     assert licenses.scan_licenses(frame.limit(0)).collect() == []
 
 
-def test_wrapped_and_numbered_licences(spark):
+def licence_texts():
+    """Whole notices, wrapped, commented, numbered and broken: (doc_id, text, rules in it)."""
     import textwrap
 
-    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
-    notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    bsd = [licenses.SENTENCES["bsd-redistribution"] + ":"] + [f"{{}} {licenses.SENTENCES[n]}." for n in ("bsd-source", "bsd-binary", "bsd-endorse")]
-    wrap = lambda paragraphs, between="\n\n", **how: between.join(textwrap.fill(p, 60, **how) for p in paragraphs)
+    r = {name: parts for name, (_, parts) in license_rules.RULES.items()}
+    mit, notice = (f"{x}{end}" for x, end in zip(r["mit-text"], ":."))
+    gnu = lambda rule, first=":": f"{r[rule][0]}{first} {r[rule][1]}{'; ' + r[rule][2] if len(r[rule]) > 2 else ''}."
+    bsd = [r["bsd-3-clause"][0] + ":"] + [f"{{}} {x}." for x in r["bsd-3-clause"][1:]]
+    wrap = lambda paragraphs, between="\n\n", width=60, **how: between.join(textwrap.fill(p, width, **how) for p in paragraphs)
     numbered = lambda marks: [bsd[0], *(b.format(m) for b, m in zip(bsd[1:], marks))]
-    texts = [
-        (1, "Title\n\n" + wrap([mit, notice])), (2, wrap([mit, notice], "\n *\n", initial_indent=" * ", subsequent_indent=" * ").replace("\n", "\r\n")), (3, wrap(["Intro", gpl])), (4, wrap(numbered(["1.", "2.", "3."]))),
-        (5, "\n".join(numbered(["1.", "2.", "3."]))), (6, wrap(numbered(["(a)", "(b)", "(c)"]))), (7, wrap(numbered("***"))), (8, wrap([mit, "Other words.", notice])), (9, "\n".join([mit, notice])),
+    mit_rules, both = {"mit-text"}, {"bsd-2-clause", "bsd-3-clause"}
+    warranty = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.'
+    title = "MIT License\n\nCopyright (c) 2020 Some One\n\n"
+    apache = 'Copyright 2020 Some One\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law'
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    out = [
+        (title + wrap([mit, notice, warranty]), mit_rules), (title + "\n\n".join([mit, notice, warranty]), mit_rules), (wrap([mit, notice], "\n *\n", initial_indent=" * ", subsequent_indent=" * ").replace("\n", "\r\n"), mit_rules),
+        (wrap([mit, notice], "\n#\n", 78, initial_indent="# ", subsequent_indent="# "), mit_rules), (wrap([mit, "Other words.", notice]), set()), ("\n".join([mit, notice]), mit_rules), (" ".join([mit, notice]), mit_rules),
+        (apache, {"apache-2.0-header"}), ("\n".join(" * " + x for x in apache.split("\n")), {"apache-2.0-header"}), ("\n".join("// " + x for x in mpl.split("\n")), {"mpl-2.0-header"}),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later */\nint x;", {"spdx-gpl-2.0-or-later"}), ("# SPDX-License-Identifier: MIT\nimport x", {"spdx-mit"}), ("The text says licensed under CC BY 4.0 here", set()), ("Copyright X. All rights\nreserved.", {"rights-reserved"}),
     ]
-    got = sorted((r.doc_id, r.rule, r.n_sentences) for r in licenses.scan_licenses(spark.createDataFrame([(d, t, 0, "") for d, t in texts], SCHEMA)).collect())
-    both = [("bsd-2-clause", 3), ("bsd-3-clause", 4)]
-    assert got == sorted([(d, "mit-text", 2) for d in (1, 2, 9)] + [(3, "gpl-3.0-header", 2)] + [(d, *x) for d in (4, 5, 6, 7) for x in both])
-    rows = {r.doc_id: r.first_sentence for r in licenses.scan_licenses(spark.createDataFrame([(d, t, 0, "") for d, t in texts[:3]], SCHEMA)).collect()}
-    assert rows == {1: 1, 2: 0, 3: 1}
+    for marks in (["1.", "2.", "3."], ["(a)", "(b)", "(c)"], "***", ["i.", "ii.", "iii."]):
+        out += [(wrap(numbered(marks)), both), ("\n".join(numbered(marks)), both)]
+    out.append((wrap(numbered("***")[:3]), {"bsd-2-clause"}))
+    for rule in r:
+        if rule.startswith(("gpl-3.0-header", "gpl-2.0-header", "agpl", "lgpl")):
+            out += [(wrap(["Intro", gnu(rule, end), "This program is distributed in the hope that it will be useful"], initial_indent="; ", subsequent_indent="; ", between="\n;\n"), {rule}) for end in ":;"]
+    for rule in ("isc-text", "zlib-text", "unlicense-text", "wtfpl-text", "cc0-1.0-text", "cc-by-4.0-text", "cc-by-sa-4.0-text", "epl-2.0-header", "bsl-1.0-line"):
+        out.append((wrap([". ".join(r[rule]) + "."], width=70) + "\n\nmore", {rule}))
+    return [(i, t, rules) for i, (t, rules) in enumerate(out)]
 
 
-def test_rules_use_known_sentences():
-    assert {n for _, names in licenses.RULES.values() for n in names} <= set(licenses.SENTENCES)
+def test_wrapped_and_numbered_licences(spark):
+    texts = licence_texts()
+    got = {}
+    for r in licenses.scan_licenses(spark.createDataFrame([(d, t, 0, "") for d, t, _ in texts], SCHEMA)).collect():
+        got.setdefault(r.doc_id, set()).add(r.rule)
+    assert [(d, got.get(d, set())) for d, *_ in texts] == [(d, want) for d, _, want in texts]
+
+
+def test_licence_sql_states_the_rules(spark):
+    import duckdb
+    import pandas as pd
+
+    frame = pd.DataFrame([(d, t) for d, t, _ in licence_texts()], columns=["doc_id", "text"])
+    with duckdb.connect() as db:
+        db.register("documents", frame)
+        rows = db.sql(licenses.oracle_sql()).fetchall()
+    assert {(d, rule) for d, rule, *_ in rows} == {(d, rule) for d, _, rules in licence_texts() for rule in rules}
 
 
 def test_decontamination_matches_brute_force(spark, monkeypatch):
