@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegrove.functions.parser import functions, parse_errors, parse_sources
+from codegrove.functions.parser import functions, parse_errors, parse_sources, top_level_functions
 from codegrove.operators import links, metrics
 from codegrove.sources.files import read_sources
 
@@ -17,8 +17,8 @@ class Corpus:
         self.thresholds = thresholds
 
     @classmethod
-    def of_files(cls, spark: SparkSession, path: str, thresholds: metrics.Thresholds = metrics.Thresholds()) -> Corpus:
-        return cls(read_sources(spark, path), thresholds)
+    def of_files(cls, spark: SparkSession, path: str, glob: str = "*.py", thresholds: metrics.Thresholds = metrics.Thresholds()) -> Corpus:
+        return cls(read_sources(spark, path, glob), thresholds)
 
     def functions(self) -> DataFrame:
         return functions(self.parsed)
@@ -37,10 +37,21 @@ class Corpus:
 
     def probe(self, entries: DataFrame | None = None) -> DataFrame:
         """Every function with tags, catalog links, report and spoken summary; trust is not computed and stays null."""
-        probed = links.with_report(links.probe_results(self.tagged(), entries))
+        return self._reported(self.tagged(), entries)
+
+    def _reported(self, tagged: DataFrame, entries: DataFrame | None) -> DataFrame:
+        probed = links.with_report(links.probe_results(tagged, entries))
         names = F.transform("tags", lambda t: t["name"])
         return probed.withColumn("spoken", links.spoken_summary(names)).withColumn("trust_score", F.lit(None).cast("double"))
 
+    def probe_function(self, qualified_name: str, entries: DataFrame | None = None) -> DataFrame:
+        """probe() of the first function of that exact name in each file; no row where a file has none."""
+        found = metrics.with_tags(metrics.metrics(self.find(qualified_name)), self.thresholds)
+        return self._reported(found, entries)
+
+    def top_level_functions(self) -> DataFrame:
+        return top_level_functions(self.parsed)
+
     def find(self, qualified_name: str) -> DataFrame:
         return metrics.find(self.functions(), qualified_name)
 

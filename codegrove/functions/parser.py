@@ -1,8 +1,8 @@
 """Python source to rows: one row per function with its statements, or one row per file that does not parse.
 
 Everything about one function is produced together, so metrics need no shuffle. Rows hold
-facts only; what nests, branches or counts as a line is decided by expressions in
-codegrove.operators.metrics.
+facts only; what branches or counts as a line is decided by expressions in
+codegrove.operators.metrics. Facts are collected by column and handed on as Arrow arrays.
 """
 
 from __future__ import annotations
@@ -14,52 +14,100 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-STATEMENT = (
-    "ord: int, node: string, is_top: boolean, is_docstring: boolean, is_scope: boolean, lineno: int, col: int, end_lineno: int, "
-    "n_handlers: int, n_cases: int, ancestors: array<struct<node: string, role: string, is_elif: boolean>>"
-)
-SCHEMA = (
-    "path string, fn_ord int, qualified_name string, name string, kind string, container string, is_async boolean, lineno int, col int, end_lineno int, "
-    f"n_arguments int, first_param string, statements array<struct<{STATEMENT}>>, error_lineno int, error string"
-)
-_SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+#: depth: blocks around the statement, where the block of an elif is that of its if; in_star: inside an except* statement; in_star_handler: in a handler of one.
+STATEMENT = {
+    "node": "string", "is_top": "boolean", "is_docstring": "boolean", "is_scope": "boolean", "lineno": "int", "col": "int", "end_lineno": "int",
+    "n_handlers": "int", "n_cases": "int", "depth": "int", "in_star": "boolean", "in_star_handler": "boolean",
+}
+FUNCTION = {
+    "path": "string", "fn_ord": "int", "qualified_name": "string", "name": "string", "kind": "string", "container": "string", "is_async": "boolean", "lineno": "int", "col": "int", "end_lineno": "int",
+    "n_arguments": "int", "first_param": "string",
+}
+ERROR = {"error_lineno": "int", "error": "string"}
+SCHEMA = ", ".join([*(f"{k} {t}" for k, t in FUNCTION.items()), f"statements array<struct<{', '.join(f'{k}: {t}' for k, t in STATEMENT.items())}>>", *(f"{k} {t}" for k, t in ERROR.items())])
+#: Functions and statements that are handed on together, about.
+BATCH = 1 << 15
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_SCOPES = (*_FUNCTIONS, ast.ClassDef)
+#: Statements that hold blocks of their own.
+_COMPOUND = frozenset((ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.TryStar, ast.Match))
 
 
-def _branches(node: ast.stmt) -> Iterator[tuple[str, list[ast.stmt], bool]]:
-    """(role, statements, is_elif) of each block inside a statement, in source order. Scopes are not entered."""
-    if isinstance(node, _SCOPES):
-        return
-    if isinstance(node, ast.Match):
-        for case in node.cases:
-            yield "case", case.body, False
-        return
-    yield "body", getattr(node, "body", []), False
-    for handler in getattr(node, "handlers", []):
-        yield "handler", handler.body, False
-    rest = getattr(node, "orelse", [])
-    yield "orelse", rest, isinstance(node, ast.If) and len(rest) == 1 and isinstance(rest[0], ast.If)
-    yield "finalbody", getattr(node, "finalbody", []), False
+class Rows:
+    """Columns of rows to come."""
+
+    def __init__(self):
+        self.functions = {k: [] for k in (*FUNCTION, *ERROR)}
+        self.statements = {k: [] for k in STATEMENT}
+        self.ends = [0]
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1 + self.ends[-1]
+
+    def add(self, **values) -> None:
+        """A row; its statements are those added since the last one."""
+        for k, column in self.functions.items():
+            column.append(values.get(k))
+        self.ends.append(len(self.statements["node"]))
 
+    def cut(self, functions: int) -> None:
+        """Back to so many rows."""
+        for column in self.functions.values():
+            del column[functions:]
+        del self.ends[functions + 1 :]
+        for column in self.statements.values():
+            del column[self.ends[-1] :]
 
-def _is_docstring(node: ast.stmt) -> bool:
-    return isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str)
+    def batch(self) -> pa.RecordBatch:
+        of = lambda columns, kinds: [pa.array(columns[k], _ARROW[t]) for k, t in kinds.items()]
+        items = pa.StructArray.from_arrays(of(self.statements, STATEMENT), names=list(STATEMENT))
+        lists = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), items)
+        return pa.RecordBatch.from_arrays([*of(self.functions, FUNCTION), lists, *of(self.functions, ERROR)], names=[*FUNCTION, "statements", *ERROR])
 
 
-def _statements(function: ast.stmt) -> list[dict]:
-    rows: list[dict] = []
-    # explicit stack of (statement, ancestors): generated code may nest deeper than the interpreter's own recursion
-    todo = [(s, []) for s in reversed(function.body)]
+def _blocks(node: ast.stmt) -> Iterator[tuple[list[ast.stmt], int, bool]]:
+    """(statements, levels deeper, is a handler) of each block inside a compound statement, in source order."""
+    if isinstance(node, ast.Match):
+        for case in node.cases:
+            yield case.body, 1, False
+        return
+    yield node.body, 1, False
+    for handler in getattr(node, "handlers", ()):
+        yield handler.body, 1, True
+    rest = getattr(node, "orelse", ())
+    if rest:
+        yield rest, int(not (isinstance(node, ast.If) and len(rest) == 1 and isinstance(rest[0], ast.If))), False
+    if last := getattr(node, "finalbody", ()):
+        yield last, 1, False
+
+
+def _statements(function: ast.stmt, columns: dict[str, list]) -> None:
+    add = {k: c.append for k, c in columns.items()}
+    first = function.body[0]
+    documented = isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str)
+    # explicit stack of (statement, depth, top, in star, in star handler): generated code may nest deeper than the interpreter's own recursion
+    todo = [(s, 0, True, False, False) for s in reversed(function.body)]
     while todo:
-        node, above = todo.pop()
-        rows.append({
-            "ord": len(rows), "node": type(node).__name__, "is_top": not above, "is_docstring": not rows and _is_docstring(node), "is_scope": isinstance(node, _SCOPES),
-            "lineno": node.lineno, "col": node.col_offset, "end_lineno": node.end_lineno,
-            "n_handlers": len(getattr(node, "handlers", [])), "n_cases": len(getattr(node, "cases", [])), "ancestors": above,
-        })
-        inside = [(s, [*above, {"node": type(node).__name__, "role": role, "is_elif": is_elif}]) for role, block, is_elif in _branches(node) for s in block if isinstance(s, ast.stmt)]
-        todo.extend(reversed(inside))
-    return rows
+        node, depth, top, star, handler = todo.pop()
+        kind = type(node)
+        compound = kind in _COMPOUND
+        add["node"](kind.__name__)
+        add["is_top"](top)
+        add["is_docstring"](documented and node is first)
+        add["is_scope"](kind in _SCOPES)
+        add["lineno"](node.lineno)
+        add["col"](node.col_offset)
+        add["end_lineno"](node.end_lineno)
+        add["n_handlers"](len(getattr(node, "handlers", ())) if compound else 0)
+        add["n_cases"](len(node.cases) if kind is ast.Match else 0)
+        add["depth"](depth)
+        add["in_star"](star)
+        add["in_star_handler"](handler)
+        if compound:
+            own = kind is ast.TryStar
+            inside = [(s, depth + deeper, False, star or own, handler or (own and of_handler)) for block, deeper, of_handler in _blocks(node) for s in block]
+            todo.extend(reversed(inside))
 
 
 def _functions(tree: ast.Module) -> Iterator[tuple[str, str, str | None, ast.stmt]]:
@@ -76,47 +124,46 @@ def _functions(tree: ast.Module) -> Iterator[tuple[str, str, str | None, ast.stm
         todo.extend((s, name, inner) for s in reversed(node.body))
 
 
-def parse(path: str | None, content: bytes | str | None) -> list[dict]:
-    """Rows of one file. Null content counts as empty; what does not decode or parse gives one error row."""
+def parse(path: str | None, content: bytes | str | None, rows: Rows) -> None:
+    """Add the rows of one file. Null content counts as empty; what does not decode or parse gives one error row."""
+    before = len(rows.ends) - 1
     try:
         text = content.decode("utf-8") if isinstance(content, bytes) else content or ""
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(text)
-        rows = []
         for k, (name, kind, container, node) in enumerate(_functions(tree)):
             a = node.args
             named = [x.arg for x in (*a.posonlyargs, *a.args)]
-            rows.append({
-                "path": path, "fn_ord": k, "qualified_name": name, "name": node.name, "kind": kind, "container": container, "is_async": isinstance(node, ast.AsyncFunctionDef),
-                "lineno": node.lineno, "col": node.col_offset, "end_lineno": node.end_lineno,
-                "n_arguments": len(named) + len(a.kwonlyargs) + (a.vararg is not None) + (a.kwarg is not None), "first_param": named[0] if named else None, "statements": _statements(node),
-            })
-        return rows
+            _statements(node, rows.statements)
+            rows.add(
+                path=path, fn_ord=k, qualified_name=name, name=node.name, kind=kind, container=container, is_async=isinstance(node, ast.AsyncFunctionDef), lineno=node.lineno, col=node.col_offset, end_lineno=node.end_lineno,
+                n_arguments=len(named) + len(a.kwonlyargs) + (a.vararg is not None) + (a.kwarg is not None), first_param=named[0] if named else None,
+            )
+        return
     except UnicodeDecodeError as e:
-        return [{"path": path, "error": f"not UTF-8: {e.reason}"}]
+        error = {"error": f"not UTF-8: {e.reason}"}
     except SyntaxError as e:
-        return [{"path": path, "error_lineno": e.lineno, "error": e.msg}]
+        error = {"error_lineno": e.lineno, "error": e.msg}
     except (ValueError, RecursionError, MemoryError) as e:
-        return [{"path": path, "error": f"{type(e).__name__}: {e}"}]
+        error = {"error": f"{type(e).__name__}: {e}"}
+    rows.cut(before)
+    rows.add(path=path, **error)
 
 
 def parse_sources(sources: DataFrame) -> DataFrame:
     """Parse (path, content) rows; content is binary (strict UTF-8) or text. Filter sources first: Spark cannot push a filter through Python."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
     def run(batches):
+        rows = Rows()
         for b in batches:
-            rows: list[dict] = []
             for path, content in zip(b.column("path"), b.column("content")):
-                rows += parse(path.as_py(), content.as_py())
-                if len(rows) >= 1000:
-                    yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
-                    rows = []
-            yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
+                parse(path.as_py(), content.as_py(), rows)
+                if len(rows) >= BATCH:
+                    yield rows.batch()
+                    rows = Rows()
+        if len(rows):
+            yield rows.batch()
 
     return sources.select("path", "content").mapInArrow(run, SCHEMA)
 
@@ -125,10 +172,16 @@ def functions(parsed: DataFrame) -> DataFrame:
     return parsed.where("error is null").drop("error", "error_lineno")
 
 
+def top_level_functions(parsed: DataFrame) -> DataFrame:
+    """Functions that stand directly in their module."""
+    return functions(parsed).where("kind = 'function'")
+
+
 def parse_errors(parsed: DataFrame) -> DataFrame:
     return parsed.where("error is not null").select("path", F.col("error_lineno").alias("lineno"), F.col("error").alias("msg"))
 
 
 def statements(parsed: DataFrame) -> DataFrame:
     """One row per statement, keyed by (path, fn_ord, ord)."""
-    return functions(parsed).select("path", "fn_ord", F.inline("statements"))
+    rows = functions(parsed).select("path", "fn_ord", F.posexplode("statements").alias("ord", "s"))
+    return rows.select("path", "fn_ord", "ord", "s.*")

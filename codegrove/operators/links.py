@@ -9,6 +9,9 @@ from codegrove.operators.metrics import DETECTORS
 #: Number words of the spoken summary.
 NUMBER_WORDS = ("One", "Two", "Three", "Four", "Five", "Six", "Seven", "Eight", "Nine", "Ten")
 
+#: Entries of one tag in the broadcast index, at most.
+MAX_LINKS = 10_000
+
 
 def tag_index(entries: DataFrame) -> DataFrame:
     """(tag, entry_ord, tag_pos, entry_id, entry_kind, entry_title, entry_number): rules before candidates, repeats kept."""
@@ -26,17 +29,19 @@ def tag_index(entries: DataFrame) -> DataFrame:
 def probe_results(tagged: DataFrame, entries: DataFrame | None) -> DataFrame:
     """tagged with links: array of (detector_ord, entry_ord, tag_name, entry_id, entry_kind, entry_title, entry_number), tag order then index order.
 
-    The index is folded to one row, a map from tag to its ordered entries, and joined by
-    a broadcast of that row where it is small, so functions are never shuffled. A
-    catalog is a hand-written file; its rows are counted by the loader.
+    The index is folded to one row, a map from tag to its ordered entries, and that row is
+    broadcast, so functions are never shuffled. Its size is checked: a tag may have MAX_LINKS
+    entries, far beyond a hand-written catalog; with more the query fails and says so.
     """
     kind = "array<struct<detector_ord: int, entry_ord: struct<candidate: boolean, ord: int, tag_pos: int>, tag_name: string, entry_id: string, entry_kind: string, entry_title: string, entry_number: int>>"
     if entries is None:
         return tagged.withColumn("links", F.array().cast(kind))
     index = tag_index(entries).where(F.col("tag").isin(*DETECTORS))
     entry = F.struct("entry_ord", "entry_id", "entry_kind", "entry_title", "entry_number")
-    index = index.groupBy("tag").agg(F.array_sort(F.collect_list(entry)).alias("entries")).agg(F.map_from_entries(F.collect_list(F.struct("tag", "entries"))).alias("index"))
-    # one row with at most as many keys as there are detectors
+    index = index.groupBy("tag").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    refused = F.raise_error(F.concat(F.lit("too many catalog entries claim the tag "), "tag"))
+    index = index.select("tag", F.when(F.col("n") > MAX_LINKS, refused.cast("array<struct<entry_ord: struct<candidate: boolean, ord: int, tag_pos: int>, entry_id: string, entry_kind: string, entry_title: string, entry_number: int>>")).otherwise(F.col("entries")).alias("entries")).agg(F.map_from_entries(F.collect_list(F.struct("tag", "entries"))).alias("index"))
+    # one row with at most as many keys as there are detectors, each with MAX_LINKS entries
     joined = tagged.join(F.broadcast(index))
     links = F.flatten(F.transform("tags", lambda t: F.transform(F.coalesce(F.try_element_at("index", t["name"]), F.array()), lambda e: F.struct(
         t["detector_ord"].alias("detector_ord"), e["entry_ord"].alias("entry_ord"), t["name"].alias("tag_name"), e["entry_id"].alias("entry_id"),

@@ -22,6 +22,15 @@ class Thresholds:
 DETECTORS = ("deep-nesting", "long-function", "god-function", "too-many-params")
 
 
+#: What a detail says about where its threshold comes from.
+NOTES = {
+    "deep-nesting": "a rule of thumb; cognitive-complexity studies weigh nesting but name no absolute limit.",
+    "long-function": "no research-backed absolute threshold; style guides differ.",
+    "god-function": "counts follow the idea of cyclomatic complexity; the limits are not research-backed.",
+    "too-many-params": "linters and books set different limits; none is research-backed.",
+}
+
+
 def _lines(s: Column) -> Column:
     return F.when(s["is_scope"], F.array(s["lineno"])).otherwise(F.sequence(s["lineno"], s["end_lineno"]))
 
@@ -39,19 +48,17 @@ def sloc() -> Column:
 
 def branches() -> Column:
     def weight(s: Column) -> Column:
-        hidden = F.exists(s["ancestors"], lambda a: (a["node"] == "TryStar") & (a["role"] == "handler"))
         n = F.when(s["node"].isin("If", "For", "AsyncFor", "While"), 1).when(s["node"] == "Try", s["n_handlers"]).when(s["node"] == "Match", s["n_cases"]).otherwise(0)
-        return F.when(hidden, 0).otherwise(n)
+        return F.when(s["in_star_handler"], 0).otherwise(n)
 
     return F.aggregate("statements", F.lit(0), lambda n, s: n + weight(s))
 
 
 def _deepest() -> Column:
-    """(depth, line, col) of the first deepest statement; an elif keeps its if's depth, except* blocks are not entered."""
-    open_ = F.filter("statements", lambda s: ~F.exists(s["ancestors"], lambda a: a["node"] == "TryStar"))
-    depths = F.transform(open_, lambda s: F.struct(F.size(F.filter(s["ancestors"], lambda a: ~a["is_elif"])).alias("depth"), s["lineno"].alias("line"), s["col"].alias("col")))
+    """(depth, line, col) of the first deepest statement; except* statements are not entered. Depth 0 is the function's own place."""
     start = F.struct(F.lit(0).alias("depth"), F.col("lineno").alias("line"), F.col("col").alias("col"))
-    return F.aggregate(depths, start, lambda best, s: F.when(s["depth"] > best["depth"], s).otherwise(best))
+    deeper = lambda best, s: (s["depth"] > best["depth"]) & ~s["in_star"]
+    return F.aggregate("statements", start, lambda best, s: F.when(deeper(best, s), F.struct(s["depth"].alias("depth"), s["lineno"].alias("line"), s["col"].alias("col"))).otherwise(best))
 
 
 def metrics(functions: DataFrame) -> DataFrame:
@@ -76,10 +83,10 @@ def with_tags(measured: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
         body = F.struct(F.lit(k).alias("detector_ord"), F.lit(DETECTORS[k]).alias("name"), detail.alias("detail"), F.col(line).alias("line"), F.col(col).alias("col"))
         return F.when(fires, body)
 
-    nest = F.format_string("Control flow nested %d levels deep. Default threshold: %d. Source note: a rule of thumb; cognitive-complexity studies weigh nesting but name no absolute limit.", "max_depth", F.lit(t.nesting))
-    long = F.format_string("Function body has %d SLOC (excluding docstring and nested-scope bodies). Default threshold: %d. Source note: no research-backed absolute threshold; style guides differ.", "sloc", F.lit(t.sloc))
-    god = F.format_string("Function is long AND branchy: %d SLOC, %d branches (if/elif/for/while/except/case). Default thresholds: %d SLOC & %d branches. Source note: counts follow the idea of cyclomatic complexity; the limits are not research-backed.", "sloc", "branches", F.lit(t.god_sloc), F.lit(t.god_branches))
-    many = F.format_string("Function signature has %d parameters (excluding self/cls; *args and **kwargs count as 1 each). Default threshold: %d. Source note: linters and books set different limits; none is research-backed.", "n_params", F.lit(t.params))
+    nest = F.format_string("Control flow nested %d levels deep. Default threshold: %d. Source note: %s", "max_depth", F.lit(t.nesting), F.lit(NOTES["deep-nesting"]))
+    long = F.format_string("Function body has %d SLOC (excluding docstring and nested-scope bodies). Default threshold: %d. Source note: %s", "sloc", F.lit(t.sloc), F.lit(NOTES["long-function"]))
+    god = F.format_string("Function is long AND branchy: %d SLOC, %d branches (if/elif/for/while/except/case). Default thresholds: %d SLOC & %d branches. Source note: %s", "sloc", "branches", F.lit(t.god_sloc), F.lit(t.god_branches), F.lit(NOTES["god-function"]))
+    many = F.format_string("Function signature has %d parameters (excluding self/cls; *args and **kwargs count as 1 each). Default threshold: %d. Source note: %s", "n_params", F.lit(t.params), F.lit(NOTES["too-many-params"]))
     tags = F.array(
         tag(0, F.col("max_depth") >= t.nesting, nest, "depth_line", "depth_col"),
         tag(1, F.col("sloc") >= t.sloc, long),

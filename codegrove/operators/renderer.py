@@ -5,17 +5,15 @@ The fixed headings are part of the output format and are in the catalog's langua
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codegrove.operators.validator import field, type_name
 
-#: Headings and sentences of the document.
+#: Markers of the output format.
 TEXT = {
-    "banner": "<!-- AUTO-GENERATED from catalog/dogmas.yaml — DO NOT EDIT BY HAND. Run: codegrove render-catalog -->",
-    "title": "# Каталог догм",
-    "rules": "Правила каталога:\n\n- У каждого утверждения есть источник, иначе это `honesty-bug`.\n- У каждой контр-догмы есть `attribution`, иначе это тоже `honesty-bug`.\n- Догма с пометкой 🎯 имеет статус не ниже `draft`.\n- Нет тега — не значит, что нет проблемы.",
-    "candidates": "## Кандидаты\n\nЕщё не догмы: номера § у них нет, повышение возможно, когда накопятся кейсы.",
-    "footer": "---\n\n## Контрибьюция\n\nИсточник правды — `catalog/dogmas.yaml`; этот файл пишет `codegrove render-catalog`, руками его не правят.",
     "stub": "_Кейсы и honest verdict пока не заполнены (статус `stub`)._",
     "definition": "**Определение.** ",
     "origin": "**Origin.** ",
@@ -25,9 +23,32 @@ TEXT = {
     "follow": "_Следуй догме, когда:_",
     "break": "_Ломай догму, когда:_",
     "no-author": "⚠ без attribution (honesty-bug)",
+    "updated": "_Обновлено: {} — schema v{}._",
 }
 
 
+@dataclass(frozen=True)
+class Template:
+    """The prose around the entries, which belongs to the catalog's owner; empty parts are left out."""
+
+    banner: str = "<!-- Written by codegrove render-catalog from the catalog file; edit that file. -->"
+    title: str = "# Catalog"
+    intro: str = ""
+    candidates: str = "## Candidates"
+    footer: str = ""
+
+    @classmethod
+    def of_file(cls, path: str | Path) -> Template:
+        """From a YAML mapping of part to text."""
+        import yaml
+
+        parts = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+        names = {f.name for f in fields(cls)}
+        if not isinstance(parts, dict) or not set(parts) <= names:
+            raise ValueError(f"{path}: a template is a mapping with keys out of {', '.join(sorted(names))}")
+        return cls(**{k: str(v).strip("\n") for k, v in parts.items()})
+
+
 def _text(path: str, of="v") -> Column:
     """A field as text; null if absent or empty."""
     return F.nullif(F.try_variant_get(of, f"$.{path}", "string"), F.lit(""))
@@ -108,16 +129,20 @@ def blocks(entries: DataFrame) -> DataFrame:
     return rows.withColumn("block", block).drop("v")
 
 
-def render(entries: DataFrame, updated: str | None = None, schema_version: int = 1) -> DataFrame:
-    """(catalog, markdown): one document per catalog, rules by number, then candidates; it ends with one line break."""
+def render(entries: DataFrame, updated: str | None = None, schema_version: int = 1, template: Template = Template()) -> DataFrame:
+    """(catalog, markdown): one document per catalog, rules by number, then candidates; it ends with one line break.
+
+    A document is one row: a catalog is a hand-written file, of thousands of entries at most.
+    """
     rows = blocks(entries)
     ordered = lambda kind, *key: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*key, "block"))))
     docs = rows.groupBy("catalog").agg(ordered("dogma", "number", "ord").alias("d"), ordered("candidate", "ord").alias("c"))
     text = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda s: s["block"]), "\n\n"))
-    dated = None if not updated else f"_Обновлено: {updated} — schema v{schema_version}._"
-    candidates = F.concat(F.lit(TEXT["candidates"] + "\n\n"), text(F.col("c")))
-    parts = [F.lit(TEXT["banner"]), F.lit(TEXT["title"]), F.lit(dated), F.lit(TEXT["rules"]), text(F.col("d")), candidates, F.lit(TEXT["footer"])]
-    return docs.select("catalog", F.concat(_join(*parts), F.lit("\n")).alias("markdown"))
+    own = lambda part: F.lit(part or None).cast("string")
+    dated = own(updated and TEXT["updated"].format(updated, schema_version))
+    candidates = F.concat(F.lit(f"{template.candidates}\n\n" if template.candidates else ""), text(F.col("c")))
+    whole = _join(own(template.banner), own(template.title), dated, own(template.intro), text(F.col("d")), candidates, own(template.footer))
+    return docs.select("catalog", F.concat(F.regexp_replace(whole, r"(?U)\s+\z", ""), F.lit("\n")).alias("markdown"))
 
 
 def drift(rendered: DataFrame, written: DataFrame) -> DataFrame:

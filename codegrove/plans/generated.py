@@ -5,7 +5,11 @@ The fragments below are valid in Spark SQL and in other dialects alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from codegrove.session import shared_dir
 
 #: Shape of the function made from an order: lines, nesting, branches, parameters, self, docstring.
 SHAPE = """o_orderkey AS k,
@@ -85,9 +89,47 @@ def supplier_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def verdict_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled entries made from suppliers whose verdicts, cases, sources and counter-positions take every shape."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS k", "s_name")
+    return rows.selectExpr(
+        "'verdicts' AS catalog", "if(k % 6 = 0, 'candidate', 'dogma') AS kind", "cast(k AS int) AS ord", "concat('v', k) AS id", "cast(if(k % 6 = 0, null, k) AS int) AS number", "s_name AS title", "if(k % 6 = 0, null, 'filled') AS status", "false AS v01_priority", "array() AS related_tags",
+        """concat('{', if(k % 2 = 0, '"origin": "O"', '"origin": ""'),
+             ', "failure_cases": ', element_at(array('""', '"need_data"', '[]', '5', '{"a": 1}', '["plain", {"name": "N", "url": "u"}, {"summary": "S"}, 7]', 'null', 'true'), cast(k % 8 + 1 AS int)),
+             ', "counter_dogmas": ', if(k % 3 = 0, '[{"name": "N", "attribution": "A", "source_url": "s", "thesis": "H"}, {}]', '[]'),
+             ', "honest_verdict": ', element_at(array('{}', '{"status": "final", "follow_when": ["a", 1], "break_when": [], "main_signal": "M"}', '{"break_when": ["b"]}', 'null'), cast(k % 4 + 1 AS int)),
+             ', "note": "", "sources": ', if(k % 12 = 0, '["text", {"title": "T", "source_url": "w", "thesis": "H"}]', '[]'), '}') AS raw""",
+    )
+
+
+def nation_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, content): one catalog file per nation, its suppliers the rules; some cannot be used."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    entry = """concat('- id: e', s_suppkey, '\n  number: ', s_suppkey, '\n  title: "', s_name, '"\n  status: stub\n  v01_priority: ', if(s_suppkey % 2 = 0, 'yes', 'no'), '\n  related_tags: [t', s_suppkey % 3, ', x]\n')"""
+    grouped = suppliers.selectExpr("s_nationkey AS k", "s_suppkey", f"{entry} AS entry").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "entry"))).alias("e"))
+    return grouped.selectExpr(
+        "k",
+        """CASE k % 6 WHEN 4 THEN '- a\n- b\n' WHEN 5 THEN concat('schema_version: 9\ndogmas:\n- id: x', k, '\n') ELSE
+             concat('schema_version: 1\nupdated: 2026-01-02\ndogmas:\n', array_join(transform(e, x -> x.entry), ''), 'candidates:\n- {id: c', k, ', title: Candidate}\n') END AS content""",
+    )
+
+
+def broken_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per supplier, as bytes: of four, one parses, one breaks off, one is not UTF-8, one begins with a byte order mark."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS k")
+    return rows.selectExpr("concat('b', k) AS path", """CASE k % 4 WHEN 0 THEN encode(concat('def ok', k, '(): pass\n'), 'UTF-8') WHEN 1 THEN encode(concat(repeat('x = 0\n', cast(k % 7 AS int)), 'def f(:\n'), 'UTF-8') WHEN 2 THEN unhex('FFFE') ELSE unhex('EFBBBF61') END AS content""")
+
+
+def written(rows: DataFrame, name: str) -> str:
+    """Write (k, content) rows as one text file each below the shared folder; the folder. Spark ends each file with a line break."""
+    path = f"{shared_dir(rows.sparkSession)}/codegrove-{name}-{uuid.uuid4().hex}"
+    rows.repartition("k").write.partitionBy("k").text(path)
+    return path
+
+
 #: A fixed catalog for joins with tags; god-function has two entries, deep-nesting none.
-LINKED = [("dogma", 0, "keep-it-short", 1, "Keep it short", ["long-function", "god-function"]), ("dogma", 1, "unused", 2, "Unused", ["wrong-abstraction"]),
-          ("candidate", 0, "god-class", None, "God class", ["god-function"]), ("candidate", 1, "long-parameter-list", None, "Long parameter list", ["too-many-params"])]
+LINKED = [("dogma", 0, "short-functions", 1, "Short functions", ["long-function", "god-function"]), ("dogma", 1, "nobody", 2, "Nobody claims this", ["some-other-tag"]),
+          ("candidate", 0, "do-one-thing", None, "Do one thing", ["god-function"]), ("candidate", 1, "few-arguments", None, "Few arguments", ["too-many-params"])]
 
 
 def linked_catalog(spark: SparkSession) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codegrove.api import Corpus
 from codegrove.operators import links, metrics, renderer, validator
-from codegrove.plans.generated import LINKED, SHAPE, linked_catalog, order_functions, part_catalog, supplier_catalog, supplier_modules
+from codegrove.plans.generated import LINKED, SHAPE, broken_sources, linked_catalog, nation_catalogs, order_functions, part_catalog, supplier_catalog, supplier_modules, verdict_catalog, written
+from codegrove.sources.catalog import scan_catalogs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,13 +180,68 @@ def probe_results(spark, sf_dir):
     return _longs(out)
 
 
-@_register("q_probe_report", _PROBE.replace("SELECT 'f' || k AS qualified_name", ", h AS (SELECT 'f' || k AS qualified_name", 1) + """)
-SELECT qualified_name, '=== Function Probe ===' || chr(10) || 'File: o' || substr(qualified_name, 2) || chr(10) || 'Function: ' || qualified_name || ' (lines 1-' || line_end || ', ' || loc || ' total)' AS head,
-  CASE WHEN n_tags = 0 THEN 0 ELSE n_tags END AS tag_lines, CASE WHEN links = '' THEN 0 ELSE len(string_split(links, ',')) END AS link_lines, n_tags > 0 AND links = '' AS says_none FROM h""")
+_NOTED = "CASE name " + " ".join(f"WHEN '{name}' THEN '{note}'" for name, note in metrics.NOTES.items()) + " END"
+_REPORT = TAGS + INDEX + f""", a AS (SELECT k, string_agg('- [' || name || '] at line ' || line || ', col ' || col || chr(10) || '  ' || measured || ' Source note: ' || {_NOTED}, chr(10) ORDER BY detector_ord) AS tags FROM t GROUP BY k),
+  e AS (SELECT k, string_agg('- [' || name || '] → ' || CASE WHEN entry_number IS NULL THEN '(candidate) ' ELSE '§' || entry_number || ' ' END || entry_title || '  [' || entry_id || ']', chr(10) ORDER BY detector_ord, entry_ord) AS links FROM t JOIN i USING (name) GROUP BY k)
+  SELECT 'f' || k AS qualified_name, '=== Function Probe ===' || chr(10) || 'File: o' || k || chr(10) || 'Function: f' || k || ' (lines 1-' || last_line || ', ' || last_line || ' total)' || chr(10) || chr(10)
+    || CASE WHEN tags IS NULL THEN 'No tags from the detector set.' || chr(10) || 'Detectors: {', '.join(metrics.DETECTORS)}.' || chr(10) || '(Absence of a tag is not absence of a problem.)'
+       ELSE 'Detected tags:' || chr(10) || tags || chr(10) || chr(10) || coalesce('Catalog links:' || chr(10) || links, 'Catalog links: none — no catalog dogma claims these tags yet.') END AS report FROM f LEFT JOIN a USING (k) LEFT JOIN e USING (k)"""
+
+
+@_register("q_probe_report", _REPORT)
 def probe_report(spark, sf_dir):
-    count = lambda p: F.regexp_count("report", F.lit(p)).cast("long")
-    head = F.regexp_extract("report", r"(?s)^(=== Function Probe ===\n.*? total\))\n\n", 1)
-    return _probed(spark, sf_dir).select("qualified_name", head.alias("head"), count(r"(?m)^- \[[a-z-]+\] at line \d+, col \d+$").alias("tag_lines"), count(r"(?m)^- \[[a-z-]+\] → .*  \[[a-z-]+\]$").alias("link_lines"), F.col("report").contains("Catalog links: none").alias("says_none"))
+    return _probed(spark, sf_dir).select("qualified_name", "report")
+
+
+@_register("q_probe_function", MODULES + " SELECT 's' || k AS path, min(fn_ord) AS fn_ord, 'No tags detected. Trust score unknown.' AS spoken FROM g WHERE qualified_name = 'top' GROUP BY k")
+def probe_function(spark, sf_dir):
+    rows = _modules(spark, sf_dir).probe_function("top", linked_catalog(spark))
+    return rows.select("path", F.col("fn_ord").cast("long").alias("fn_ord"), "spoken")
+
+
+@_register("q_top_level", _typed(MODULES + " SELECT 's' || k AS path, fn_ord, qualified_name FROM g WHERE kind = 'function'", ("path", "qualified_name"), ("fn_ord",)))
+def top_level(spark, sf_dir):
+    return _longs(_modules(spark, sf_dir).top_level_functions().select("path", "qualified_name", "fn_ord"))
+
+
+@_register("q_file_scan", _typed(MODULES + " SELECT k, * EXCLUDE (k) FROM g", ("qualified_name", "kind", "container"), ("k", "fn_ord", "lineno", "end_lineno")))
+def file_scan(spark, sf_dir):
+    """The same modules as files, read back by a file scan."""
+    rows = supplier_modules(spark, sf_dir).select(F.substring("path", 2, 20).cast("long").alias("k"), "content")
+    found = Corpus.of_files(spark, written(rows, "sources"), "*.txt").functions()
+    return _longs(found.select(F.regexp_extract("path", "/k=([0-9]+)/", 1).cast("long").alias("k"), "qualified_name", "kind", "container", "fn_ord", "lineno", "end_lineno"))
+
+
+@_register("q_error_rows", """SELECT 'b' || s_suppkey AS path, CASE s_suppkey % 4 WHEN 1 THEN s_suppkey % 7 + 1 WHEN 3 THEN 1 END AS lineno, s_suppkey % 4 = 2 AS not_utf8 FROM supplier WHERE s_suppkey % 4 <> 0""")
+def error_rows(spark, sf_dir):
+    errors = Corpus(broken_sources(spark, sf_dir)).errors()
+    return _longs(errors.select("path", "lineno", F.col("msg").startswith("not UTF-8").alias("not_utf8")))
+
+
+_USABLE = "s_nationkey % 6 < 4"
+
+
+@_register("q_catalog_scan", f"""SELECT s_nationkey AS k, 'dogma' AS kind, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS ord, 'e' || s_suppkey AS id, s_suppkey AS number, s_name AS title, 'stub' AS status, s_suppkey % 2 = 0 AS v01_priority, 't' || (s_suppkey % 3) || ',x' AS tags FROM supplier WHERE {_USABLE}
+  UNION ALL SELECT DISTINCT s_nationkey, 'candidate', 0, 'c' || s_nationkey, NULL, 'Candidate', NULL, false, '' FROM supplier WHERE {_USABLE}""")
+def catalog_scan(spark, sf_dir):
+    entries, _ = scan_catalogs(spark, written(nation_catalogs(spark, sf_dir), "catalogs"), "*.txt")
+    key = F.regexp_extract("catalog", "/k=([0-9]+)/", 1).cast("int").alias("k")
+    return entries.select(key, "kind", F.col("ord").cast("long").alias("ord"), "id", F.col("number").cast("long").alias("number"), "title", "status", "v01_priority", F.array_join("related_tags", ",").alias("tags"))
+
+
+@_register("q_catalog_problems", """SELECT DISTINCT s_nationkey AS k, s_nationkey % 6 = 4 AS no_mapping, s_nationkey % 6 = 5 AS other_version, s_nationkey % 6 = 5 AS lacks_fields FROM supplier WHERE s_nationkey % 6 >= 4""")
+def catalog_problems(spark, sf_dir):
+    _, problems = scan_catalogs(spark, written(nation_catalogs(spark, sf_dir), "catalogs"), "*.txt")
+    key = F.regexp_extract("catalog", "/k=([0-9]+)/", 1).cast("int").alias("k")
+    return problems.select(key, F.col("msg").contains("mapping").alias("no_mapping"), F.col("msg").contains("only v1").alias("other_version"), F.col("msg").contains("lacks number, title, status").alias("lacks_fields"))
+
+
+@_register("q_validate_catalogs", f"""SELECT s_nationkey AS k, 5 AS rule, 'dogma:e' || s_suppkey AS entity FROM supplier WHERE {_USABLE} AND s_suppkey % 2 = 0
+  UNION ALL SELECT s_nationkey, 4, 'catalog' FROM supplier WHERE {_USABLE} GROUP BY s_nationkey HAVING min(s_suppkey) <> 1 OR max(s_suppkey) <> count(*)""")
+def validate_catalogs(spark, sf_dir):
+    entries, _ = scan_catalogs(spark, written(nation_catalogs(spark, sf_dir), "catalogs"), "*.txt")
+    issues = validator.validate(entries)
+    return issues.select(F.regexp_extract("catalog", "/k=([0-9]+)/", 1).cast("int").alias("k"), "rule", "entity")
 
 
 @_register("q_spoken_summary", TAGS + """, a AS (SELECT k, count(*) AS n, string_agg(replace(name, '-', ' '), ', ' ORDER BY detector_ord) AS said FROM t GROUP BY k)
@@ -194,6 +250,13 @@ def spoken_summary(spark, sf_dir):
     return _probed(spark, sf_dir).select("qualified_name", "spoken")
 
 
+@_register("q_spoken_numbers", """WITH w AS (SELECT ['One', 'Two', 'Three', 'Four', 'Five', 'Six', 'Seven', 'Eight', 'Nine', 'Ten'] AS words)
+  SELECT n_nationkey AS k, CASE WHEN n_nationkey = 0 THEN 'No tags detected.' ELSE coalesce(words[n_nationkey], CAST(n_nationkey AS VARCHAR)) || CASE WHEN n_nationkey = 1 THEN ' tag' ELSE ' tags' END || ' found: ' || rtrim(repeat('a tag b, ', n_nationkey), ', ') || '.' END || ' Trust score unknown.' AS spoken FROM nation, w""")
+def spoken_numbers(spark, sf_dir):
+    names = F.expr("array_repeat('a-tag-b', n_nationkey)")
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), links.spoken_summary(names).alias("spoken"))
+
+
 @_register("q_parse_errors", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def parse_errors(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -240,17 +303,40 @@ def render_block(spark, sf_dir):
     return renderer.blocks(supplier_catalog(spark, sf_dir)).select("id", "block")
 
 
-@_register("q_render_catalog", _BLOCK + f""" SELECT '{renderer.TEXT['banner']}' || {_N} || {_N} || '{renderer.TEXT['title']}' || {_N} || {_N} || '_Обновлено: 2026-01-02 — schema v1._' || {_N} || {_N} || replace('{renderer.TEXT['rules'].replace(chr(10), '~')}', '~', {_N}) || {_N} || {_N}
-  || string_agg(block, {_N} || {_N} ORDER BY number) FILTER (dogma) || {_N} || {_N} || replace('{renderer.TEXT['candidates'].replace(chr(10), '~')}', '~', {_N}) || {_N} || {_N}
-  || string_agg(block, {_N} || {_N} ORDER BY k) FILTER (NOT dogma) || {_N} || {_N} || replace('{renderer.TEXT['footer'].replace(chr(10), '~')}', '~', {_N}) || {_N} AS markdown FROM r""")
+_TEMPLATE = renderer.Template("<!-- banner -->", "# Title", "Two\nlines", "## Candidates", "---\n\nFooter")
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", f"' || {_N} || '") + "'"
+
+
+@_register("q_render_catalog", _BLOCK + f""" SELECT {_sql_text(chr(10).join(x + chr(10) for x in (_TEMPLATE.banner, _TEMPLATE.title, renderer.TEXT['updated'].format('2026-01-02', 1), _TEMPLATE.intro)))} || {_N}
+  || string_agg(block, {_N} || {_N} ORDER BY number) FILTER (dogma) || {_N} || {_N} || {_sql_text(_TEMPLATE.candidates)} || {_N} || {_N}
+  || string_agg(block, {_N} || {_N} ORDER BY k) FILTER (NOT dogma) || {_N} || {_N} || {_sql_text(_TEMPLATE.footer)} || {_N} AS markdown FROM r""")
 def render_catalog(spark, sf_dir):
-    return renderer.render(supplier_catalog(spark, sf_dir), "2026-01-02").select("markdown")
+    return renderer.render(supplier_catalog(spark, sf_dir), "2026-01-02", template=_TEMPLATE).select("markdown")
+
+
+_P = f"{_N} || {_N}"
+
+
+@_register("q_render_shapes", f"""SELECT 'v' || k AS id, CASE WHEN k % 6 = 0 THEN '### ' || s_name || '  \\[v' || k || '\\]'
+    || CASE WHEN k % 12 = 0 THEN {_P} || '{renderer.TEXT['sources']}' || {_P} || '- text' || {_N} || '- [T](w) — H' ELSE '' END
+  ELSE '## §' || k || '. ' || s_name || '  \\[filled\\]' || CASE WHEN k % 2 = 0 THEN {_P} || '{renderer.TEXT['origin']}O' ELSE '' END
+    || CASE WHEN k % 8 IN (0, 2, 6) THEN '' ELSE {_P} || '**Failure cases.**' || {_P} || CASE k % 8 WHEN 1 THEN '- _need_data_' WHEN 5 THEN '- plain' || {_N} || '- [N](u)' || {_N} || '- (untitled source) — S' || {_N} || '- 7'
+         ELSE '- _unsupported value shape for `Failure cases`: ' || CASE k % 8 WHEN 3 THEN 'int' WHEN 4 THEN 'dict' ELSE 'bool' END || '_' END END
+    || CASE WHEN k % 3 = 0 THEN {_P} || '{renderer.TEXT['counter']}' || {_P} || '- **N** — _A_ ([source](s))' || {_N} || '  > H' || {_N} || '- **(untitled)** — _{renderer.TEXT['no-author']}_' ELSE '' END
+    || CASE k % 4 WHEN 1 THEN {_P} || '**Honest verdict** \\[final\\].' || {_P} || '{renderer.TEXT['follow']}' || {_P} || '- a' || {_N} || '- 1' || {_P} || '**Main signal:** M'
+         WHEN 2 THEN {_P} || '**Honest verdict** \\[pending\\].' || {_P} || '{renderer.TEXT['break']}' || {_P} || '- b' ELSE '' END END || {_N} AS block
+  FROM (SELECT s_suppkey AS k, s_name FROM supplier)""")
+def render_shapes(spark, sf_dir):
+    return renderer.blocks(verdict_catalog(spark, sf_dir)).select("id", "block")
 
 
-@_register("q_drift", _BLOCK + f""" SELECT side, line_no, line FROM (SELECT 'rendered' AS side, 2 AS line_no, '{renderer.TEXT['title']}' AS line UNION ALL SELECT 'written', 2, '# Changed')""")
+@_register("q_drift", """SELECT side, line_no, line FROM (SELECT 'rendered' AS side, 2 AS line_no, '# Title' AS line UNION ALL SELECT 'written', 2, '# Changed')""")
 def drift(spark, sf_dir):
-    text = renderer.render(supplier_catalog(spark, sf_dir)).select(F.col("markdown").alias("text"))
-    return renderer.drift(text, text.select(F.replace("text", F.lit(renderer.TEXT["title"]), F.lit("# Changed")).alias("text")))
+    text = renderer.render(supplier_catalog(spark, sf_dir), template=_TEMPLATE).select(F.col("markdown").alias("text"))
+    return renderer.drift(text, text.select(F.replace("text", F.lit(_TEMPLATE.title), F.lit("# Changed")).alias("text")))
 
 
 @_register("q_rule_list", """SELECT CASE WHEN s_suppkey % 5 = 0 THEN '- ' || s_name || '  [e' || s_suppkey || ']'

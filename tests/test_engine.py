@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from codegrove import cli, voice
 from codegrove.api import Corpus
-from codegrove.functions.parser import parse
+from codegrove.functions.parser import Rows, parse
 from codegrove.operators import links, renderer, validator
 from codegrove.operators.metrics import Thresholds
-from codegrove.sources.catalog import CatalogError, discover, parse_catalog
+from codegrove.sources.catalog import CatalogError, discover, parse_catalog, scan_catalogs
 
 # source of one function `f`, then depth, line of the deepest statement, SLOC, branches, parameters
 CASES = [
@@ -58,7 +58,11 @@ def test_bad_files_are_rows(spark):
     c = corpus(spark, *bad, b"", b"def ok(): pass\n")
     assert {r.path for r in c.errors().collect()} == {f"p{i}" for i in range(len(bad))}
     assert [r.qualified_name for r in c.functions().collect()] == ["ok"]
-    assert parse("x", None) == []
+    rows = Rows()
+    parse("x", None, rows)
+    parse("y", "def f(): pass\n", rows)
+    parse("z", "def f(): pass\ndef g(:\n", rows)
+    assert rows.batch().to_pydict()["path"] == ["y", "z"] and rows.ends == [0, 1, 1]
 
 
 def walk(f):
@@ -175,7 +179,7 @@ def test_catalog_is_clean_and_renders(spark):
     assert validator.validate(entries).collect() == [] and not validator.has_errors(validator.validate(entries))
     text = renderer.render(entries, catalog.updated).first().markdown
     first = "## §1. First 🎯  \\[filled\\]\n\n**Failure cases.**\n\n- _need_data_\n\n**Success cases.**\n\n- [T](u)\n\n**Контр-догмы.**\n\n- **N** — _W_ ([source](s))\n  > H\n\n**Honest verdict** \\[final\\].\n\n_Следуй догме, когда:_\n\n- x\n\n_Ломай догму, когда:_\n\n- y\n\n**Main signal:** z\n\n**Related tags:** `too-many-params`, `too-many-params`.\n\n## §2. Second  \\[stub\\]\n\n**Определение.** D\n\n"
-    assert first in text and "### Third  \\[c\\]\n\nHm\n\n**Источники.**\n\n- plain\n- [Q](w) — K\n\n" in text
+    assert first in text and "### Third  \\[c\\]\n\nHm\n\n**Источники.**\n\n- plain\n- [Q](w) — K\n" in text
     assert "_Обновлено: 2026-01-02 — schema v1._" in text and text.endswith("\n") and not text.endswith("\n\n")
 
 
@@ -197,7 +201,7 @@ def test_every_rule_fires(spark):
         assert part in text, part
 
 
-@pytest.mark.parametrize("text, part", [("- 1", "mapping"), ("schema_version: 9", "schema_version"), ("a: [", "YAML parse error"), ("schema_version: 1\ndogmas: [{id: x}]", "missing required"), ("schema_version: 1\ncandidates: [{id: x}]", "missing required"), ("schema_version: 1\ndogmas: [{id: x, number: n, title: t, status: s}]", "integer"), ("schema_version: 1\ndogmas: [{id: x, number: 1, title: t, status: s, related_tags: ab}]", "list")])
+@pytest.mark.parametrize("text, part", [("- 1", "mapping"), ("schema_version: 9", "v1"), ("a: [", "parse error"), ("schema_version: 1\ndogmas: [{id: x}]", "x lacks number, title, status"), ("schema_version: 1\ncandidates: [{id: x}, text]", "x lacks title; candidate number 2"), ("schema_version: 1\ndogmas: [{id: x, number: n, title: t, status: s}]", "integer"), ("schema_version: 1\ndogmas: [{id: x, number: 1, title: t, status: s, related_tags: ab}]", "list")])
 def test_unusable_catalogs(text, part):
     with pytest.raises(CatalogError, match=part):
         parse_catalog(text)
@@ -226,19 +230,104 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     catalog.write_text(BROKEN)
     capsys.readouterr()
     assert cli.main(["validate-catalog"]) == 1 and "  [rule 2] warning  dogma:a: " in capsys.readouterr().out
-    assert cli.main(["dogmas", "--catalog", "none.yaml"]) == 1
+    with pytest.raises(SystemExit) as usage:
+        cli.main(["dogmas", "--catalog", "none.yaml"])
+    assert usage.value.code == 2
 
 
-def test_speech_never_raises(monkeypatch, capsys):
+def test_more_of_the_command_line(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(cli, "local_session", lambda name: spark)
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "m.py").write_text("def f(a, b, c, d, e): pass\ndef f(): pass\ndef g(): pass\n")
+    (tmp_path / "c.yaml").write_text(CATALOG)
+    (tmp_path / "t.yaml").write_text("banner: ''\ntitle: '# Own'\nfooter: |\n  The\n  end\n")
+    probe = ["probe", "m.py", "-f", "f"]
+    # no catalog anywhere: a note, and a report without links
+    assert cli.main(probe) == 0
+    plain = capsys.readouterr()
+    assert "no catalog links" in plain.err and "Catalog links: none" in plain.out and "lines 1-1" in plain.out
     said = []
-    assert voice.speak("hi", lambda t: not said.append(t)) and said == ["hi"] and not voice.speak(" ", said.append)
-    voice.reset_warnings()
+    monkeypatch.setattr(voice, "speak", lambda text: bool(said.append(text)))
+    assert cli.main([*probe, "--speak"]) == 0 and capsys.readouterr().out == plain.out
+    assert said == ["One tag found: too many params. Trust score unknown."]
+    monkeypatch.undo()
+    monkeypatch.setattr(cli, "local_session", lambda name: spark)
+    monkeypatch.chdir(tmp_path)
+    broken = voice.Program("no-such-program")
+    monkeypatch.setattr(voice.Program, "usable", lambda self, platform: True)
+    monkeypatch.setattr(voice.subprocess, "run", lambda *a, **b: (_ for _ in ()).throw(OSError()))
+    assert not voice.speak("x", (broken,)) and cli.main([*probe, "--speak"]) == 0 and capsys.readouterr().out == plain.out
+    assert cli.main(["--pretty", *probe, "--catalog", "c.yaml"]) == 0
+    pretty = capsys.readouterr().out
+    assert "Function Probe" in pretty and "│ too-many-params │ L1:0" in pretty and "│ too-many-params │ dogma │ §2 Second" in pretty
+    assert cli.main(["--pretty", "probe", "m.py", "-f", "g", "--catalog", "c.yaml"]) == 0 and "No tag was raised" in capsys.readouterr().out
+    assert cli.main(["render-catalog", "--catalog", "c.yaml", "--template", "t.yaml", "-o", "o.md"]) == 0
+    text = (tmp_path / "o.md").read_text()
+    assert text.startswith("# Own\n\n_Обновлено") and text.endswith("\n\nThe\nend\n")
+    capsys.readouterr()
+    assert cli.main(["render-catalog", "--catalog", "c.yaml", "--check", "-o", "o.md"]) == 1 and "stale: " in capsys.readouterr().err
+    assert cli.main(["render-catalog", "--catalog", "c.yaml", "--template", "t.yaml", "--check", "-o", "o.md"]) == 0
+    assert cli.main(["render-catalog", "--catalog", "c.yaml", "--check", "-o", "none.md"]) == 1
+    (tmp_path / "c.yaml").write_text("- 1")
+    assert cli.main([*probe, "--catalog", "c.yaml"]) == 1 and "mapping" in capsys.readouterr().err
+    with pytest.raises(SystemExit) as stopped:
+        cli.main(["--version"])
+    assert stopped.value.code == 0 and cli.VERSION in capsys.readouterr().out
+
+
+def test_module_run():
+    import subprocess
+
+    out = subprocess.run([sys.executable, "-m", "codegrove", "--help"], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and "probe" in out.stdout and "validate-catalog" in out.stdout
+
+
+def test_files_and_catalogs_are_scanned(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.py").write_text(NAMES)
+    (tmp_path / "b.py").write_bytes(b"\xff")
+    (tmp_path / "c.txt").write_text("def no(): pass")
+    c = Corpus.of_files(spark, str(tmp_path))
+    assert c.functions().count() == 5 and [r.path.rpartition("/")[2] for r in c.errors().collect()] == ["b.py"]
+    assert [r.lineno for r in c.probe_function("a").collect()] == [1] and c.probe_function("nobody").count() == 0
+    for name, text in (("one", CATALOG), ("two", CATALOG.replace("id: b", "id: a")), ("empty", "schema_version: 1"), ("bad", "a: [")):
+        (tmp_path / f"{name}.yaml").write_text(text)
+    (tmp_path / "bytes.yaml").write_bytes(b"\xff")
+    entries, problems = scan_catalogs(spark, str(tmp_path))
+    assert entries.count() == 6 and {r.catalog.rpartition("/")[2] for r in problems.collect()} == {"bad.yaml", "bytes.yaml"}
+    assert [(r.catalog.rpartition("/")[2], r.rule) for r in validator.validate(entries).collect()] == [("two.yaml", 3)]
+    assert renderer.render(entries).count() == 2
+
+
+def test_too_many_entries_of_a_tag_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(links, "MAX_LINKS", 1)
+    with pytest.raises(Exception, match="too many catalog entries"):
+        corpus(spark, "def f(a, b, c, d, e): pass\n").probe(parse_catalog(CATALOG).entries(spark)).collect()
+
+
+def test_speech_never_raises(monkeypatch, caplog):
+    said = []
+
+    class Speaker:
+        name = "speaker"
+
+        def usable(self, platform):
+            return True
+
+        def say(self, text):
+            said.append(text)
+
+    assert voice.speak("hi", (Speaker(),)) and said == ["hi"] and not any(voice.speak(x, (Speaker(),)) for x in (" \n", "", None))
+    voice.ONCE.forget()
     monkeypatch.setattr(voice.shutil, "which", lambda p: None)
-    monkeypatch.setattr(voice, "_has_library", lambda: False)
-    assert not voice.speak("x") and not voice.speak("x") and capsys.readouterr().err.count("no TTS backend") == 1
+    assert not voice.speak("x") and not voice.speak("y") and len(caplog.records) == 1 and "espeak-ng" in caplog.text
+    assert voice.backend("darwin") is None or isinstance(voice.backend("darwin"), voice.Library)
     monkeypatch.setattr(voice.shutil, "which", lambda p: p)
+    assert [voice.backend(p).name for p in ("darwin", "linux")] == ["say", "espeak-ng"] and voice.backend("win32").name in ("pyttsx3", "espeak-ng")
     monkeypatch.setattr(voice.subprocess, "run", lambda *a, **b: (_ for _ in ()).throw(OSError()))
-    assert not voice.choose_backend("darwin")("x") and not voice.choose_backend("linux")("x") and not voice._library("x")
+    assert not voice.speak("x", (voice.Program("say"),)) and not voice.speak("x", (voice.Library("json"),)) and len(caplog.records) == 3
+    monkeypatch.setattr(voice.subprocess, "run", lambda *a, **b: None)
+    assert voice.speak("x", (voice.Program("say"),)) and not voice.Library("no.such.module").usable("linux")
 
 
 def test_streamed_folder(spark, tmp_path):
