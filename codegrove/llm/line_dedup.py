@@ -513,25 +513,25 @@ def find_repeats(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
     return gone.groupBy("doc_id", "rk").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
-    """docs with repeated lines removed from text, and the columns n_lines and n_removed (replacing any of these names).
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """docs with repeated lines removed from text, and the counts of lines in columns named n_lines and n_removed (replacing any of these names).
 
     Null and empty texts have one blank line and stay as they are; blank lines stay. Rows
     with a null doc_id stay as they are and are no source. Among rows that share a doc_id
     an earlier line is one with a smaller number; equal rows are treated as one and come
     out alike. An empty table gives an empty result. All other columns are kept.
     """
-    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.drop(n_lines, n_removed)
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("rk"), F.col("text").cast("string").alias("text"))
-    repeats = find_repeats(inner, threshold, group).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), F.col("lines").alias("__gone"))
+    repeats = find_repeats(inner, threshold, group).select(F.col("doc_id").alias("__codegrove_id"), F.col("rk").alias("__codegrove_rk"), F.col("lines").alias("__codegrove_gone"))
     # the hash table is of a partition's line numbers; texts are not sorted
-    joined = docs.withColumn("__key", key).join(repeats.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__rk")), "left")
-    loses = F.col("__gone").isNotNull()
-    joined = joined.withColumn("__lines", F.when(loses, F.split("text", "\n")))  # a column of its own, so that transform does not split the text for every line
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
-    kept = F.when(loses, F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")).otherwise(F.col("text"))
+    joined = docs.withColumn("__codegrove_key", key).join(repeats.hint("shuffle_hash"), (F.col("doc_id") == F.col("__codegrove_id")) & (F.col("__codegrove_key") == F.col("__codegrove_rk")), "left")
+    loses = F.col("__codegrove_gone").isNotNull()
+    joined = joined.withColumn("__codegrove_lines", F.when(loses, F.split("text", "\n")))  # a column of its own, so that transform does not split the text for every line
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__codegrove_lines") - 1), "__codegrove_gone")
+    kept = F.when(loses, F.array_join(F.transform(stay, lambda i: F.get("__codegrove_lines", i)), "\n")).otherwise(F.col("text"))
     columns = [kept.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    n_lines = (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("int")
-    return joined.select(*columns, n_lines.alias("n_lines"), F.when(loses, F.size("__gone")).otherwise(0).alias("n_removed"))
+    count = (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("int")
+    return joined.select(*columns, count.alias(n_lines), F.when(loses, F.size("__codegrove_gone")).otherwise(0).alias(n_removed))

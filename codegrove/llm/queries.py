@@ -7,8 +7,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import corpus_pipeline
-from codegrove.llm import audio, chat, decontaminate, licenses, line_dedup, packing, quality, toxicity
+from codegrove.llm import audio, chat, decontaminate, licenses, line_dedup, packing, pipeline, quality, toxicity
 from codegrove.llm.common import documents
 from codegrove.llm.simhash import near_duplicates
 from codegrove.llm.substring_dedup import dedup_substrings
@@ -90,6 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_line_dedup,
         op10_substring_dedup,
     )
-} | {"pipeline": corpus_pipeline.run}
+} | {"pipeline": pipeline.run}
 
 ORACLE: dict[str, str] = {"op5_licenses": licenses.oracle_sql(), "op6_decontamination": decontaminate.ORACLE}

@@ -311,6 +311,14 @@ def test_pipeline_stages(spark):
     assert len(packed) == corpus_pipeline.run(spark, sf).count()
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    rows = [(i, f"one two three\nline {i} of {i * 7}", "en", 5, 99, "x", "y") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, n_removed long, N_Lines string, __key string")
+    out = corpus_pipeline.STAGES[1][1](spark, docs, "")
+    assert out.columns == docs.columns and {(r.n_removed, r.N_Lines) for r in out.collect()} == {(99, "x")}
+    assert sorted(r.n_chars for r in out.collect()) == [5] + [len(f"line {i} of {i * 7}") for i in range(1, 6)]
+
+
 def test_words_are_told_apart_like_split():
     import pyarrow as pa
 
