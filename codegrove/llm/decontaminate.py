@@ -1,22 +1,28 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame operations only.
 
 A document is contaminated by an item when it holds at least `containment` of the item's
-distinct five-word shingles. Items are partitioned by size. The MinHash sketch of an item
-with n shingles keeps its n - ceil(containment * n) + 1 smallest hashes: a document that
-holds enough of the item misses too few shingles to miss the whole sketch, so the search
-finds every such document, however long it is. Each hash of a document is looked up in
-the sketches; candidates are verified by exact containment of shingle texts.
-
-Items of fewer than five words form partitions of their own, with shingles of the whole item.
+distinct five-word shingles. Items are partitioned by their number n of shingles, in powers
+of two. Each partition has its own sketch size: with e = n - ceil(containment * n), the
+shingles that an item may miss, and E that of the partition's largest possible item, an item
+keeps its min(n, E + 1 + E // 2) smallest hashes. A document that holds enough of the item
+misses at most e of its sketch, so it must hit at least (sketch size - e) of it, which is
+one or more: the search loses no document, however long that is, and the larger sketches of
+the larger partitions leave few false candidates. Documents are not sketched; each hash of
+theirs is looked up in the items' sketches. Candidates are verified by exact containment of
+shingle texts.
+
+Items of fewer than five words are shingled whole, by their own width.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codegrove.llm.common import materialize
+
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
-#: Tables of item shingles up to so many rows are broadcast; larger ones are joined by shuffle.
+#: Tables of item shingles, candidates and findings up to so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 _SPACE = " \t\n\u000b\f\r"
 
@@ -61,26 +67,38 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, containment: float
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shared long, n_shingles long, containment double")
     item_shingles = each_width(items, "item_id", make=_join_words, of_width=True).distinct()
     sizes = item_shingles.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
-    bounded = item_shingles.count() <= BROADCAST_ROWS
-    small = F.broadcast if bounded else lambda df: df
+    small = F.broadcast if item_shingles.count() <= BROADCAST_ROWS else lambda df: df
 
     hashes = each_width(items, "item_id", make=F.xxhash64, of_width=True).groupBy("item_id", "width").agg(F.array_sort(F.collect_set("s")).alias("h"))
-    n = F.size("h")
-    keep = n - F.ceil(n * F.lit(containment) - 1e-9).cast("int") + 1
-    sketch = hashes.select("width", F.explode(F.slice("h", F.lit(1), keep)).alias("s")).distinct()
+    sketch = sketches(hashes, containment).select("item_id", "width", "least_hits", F.explode("sketch").alias("s"))
     probes = each_width(texts, "doc_id", make=F.xxhash64, of_width=False)
-    candidates = probes.join(small(sketch), ["width", "s"], "left_semi").select("doc_id").distinct()
-
-    held = each_width(texts.join(candidates, "doc_id", "left_semi"), "doc_id", make=_join_words, of_width=False)
-    hits = held.join(small(item_shingles), ["width", "s"]).groupBy("doc_id", "item_id").agg(F.count_distinct("s").alias("n_shared"))
+    met = probes.join(small(sketch), ["width", "s"]).groupBy("doc_id", "item_id", "least_hits").agg(F.count_distinct("s").alias("hits"))
+    candidates = materialize(met.where("hits >= least_hits").select("doc_id", "item_id"), "candidates")
+
+    # few candidates: their ids go to the texts; many: both are dealt out by id
+    few = F.broadcast if candidates.count() <= BROADCAST_ROWS else lambda df: df
+    held = each_width(texts.join(few(candidates.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id", make=_join_words, of_width=False)
+    hits = held.join(small(item_shingles), ["width", "s"]).join(few(candidates), ["doc_id", "item_id"], "left_semi")
+    hits = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("s").alias("n_shared"))
     share = F.col("n_shared") / F.col("n_shingles")
     return hits.join(small(sizes), "item_id").where(share >= containment - 1e-9).select("doc_id", "item_id", "n_shared", "n_shingles", share.alias("containment"))
 
 
+def sketches(hashes: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """hashes (item_id, width, h: sorted distinct hashes) with partition, sketch and least_hits, the hits that no contaminated document misses."""
+    may_miss = lambda n: (n - F.ceil(n * F.lit(containment) - 1e-9)).cast("int")
+    n = F.size("h")
+    partition = F.floor(F.log2(n + F.lit(0.5))).cast("int")
+    most = may_miss(F.pow(F.lit(2), partition + 1).cast("int") - 1)
+    rows = hashes.withColumn("partition", partition).withColumn("sketch", F.slice("h", F.lit(1), F.least(n, most + 1 + F.floor(most / 2).cast("int"))))
+    return rows.withColumn("least_hits", F.size("sketch") - may_miss(n))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The rows of docs whose doc_id is not found contaminated; rows with a null doc_id stay."""
-    found = find_contamination(docs, benchmark, containment).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = materialize(find_contamination(docs, benchmark, containment).select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
+    few = F.broadcast if found.count() <= BROADCAST_ROWS else lambda df: df
+    return docs.join(few(found), F.col("doc_id").cast("long") == F.col("_found"), "left_anti").select(*docs.columns)
 
 
 ORACLE = """
