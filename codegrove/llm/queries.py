@@ -22,16 +22,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings rendered from embeddings (a note per component), aligned.
+    """Recordings rendered from embeddings (a note per component), aligned with one another.
 
-    A row for each recording with its class (match_class and the rest null) and a row for
-    each pair of classes that match.
+    Beside the recording of each vec_id stands, for each vec_id divisible by 50, a noisy
+    excerpt of it as recording -vec_id - 1. A row for each recording with its class
+    (match_class and the rest null) and a row for each pair of classes that match.
     """
 
     def run(batches):
         for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
-            sounds = [audio.render(e.values.to_numpy(zero_copy_only=False)) if e.is_valid else None for e in b.column("embedding")]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(sounds, pa.binary())], names=["rec_id", "audio"])
+            ids, sounds = [], []
+            for rec, e in zip(b.column("vec_id").to_pylist(), b.column("embedding")):
+                ids.append(rec)
+                sounds.append(audio.render(e.values.to_numpy(zero_copy_only=False)) if e.is_valid else None)
+                if rec is not None and rec % 50 == 0 and sounds[-1]:
+                    ids.append(-rec - 1)
+                    sounds.append(audio.excerpt(sounds[-1], rec))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sounds, pa.binary())], names=["rec_id", "audio"])
 
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     members, matches = audio.align(vectors.mapInArrow(run, "rec_id long, audio binary"))

@@ -184,32 +184,68 @@ def test_decontamination_matches_brute_force(spark, monkeypatch):
     assert kept == {d for d, _ in docs} - {d for d, *_ in want}
 
 
+def test_sketches_of_size_partitions(spark):
+    import math
+
+    rows = [(n, 5, [i * 3 for i in range(n)]) for n in (1, 2, 3, 5, 7, 8, 20, 31, 32, 500)]
+    got = {r.item_id: r for r in decontaminate.sketches(spark.createDataFrame(rows, "item_id long, width int, h array<long>")).collect()}
+    for n, _, h in rows:
+        r, miss = got[n], n - math.ceil(0.8 * n - 1e-9)
+        largest = 2 ** (r.partition + 1) - 1
+        most = largest - math.ceil(0.8 * largest - 1e-9)
+        assert 2**r.partition <= n <= largest and r.sketch == h[: most + 1 + most // 2] and r.least_hits == len(r.sketch) - miss >= 1
+
+
+def brute_alignment(query, match):
+    """The least bit error over all starts inside a hop and all offsets that overlap at MIN_OVERLAP places, and that offset in samples."""
+    m, best = audio.fingerprint(match), (1.0, None)
+    for phase in range(audio.PHASES):
+        q = audio.fingerprint(query[phase * audio.HOP // audio.PHASES :])
+        for shift in range(audio.MIN_OVERLAP - len(m), len(q) - audio.MIN_OVERLAP + 1):
+            a, b = q[max(shift, 0) :], m[max(-shift, 0) :]
+            a, b = a[: len(b)], b[: len(a)]
+            if len(a) >= audio.MIN_OVERLAP:
+                best = min(best, (np.bitwise_count(a ^ b).sum() / (32 * len(a)), shift * audio.HOP + phase * audio.HOP // audio.PHASES))
+    return best
+
+
 def test_audio_alignment_against_brute_force(spark):
     rng = np.random.default_rng(5)
     notes = {i: rng.normal(0, 0.2, 64) for i in range(0, 40)}
     notes[101] = np.r_[rng.normal(0, 0.2, 9), notes[0][:40]]  # query 0 again, nine notes later
     notes[102] = notes[10][5:] + rng.normal(0, 0.001, 59)
     notes[103], notes[104] = notes[0], notes[20]
-    rows = [(i, audio.render(v), 1) for i, v in notes.items()] + [(200, None, 1), (201, b"", 1), (None, b"", 1), (202, b"\0" * 999, 1), (103, audio.render(notes[0]), 1), (300, b"\0\0" * 40000, 1)]
+    rows = [(i, audio.render(v), 1) for i, v in notes.items()]
+    for i in range(0, 40, 10):  # cuts at any sample, with more and more noise
+        for k, noise in enumerate((0, 0.1, 0.3, 0.6, 1.0)):
+            x = np.frombuffer(audio.render(notes[i]), "<i2")[int(rng.integers(100, 4000)) :][: int(rng.integers(9000, 13000))]
+            rows.append((1001 + 10 * i + k, (x + rng.normal(0, noise * x.std(), len(x))).clip(-32768, 32767).astype("<i2").tobytes(), 1))
+    rows += [(200, None, 1), (201, b"", 1), (None, b"", 1), (202, b"\0" * 999, 1), (103, audio.render(notes[0]), 1), (300, b"\0\0" * 40000, 1), (350, b"\0\0" * 90000, 1)]
     frame = spark.createDataFrame(rows, "rec_id long, audio binary, fp int")
     members, matches = audio.align(frame, every=10)
     of = {r.rec_id: r.class_id for r in members.collect()}
     assert of[103] == 0 and of[104] == 20 and of[200] == of[201] == of[202] == 200
     got = {(r.query_class, r.match_class): r for r in matches.collect()}
-    assert got[0, 101].offset == -9 and got[10, 102].offset == 5 and got[0, 101].bit_error < 0.1
-    fps = {i: audio.fingerprint(np.frombuffer(a or b"", "<i2")) for i, a, _ in rows if i in set(of.values()) and len(a or b"") % 2 == 0}
-    want = set()
-    for q in (i for i in fps if any(of[m] == i and m % 10 == 0 for m in of)):
-        for m in fps:
-            for off in range(-len(fps[m]) + 1, len(fps[q])) if m != q else ():
-                a, b = fps[q][max(off, 0) :], fps[m][max(-off, 0) :]
-                a, b = a[: len(b)], b[: len(a)]
-                if (a == b).sum() >= audio.MIN_VOTES and np.bitwise_count(a ^ b).sum() <= audio.MAX_BIT_ERROR * 32 * len(a):
-                    want.add((q, m))
-    assert set(got) == want
+    assert got[0, 101].offset == -9 * audio.HOP and got[10, 102].offset == 5 * audio.HOP and got[0, 101].bit_error < 0.1 and got[300, 350].bit_error == 0
+    sounds = {i: np.frombuffer(a or b"", "<i2") for i, a, _ in rows if i in set(of.values()) and len(a or b"") % 2 == 0}
+    want = {}
+    for q in (i for i in sounds if any(of[m] == i and m % 10 == 0 for m in of) and i < 300):
+        for m in sounds:
+            if m != q and m < 300 or m > 1000:
+                error, offset = brute_alignment(sounds[q], sounds[m])
+                if error <= audio.MAX_BIT_ERROR:
+                    want[q, m] = offset
+    found = {k for k in got if max(k) < 300 or k[1] > 1000}
+    assert found <= set(want) and len(want) > 15 and len(found) >= 0.9 * len(want), (len(found), len(want))
+    assert sum(abs(got[k].offset - want[k]) <= audio.HOP // audio.PHASES for k in found) >= 0.9 * len(found)
     assert all(df.collect() == [] for df in audio.align(frame.limit(0)))
 
 
+def test_runs_of_equal_neighbours(spark):
+    frame = spark.createDataFrame([([],), ([7],), ([1, 1, 2, 2, 2, 1],)], "c array<int>")
+    assert [[tuple(x) for x in r.r] for r in frame.select(audio.runs("c").alias("r")).collect()] == [[], [(7, 0, 1)], [(1, 0, 2), (2, 2, 3), (1, 5, 1)]]
+
+
 def auc(score, y):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(score))
