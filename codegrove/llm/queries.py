@@ -79,7 +79,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(documents(spark, sf_dir)).drop("removed")
+    return dedup_substrings(documents(spark, sf_dir)).drop("removed", "factors")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -148,6 +148,48 @@ def test_substrings_match_brute_force(spark, window):
     assert got == brute_substring(docs, window)
 
 
+def check_factors(words, rows, window):
+    """Factors lie in order, copy a smaller document's words, and cover what is removed."""
+    for r in rows:
+        at, covered = 0, set()
+        for f in r.factors:
+            assert f.start >= at and f.length > 0 and f.source < r.doc_id
+            assert words[r.doc_id][f.start : f.start + f.length] == words[f.source][f.source_start : f.source_start + f.length]
+            at = f.start + f.length
+            covered.update(range(f.start, at))
+        assert covered == {i for s in r.removed for i in range(s.start, s.start + s.length)} and len(covered) == r.n_removed
+
+
+def longest_match(words, sources, at):
+    return max(next((n for n in range(min(len(words) - at, len(s) - i) + 1) if words[at : at + n + 1] != s[i : i + n + 1] or n == min(len(words) - at, len(s) - i)), 0) for s in sources for i in range(len(s)))
+
+
+@pytest.mark.parametrize("window", [10, 50])
+def test_factors_are_the_greedy_parse(spark, window):
+    rng = random.Random(window)
+    fresh = lambda n: [f"u{rng.random()}" for _ in range(n)]
+    words = {1: fresh(900), 2: fresh(700), 3: fresh(400)}
+    words[10] = [*fresh(30), *words[1][100:520], *words[2][50:600], *fresh(5), *words[3][3 : 3 + window], *words[1][5 : 5 + window - 1], *fresh(20)]
+    words[11] = [*words[2][20:200], *words[2][190:400], *words[3]]
+    words[12] = words[10][10:700]
+    frame = spark.createDataFrame([(d, " ".join(w), "", 0) for d, w in words.items()], SCHEMA)
+    rows = dedup_substrings(frame, window).collect()
+    check_factors(words, rows, window)
+    got = {r.doc_id: [(f.start, f.length, f.source, f.source_start) for f in r.factors] for r in rows}
+    assert got[10] == [(30, 420, 1, 100), (450, 550, 2, 50), (1005, window, 3, 3)] and got[11] == [(0, 180, 2, 20), (180, 210, 2, 190), (390, 400, 3, 0)]
+    for doc in (10, 11):  # each factor of one smallest source is the longest match at its place
+        assert all(f[1] == longest_match(words[doc], [words[d] for d in (1, 2, 3)], f[0]) for f in got[doc])
+
+
+def test_hot_windows_are_reduced_before_they_meet():
+    from codegrove.llm.substring_dedup import WINDOW, _matched
+
+    rows = np.zeros(5000, WINDOW)
+    rows["w1"], rows["doc"], rows["first"] = 7, np.arange(5000)[::-1], 3
+    kept, matches = _matched(rows)
+    assert len(kept) == 1 and kept["doc"][0] == 0 and len(matches) == 4999 and set(matches["source"]) == {0}
+
+
 def test_substring_edge_cases(spark):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(4, text, "", 0), (4, text, "", 0), (None, text, "", 0), (9, text + " end", "", 0)]
