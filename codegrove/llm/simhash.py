@@ -8,13 +8,18 @@ it, node pairs are walked together, differing bits accumulate, and a pair whose
 exceeds the budget is pruned.
 
 Work is done on distinct fingerprints, so copies never meet one another. A node that
-holds more than `node_limit` distinct fingerprints is dealt into chunks, and each pair
-of chunks is a task of its own. A distinct fingerprint has at most 2,080 others within
-two bits, and a task only returns a spanning forest of its links.
+holds more than `node_limit` distinct fingerprints is split at its next bits, as many as
+leave few in each part; a pair of parts is a task of its own if their bits differ within
+the budget. A fingerprint goes to the tasks of its own part and of those within the budget:
+their number grows with the square of the number of bits, not with the node. A distinct
+fingerprint has at most 2,080 others within two bits, and a task only returns a spanning
+forest of its links.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,6 +30,8 @@ from codegrove.llm.common import connected_components, materialize
 #: Width of the three blocks of a 64-bit fingerprint.
 BLOCKS = (22, 21, 21)
 NODE_LIMIT = 1024
+#: A crowded node is split at so many bits at most.
+MOST_BITS = 20
 _FRONTIER = 1 << 20
 
 
@@ -110,18 +117,18 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def _links(task: np.ndarray, side: np.ndarray, codes: np.ndarray, node: np.ndarray, depth: int, budget: int):
-    """Spanning links of the tasks in the arrays, which are sorted by task, side and code."""
+def _links(task: np.ndarray, side: np.ndarray, paired: np.ndarray, codes: np.ndarray, node: np.ndarray, depth: int, budget: int):
+    """Spanning links of the tasks in the arrays, which are sorted by task, side and code. paired: the task is of two parts, of which one may be empty."""
     cut = np.flatnonzero(np.r_[True, (task[1:] != task[:-1]) | (side[1:] != side[:-1])])
     end = np.r_[cut[1:], len(task)]
     left, right = [], []
     k = 0
     while k < len(cut):
         same = k + 1 < len(cut) and task[cut[k]] == task[cut[k + 1]]
-        if same:  # two chunks of one node
+        if same:  # two parts of one node
             left.append((cut[k], end[k]))
             right.append((cut[k + 1], end[k + 1]))
-        elif end[k] - cut[k] > 1:
+        elif end[k] - cut[k] > 1 and not paired[cut[k]]:
             left.append((cut[k], end[k]))
             right.append((cut[k], end[k]))
         k += 1 + same
@@ -145,10 +152,10 @@ def _walk(batches, depth: int, budget: int):
     def columns(rows):
         # one number per task: tasks are contiguous, so a running count of changes serves
         change = np.r_[False, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]
-        return np.cumsum(change), rows[:, 3], rows[:, 4].astype(np.int64).view(np.uint64), rows[:, 5]
+        return np.cumsum(change), rows[:, 3], rows[:, 1] != rows[:, 2], rows[:, 4].astype(np.int64).view(np.uint64), rows[:, 5]
 
     for b in batches:
-        rows = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "p", "q", "chunk", "code", "node")]).astype(np.int64)
+        rows = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "p", "q", "part", "code", "node")]).astype(np.int64)
         if not len(rows):
             continue
         kept.append(rows)
@@ -171,17 +178,21 @@ def hamming_links(nodes: DataFrame, max_bits: int = 2, node_limit: int = NODE_LI
     """
     if not 0 <= max_bits < len(BLOCKS):
         raise ValueError(f"{len(BLOCKS)} blocks find all pairs within 0 to {len(BLOCKS) - 1} bits, not within {max_bits}")
+    masks = F.array(*(F.lit(m).cast("long") for m in sorted(sum(1 << b for b in own) for k in range(max_bits + 1) for own in combinations(range(MOST_BITS), k))))
     links = None
     for r, width in enumerate(BLOCKS):
         turn = sum(BLOCKS[:r])
         rotated = F.col("fp") if not turn else F.shiftleft("fp", turn).bitwiseOR(F.shiftrightunsigned("fp", 64 - turn))
         rows = nodes.select(rotated.alias("code"), "node").withColumn("key", F.shiftrightunsigned("code", 64 - width))
-        large = rows.groupBy("key").count().where(F.col("count") > node_limit).select("key", F.ceil(F.col("count") / node_limit).cast("long").alias("chunks"))
-        rows = rows.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("code"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        rows = rows.select("key", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "code", "node")
+        bits = F.least(F.ceil(F.log2(F.col("count") / node_limit)) + 3, F.lit(min(MOST_BITS, 64 - width)))
+        large = rows.groupBy("key").count().where(F.col("count") > node_limit).select("key", bits.cast("int").alias("bits"))
+        rows = rows.join(large, "key", "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
+        below = F.expr(f"shiftright(code, {64 - width} - bits)")
+        rows = rows.withColumn("part", below.bitwiseAND(F.expr("shiftleft(1L, bits) - 1")))
+        rows = rows.withColumn("other", F.explode(F.filter(masks, lambda m: m < F.expr("shiftleft(1L, bits)")))).withColumn("other", F.col("part").bitwiseXOR(F.col("other")))
+        rows = rows.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "code", "node")
         # signed sort order differs from unsigned only in the top bit, which is constant inside a key
-        tasks = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "chunk", "code")
+        tasks = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "part", "code")
         found = tasks.mapInArrow(lambda batches, depth=width: _walk(batches, depth, max_bits), "u long, v long")
         links = found if links is None else links.union(found)
     return links
