@@ -30,7 +30,7 @@ CAPACITY = 1024
 END_ID = 2
 ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4, 6, 3, 12
 #: Pieces of one length that are ranked together, on average at most.
-RANKED_TOGETHER = 1 << 14
+RANKED_TOGETHER = 1 << 10
 
 Groups = list[tuple[tuple[int, ...], int]]
 
@@ -251,15 +251,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
     kept; rows that share a doc_id are packed separately. An empty table gives an empty
     result; columns besides doc_id and text are not read.
     """
-    rows = materialize(pieces(docs, capacity, end_id, tokenizer, ranks), "pieces")
+    rows = materialize(pieces(docs, capacity, end_id, tokenizer, ranks).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     length, first, sequence, offset = _places(plan(rows.sparkSession, counts, capacity))
-    buckets = max(1, sum(counts.values()) // RANKED_TOGETHER)
-    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    # a length is dealt into buckets in proportion to its pieces, by their place in the table: repeated rows part
+    buckets = rows.sparkSession.createDataFrame([(x, n // RANKED_TOGETHER + 1) for x, n in counts.items()], "length long, buckets long")
+    keyed = rows.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("row"), "buckets")).drop("buckets")  # at most `capacity` rows
     before = keyed.groupBy("length", "bucket").count()
     over = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("length", "bucket", F.coalesce(F.sum("count").over(over), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "bucket").orderBy("row")
     ranked = keyed.withColumn("rank", F.row_number().over(inside)).join(before, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") - 1 + F.col("before")).cast("long").alias("rank"))
     scale = 1 << 44  # ranks of one length stay below it
