@@ -36,7 +36,13 @@ def discard(df: DataFrame) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df, or where it is read from fewer files than there are cores, df dealt out among them: a small file is often a single task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > 4 * cores or len(df.inputFiles()) >= cores else df.repartition(2 * cores)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

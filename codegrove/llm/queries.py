@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codegrove.llm import audio, chat, decontaminate, licenses, line_dedup, packing, pipeline, quality, toxicity
-from codegrove.llm.common import documents
+from codegrove.llm.common import dealt, documents
 from codegrove.llm.simhash import near_duplicates
 from codegrove.llm.substring_dedup import dedup_substrings
 
@@ -40,7 +40,7 @@ def op2_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                     sounds.append(audio.excerpt(sounds[-1], rec))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sounds, pa.binary())], names=["rec_id", "audio"])
 
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    vectors = dealt(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "embedding")
     members, matches = audio.align(vectors.mapInArrow(run, "rec_id long, audio binary"))
     return members.unionByName(matches.withColumnRenamed("query_class", "class_id"), allowMissingColumns=True)
 
