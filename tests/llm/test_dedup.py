@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from codegrove.llm import near_dedup
+from codegrove.llm import near_dedup, pipeline
 from codegrove.llm.simhash import hamming_links, near_duplicates, simhash, trie_pairs
 from codegrove.llm.common import connected_components
 from codegrove.llm.substring_dedup import dedup_substrings, sliding_argmin
@@ -199,8 +199,6 @@ def test_substring_edge_cases(spark):
 
 
 def test_near_copies_match_brute_force(spark, monkeypatch):
-    import corpus_pipeline
-
     rng = random.Random(6)
     pool = [f"w{i}" for i in range(500)]
     passage = [rng.choice(pool) for _ in range(40)]
@@ -231,12 +229,44 @@ def test_near_copies_match_brute_force(spark, monkeypatch):
     for common in (4, 1):
         monkeypatch.setattr(near_dedup, "COMMON", common)
         assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_copies(frame).collect()) == want
-    kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.simhash_near_dedup(spark, frame, "").collect())
+    kept = sorted((r.doc_id or 0, r.text) for r in pipeline.simhash_near_dedup(spark, frame, "").collect())
     gone = {d for d, c in want if c < d} - {9002}
     assert kept == sorted((d or 0, t) for d, t, *_ in rows if d not in gone and (d, t) != (9002, " ".join(docs[0])))
     assert near_dedup.near_copies(frame.limit(0)).collect() == []
 
 
+def test_shingle_sets_tell_texts_apart_like_words_do():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [None, "", " \n", "a", "A", "b", "a b", "b a", "a b c d", "a b c d e", "A b\tc d  e f", "é É", "x" * 40 + " y z", "x y " * 400, "a b c d e a b c d e"] + [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(200)]
+
+    def plain(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset())
+
+    s, ends = near_dedup.shingle_sets(pa.array(["skipped one two three four five", *texts]).slice(1))
+    got = [tuple(s[i:j].tolist()) for i, j in zip(ends[:-1], ends[1:])]
+    known = {}
+    for t, hashes in zip(texts, got):
+        want = plain(t)
+        assert len(hashes) == len(want) and list(hashes) == sorted(hashes) and known.setdefault(want, hashes) == hashes
+        assert t is None or tuple(near_dedup.shingles(t).tolist()) == hashes
+    assert len(set(known.values())) == len(known)
+
+
+def test_bins_bound_what_two_sets_share():
+    rng = np.random.default_rng(2)
+    pool = np.sort(rng.integers(-(2**63), 2**63 - 1, 3000))
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (0, 1, 50, 900, 2000)] + [pool]
+    a, b = zip(*((x, y) for x in sets for y in sets))
+    most = near_dedup.may_share([near_dedup.bins(x) for x in a], [near_dedup.bins(y) for y in b])
+    assert all(m >= len(np.intersect1d(x, y)) and (m == len(x) or x is not y) for m, x, y in zip(most, a, b))
+    apart = [np.sort(rng.integers(-(2**63), 2**63 - 1, 300)) for _ in range(2)]
+    assert near_dedup.may_share(*([near_dedup.bins(x)] for x in apart))[0] < 250
+    assert near_dedup.may_share([b""], [near_dedup.bins(pool)])[0] > 3000
+
+
 def test_links_refuse_budgets_that_the_blocks_do_not_cover(spark):
     with pytest.raises(ValueError):
         hamming_links(spark.createDataFrame([], "fp long, node long"), 3)
