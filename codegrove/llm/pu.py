@@ -3,11 +3,10 @@
 A model is learnt from trusted positives and unlabelled texts alone: it minimises
 pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)) with the logistic loss, so its scores estimate
 the probability of label 1. Rows of label 0 are never looked at. The class prior pi is
-estimated from positives and unlabelled texts too: a model learnt on one half of them
-ranks the other half, and pi is the least ratio, over all thresholds, of the share of
+estimated from positives and unlabelled texts too: models learnt on parts of them
+rank the other parts, and pi is the least ratio, over all thresholds, of the share of
 unlabelled texts above a threshold to the share of positives above it, at the threshold
-where that ratio's upper confidence bound is smallest. Both halves take both roles and the
-estimates are averaged.
+where that ratio is smallest once both shares are moved by their standard errors.
 
 A text is described by piecewise-constant functions of some twenty surface statistics and
 by the presence of words that positives hold significantly more or less often than
@@ -39,6 +38,9 @@ MIN_Z = 6.0
 ROUNDS = 600
 #: Weight decay times the number of positives, and rounds, of the models that only rank for the prior: smoother than the final model, as they learn from half of the sample.
 RANK_STRENGTH, RANK_ROUNDS = 10.0, 150
+LEAST_POSITIVES = 20
+#: A tail holds such a share of the positives at least.
+LEAST_TAIL = 0.1
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -110,25 +112,41 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     return w[:-1], float(w[-1])
 
 
-def tail_ratio(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
-    """The prior as a ratio of upper tails of two sets of scores; gamma weighs the confidence bound that picks the tail."""
+def tail_ratio(positive: np.ndarray, unlabelled: np.ndarray, errors: float = 2.0) -> float:
+    """The prior as a ratio of upper tails of two sets of scores, at the tail where the ratio is smallest with both shares moved by so many standard errors."""
     cuts = np.unique(positive)
-    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, side="left") / len(x)
-    p, u = above(positive), above(unlabelled)
-    slack = sum(np.sqrt(np.log(4 / delta) / (2 * len(x))) for x in (positive, unlabelled))
-    best = int(np.argmin((u + (1 + gamma) * slack) / p))
+
+    def above(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(x) - np.searchsorted(np.sort(x), cuts, side="left")
+        share = (n + 1) / (len(x) + 2)
+        return n / len(x), np.sqrt(share * (1 - share) / (len(x) + 2))
+
+    (p, p_error), (u, u_error) = above(positive), above(unlabelled)
+    low = p - errors * p_error
+    best = int(np.argmin(np.where((low > 0) & (p >= LEAST_TAIL), (u + errors * u_error) / np.where(low > 0, low, 1), np.inf)))
     return float(u[best] / p[best])
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among unlabelled rows; at least one in a thousand and at most all but that."""
-    estimates = []
-    for half in (0, 1):
-        own, other = ((positive[k::2], unlabelled[k::2]) for k in (half, 1 - half))
-        if all(map(len, (*own, *other))):
-            w, b = minimise(*own, 0.5, RANK_ROUNDS, RANK_STRENGTH / len(positive))
-            estimates.append(tail_ratio(*(x @ w.astype(x.dtype) + b for x in other)))
-    return float(np.clip(np.mean(estimates or [0.5]), 1e-3, 1 - 1e-3))
+    """The share of positives among unlabelled rows, at least one in a thousand and at most all but that.
+
+    Each part of both is ranked by a model of the other parts; a positive's place is the share
+    of its part's unlabelled rows that it surpasses. With fewer than LEAST_POSITIVES, which tell
+    nothing reliable, the share of positives in the sample.
+    """
+    sizes = len(positive), len(unlabelled)
+    if min(sizes) < LEAST_POSITIVES:
+        return float(np.clip(sizes[0] / sum(sizes), 1e-3, 1 - 1e-3))
+    parts = 5 if sizes[0] < 1000 else 2
+    places, ranks = [], []
+    for part in range(parts):
+        own = [np.arange(n) % parts == part for n in sizes]
+        w, b = minimise(positive[~own[0]], unlabelled[~own[1]], 0.5, RANK_ROUNDS, RANK_STRENGTH / sizes[0])
+        p, u = (x[k] @ w.astype(x.dtype) + b for x, k in zip((positive, unlabelled), own))
+        u = np.sort(u)
+        for scores, out in ((p, places), (u, ranks)):
+            out.append(np.searchsorted(u, scores, side="left") / len(u))
+    return float(np.clip(tail_ratio(np.concatenate(places), np.concatenate(ranks)), 1e-3, 1 - 1e-3))
 
 
 def remainder(doc_id: Column, folds: int) -> Column:

@@ -74,6 +74,17 @@ def test_groups_use_every_piece_once():
             assert used == counts
 
 
+def test_islands_run_where_the_greedy_plan_leaves_room(spark):
+    counts = {300: 200, 270: 200, 254: 200, 200: 200}
+    greedy, best = packing.fill(counts, 1024), packing.plan(spark, counts)
+    assert packing.cost(greedy, 1024)[0] > packing.cost(best, 1024)[0] >= 200
+    used = defaultdict(int)
+    for lengths, m in best:
+        for x in lengths:
+            used[x] += m
+    assert used == counts
+
+
 def check_packing(docs, rows):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {d: np.array(t.encode(x or "", add_special_tokens=False).ids + [2], dtype="<u4") for d, x in docs}
