@@ -31,7 +31,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codegrove.llm.common import materialize
 
 SAMPLE = 10_000
-BINS = 12
+#: Quantiles of a statistic at which its bins end. A value that falls on several is in the lowest bin, so what few texts have at all is told from what none has.
+QUANTILES = (0.02, 0.05, *(k / 12 for k in range(1, 12)), 0.95, 0.98, 0.99)
+BINS = len(QUANTILES) + 1
 MAX_WORDS = 1024
 #: A word is a feature if its share among positives is so many standard errors off.
 MIN_Z = 6.0
@@ -74,7 +76,7 @@ class Model:
     prior: float
 
     def columns(self, stats: np.ndarray, words) -> list[int]:
-        at = [k * BINS + int(np.searchsorted(e, x, side="right")) for k, (e, x) in enumerate(zip(self.edges, stats))]
+        at = [k * BINS + int(np.searchsorted(e, x, side="left")) for k, (e, x) in enumerate(zip(self.edges, stats))]
         return at + [len(self.edges) * BINS + self.words[w] for w in words if w in self.words]
 
     def score(self, text: str) -> float:
@@ -185,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, s
     rows = described.select("role", "stats", F.array_intersect("words", F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")).alias("words")).toArrow()
 
     roles, stats = np.array(rows["role"].to_pylist()), np.array(rows["stats"].to_pylist(), dtype=np.float32)
-    edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T.astype(np.float32)
+    edges = np.quantile(stats, QUANTILES, axis=0).T.astype(np.float32)
     model = Model(edges, words, np.zeros(0), 0.0, 0.0)
     x = np.zeros((len(roles), len(edges) * BINS + len(words)), dtype=np.float32)
     for i, (s, w) in enumerate(zip(stats, rows["words"].to_pylist())):

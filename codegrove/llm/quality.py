@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from codegrove.llm import pu
 
 #: Weight decay times the number of positives, chosen on rows inside the learning fold.
-STRENGTH = 0.03
+STRENGTH = 0.02
 FOLDS, HELD, THRESHOLD = 5, 0, 0.3
 
 
