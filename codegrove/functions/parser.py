@@ -2,15 +2,19 @@
 
 Everything about one function is produced together, so metrics need no shuffle. Rows hold
 facts only; what branches or counts as a line is decided by expressions in
-codegrove.operators.metrics. Facts are collected by column and handed on as Arrow arrays.
+codegrove.operators.metrics. Facts of a statement are eight numbers in one array, which
+becomes Arrow columns without an object for each.
 """
 
 from __future__ import annotations
 
 import ast
+import gc
 import warnings
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,12 +38,19 @@ _SCOPES = (*_FUNCTIONS, ast.ClassDef)
 _COMPOUND = frozenset((ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.TryStar, ast.Match))
 
 
+#: Numbers of a statement as collected: number of its class, flags (bits in this order), place, counts, depth.
+_NUMBERS = ("node", "flags", "lineno", "col", "end_lineno", "n_handlers", "n_cases", "depth")
+_FLAGS = ("is_top", "is_docstring", "is_scope", "in_star", "in_star_handler")
+_KINDS = sorted(ast.stmt.__subclasses__(), key=lambda c: c.__name__)
+_CODES = {kind: k for k, kind in enumerate(_KINDS)}
+
+
 class Rows:
     """Columns of rows to come."""
 
     def __init__(self):
         self.functions = {k: [] for k in (*FUNCTION, *ERROR)}
-        self.statements = {k: [] for k in STATEMENT}
+        self.statements = array("i")
         self.ends = [0]
 
     def __len__(self) -> int:
@@ -49,21 +60,24 @@ class Rows:
         """A row; its statements are those added since the last one."""
         for k, column in self.functions.items():
             column.append(values.get(k))
-        self.ends.append(len(self.statements["node"]))
+        self.ends.append(len(self.statements) // len(_NUMBERS))
 
     def cut(self, functions: int) -> None:
         """Back to so many rows."""
         for column in self.functions.values():
             del column[functions:]
         del self.ends[functions + 1 :]
-        for column in self.statements.values():
-            del column[self.ends[-1] :]
+        del self.statements[self.ends[-1] * len(_NUMBERS) :]
 
     def batch(self) -> pa.RecordBatch:
-        of = lambda columns, kinds: [pa.array(columns[k], _ARROW[t]) for k, t in kinds.items()]
-        items = pa.StructArray.from_arrays(of(self.statements, STATEMENT), names=list(STATEMENT))
+        of = lambda kinds: [pa.array(self.functions[k], _ARROW[t]) for k, t in kinds.items()]
+        numbers = dict(zip(_NUMBERS, np.array(self.statements, np.int32).reshape(-1, len(_NUMBERS)).T.copy()))
+        columns = {k: pa.array(v) for k, v in numbers.items()}
+        columns["node"] = pa.DictionaryArray.from_arrays(columns["node"], [kind.__name__ for kind in _KINDS]).dictionary_decode()
+        columns |= {k: pa.array(numbers["flags"] >> bit & 1 == 1) for bit, k in enumerate(_FLAGS)}
+        items = pa.StructArray.from_arrays([columns[k] for k in STATEMENT], names=list(STATEMENT))
         lists = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), items)
-        return pa.RecordBatch.from_arrays([*of(self.functions, FUNCTION), lists, *of(self.functions, ERROR)], names=[*FUNCTION, "statements", *ERROR])
+        return pa.RecordBatch.from_arrays([*of(FUNCTION), lists, *of(ERROR)], names=[*FUNCTION, "statements", *ERROR])
 
 
 def _blocks(node: ast.stmt) -> Iterator[tuple[list[ast.stmt], int, bool]]:
@@ -82,32 +96,26 @@ def _blocks(node: ast.stmt) -> Iterator[tuple[list[ast.stmt], int, bool]]:
         yield last, 1, False
 
 
-def _statements(function: ast.stmt, columns: dict[str, list]) -> None:
-    add = {k: c.append for k, c in columns.items()}
+def _statements(function: ast.stmt, numbers: array) -> None:
     first = function.body[0]
     documented = isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str)
-    # explicit stack of (statement, depth, top, in star, in star handler): generated code may nest deeper than the interpreter's own recursion
-    todo = [(s, 0, True, False, False) for s in reversed(function.body)]
+    add, top, docstring, scope, star, star_handler = numbers.extend, 1, 2, 4, 8, 16
+    # explicit stack of (statement, depth, flags): generated code may nest deeper than the interpreter's own recursion
+    todo = [(s, 0, top) for s in reversed(function.body)]
+    if documented:
+        todo[-1] = (first, 0, top | docstring)
     while todo:
-        node, depth, top, star, handler = todo.pop()
+        node, depth, flags = todo.pop()
         kind = type(node)
-        compound = kind in _COMPOUND
-        add["node"](kind.__name__)
-        add["is_top"](top)
-        add["is_docstring"](documented and node is first)
-        add["is_scope"](kind in _SCOPES)
-        add["lineno"](node.lineno)
-        add["col"](node.col_offset)
-        add["end_lineno"](node.end_lineno)
-        add["n_handlers"](len(getattr(node, "handlers", ())) if compound else 0)
-        add["n_cases"](len(node.cases) if kind is ast.Match else 0)
-        add["depth"](depth)
-        add["in_star"](star)
-        add["in_star_handler"](handler)
-        if compound:
-            own = kind is ast.TryStar
-            inside = [(s, depth + deeper, False, star or own, handler or (own and of_handler)) for block, deeper, of_handler in _blocks(node) for s in block]
-            todo.extend(reversed(inside))
+        if kind not in _COMPOUND:
+            add((_CODES[kind], flags | scope if kind in _SCOPES else flags, node.lineno, node.col_offset, node.end_lineno, 0, 0, depth))
+            continue
+        add((_CODES[kind], flags, node.lineno, node.col_offset, node.end_lineno, len(getattr(node, "handlers", ())), len(node.cases) if kind is ast.Match else 0, depth))
+        flags &= star | star_handler
+        if kind is ast.TryStar:
+            flags |= star
+        inside = [(s, depth + deeper, flags | star_handler if of_handler and kind is ast.TryStar else flags) for block, deeper, of_handler in _blocks(node) for s in block]
+        todo.extend(reversed(inside))
 
 
 def _functions(tree: ast.Module) -> Iterator[tuple[str, str, str | None, ast.stmt]]:
@@ -155,15 +163,20 @@ def parse_sources(sources: DataFrame) -> DataFrame:
     """Parse (path, content) rows; content is binary (strict UTF-8) or text. Filter sources first: Spark cannot push a filter through Python."""
 
     def run(batches):
-        rows = Rows()
-        for b in batches:
-            for path, content in zip(b.column("path"), b.column("content")):
-                parse(path.as_py(), content.as_py(), rows)
-                if len(rows) >= BATCH:
-                    yield rows.batch()
-                    rows = Rows()
-        if len(rows):
-            yield rows.batch()
+        rows, collecting = Rows(), gc.isenabled()
+        gc.disable()  # trees hold no cycles, and searching them for some takes longer than parsing
+        try:
+            for b in batches:
+                for path, content in zip(b.column("path"), b.column("content")):
+                    parse(path.as_py(), content.as_py(), rows)
+                    if len(rows) >= BATCH:
+                        yield rows.batch()
+                        rows = Rows()
+            if len(rows):
+                yield rows.batch()
+        finally:
+            if collecting:
+                gc.enable()
 
     return sources.select("path", "content").mapInArrow(run, SCHEMA)
 
