@@ -98,4 +98,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 } | {"pipeline": pipeline.run}
 
-ORACLE: dict[str, str] = {"op5_licenses": licenses.oracle_sql(), "op6_decontamination": decontaminate.ORACLE}
+#: Escaped text is longer by one character for each `<` and `|` with only backslashes between them; each turn has three markers.
+_ESCAPED = r"""length(regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g'))"""
+_CHAT_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'))
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({_ESCAPED.format('role')} + {_ESCAPED.format('text')} + {sum(map(len, chat.MARKERS))}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+#: Every window of 50 words by its text; a word goes if a window over it also starts in a smaller document.
+_SUBSTRING_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+at_ AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+win AS MATERIALIZED (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS k FROM at_),
+least_ AS (SELECT k, min(doc_id) AS source FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM win JOIN least_ USING (k) WHERE source < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+#: Lines as sets of words; sets that are similar share one of their rarest n - ceil(0.8 n) + 1 words, and are compared whole.
+_LINES_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, i) AS id, doc_id, i, line, list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS s FROM l),
+w AS MATERIALIZED (SELECT id, len(s) AS n, unnest(s) AS word FROM s WHERE len(s) > 0),
+f AS (SELECT word, count(*) AS uses FROM w GROUP BY word),
+p AS MATERIALIZED (SELECT id, n, word FROM (SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY uses, word) AS rank FROM w JOIN f USING (word)) WHERE rank <= n - ceil(0.8 * n - 1e-9) + 1),
+pairs AS (SELECT DISTINCT a.id AS later, b.id AS earlier FROM p a JOIN p b ON a.word = b.word AND a.id > b.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9),
+gone AS (SELECT DISTINCT later AS id FROM pairs JOIN s x ON x.id = later JOIN s y ON y.id = earlier
+  WHERE len(list_intersect(x.s, y.s)) >= 0.8 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) - 1e-9),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM s ANTI JOIN gone USING (id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(lines) AS INTEGER) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS INTEGER) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op4_chat": _CHAT_SQL, "op5_licenses": licenses.oracle_sql(), "op6_decontamination": decontaminate.ORACLE, "op9_line_dedup": _LINES_SQL, "op10_substring_dedup": _SUBSTRING_SQL}
