@@ -31,19 +31,24 @@ NOTES = {
 }
 
 
-def _lines(s: Column) -> Column:
-    return F.when(s["is_scope"], F.array(s["lineno"])).otherwise(F.sequence(s["lineno"], s["end_lineno"]))
-
-
 def n_params() -> Column:
     """Parameters without a leading self or cls, whatever the kind of function."""
     return F.col("n_arguments") - F.when(F.col("first_param").isin("self", "cls"), 1).otherwise(0)
 
 
 def sloc() -> Column:
-    """Distinct lines of the top-level statements; a nested scope counts its first line, the docstring none."""
-    own = F.filter("statements", lambda s: s["is_top"] & ~s["is_docstring"])
-    return F.size(F.array_distinct(F.flatten(F.transform(own, _lines))))
+    """Distinct lines of the top-level statements; a nested scope counts its first line, the docstring none.
+
+    Statements come in source order, so each adds its lines beyond the last one counted.
+    """
+
+    def add(total: Column, s: Column) -> Column:
+        end = F.when(s["is_scope"], s["lineno"]).otherwise(s["end_lineno"])
+        more = F.greatest(end - F.greatest(s["lineno"] - 1, total["last"]), F.lit(0))
+        counted = F.struct((total["n"] + more).alias("n"), F.greatest(total["last"], end).alias("last"))
+        return F.when(s["is_top"] & ~s["is_docstring"], counted).otherwise(total)
+
+    return F.aggregate("statements", F.struct(F.lit(0).alias("n"), F.lit(0).alias("last")), add, lambda total: total["n"])
 
 
 def branches() -> Column:
