@@ -24,13 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codegrove.llm.common import materialize
-from codegrove.llm.tokens import default_ranks, default_tokenizer, encode
+from codegrove.llm.near_dedup import _sliced
+from codegrove.llm.tokens import default_ranks, default_tokenizer, encode_all
 
 CAPACITY = 1024
 END_ID = 2
 ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4, 6, 3, 12
 #: Pieces of one length that are ranked together, on average at most.
 RANKED_TOGETHER = 1 << 10
+#: About so many bytes of text are encoded together, a repeated word once.
+ENCODED_TOGETHER = 8 << 20
 
 Groups = list[tuple[tuple[int, ...], int]]
 
@@ -40,10 +43,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
     tokenizer, ranks = tokenizer or default_tokenizer(), ranks if tokenizer else default_ranks()
 
     def run(batches):
-        for b in batches:
+        for b in (part for x in batches for part in _sliced(x, ENCODED_TOGETHER)):
             rows = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = np.array(encode(text.as_py() or "", tokenizer, ranks) + [end_id], dtype="<u4")
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encode_all(texts, tokenizer, ranks)):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 start, length, piece = 0, len(ids) % capacity or capacity, 0
                 while start < len(ids):
                     for k, v in zip(rows, (doc, piece, start, length, zlib.crc32(ids[start : start + length].tobytes()))):

@@ -9,7 +9,7 @@ import public_tokenizers
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from codegrove.llm import packing
+from codegrove.llm import packing, tokens
 from codegrove.llm.chat import MARKERS, digests, escape, format_conversations, loss_mask, masked_texts, read_back, render, unescape
 from codegrove.llm.tokens import default_ranks, default_tokenizer, encode, tokenizer
 
@@ -56,6 +56,23 @@ def test_both_libraries_give_equal_ids(text):
     assert encode(text, default_tokenizer(), default_ranks()) == encode(text, default_tokenizer(), None)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(TEXT, st.lists(st.sampled_from(["a", "bc", " ", "  ", "\n", "\u00a0", "\u2028", "\x1c", "'s", "7", " ab", "é"]), max_size=12).map("".join)), max_size=5))
+def test_texts_encoded_together_have_the_ids_of_each(texts):
+    got = tokens.encode_all(texts, default_tokenizer(), default_ranks())
+    assert [ids.tolist() for ids in got] == [encode(t, default_tokenizer(), None) for t in texts]
+    assert [ids.tolist() for ids in tokens.encode_all(texts, default_tokenizer(), None)] == [ids.tolist() for ids in got]
+
+
+def test_repeated_words_are_encoded_once(monkeypatch):
+    sent, whole = [], tokens.encode
+    monkeypatch.setattr(tokens, "encode", lambda text, *of: sent.append(len(text)) or whole(text, *of))
+    texts = [f"text {k} " + "of the same seldomseenword " * 500 + "." for k in range(40)]
+    got = tokens.encode_all(texts, default_tokenizer(), default_ranks())
+    assert [ids.tolist() for ids in got] == [whole(t, default_tokenizer(), None) for t in texts]
+    assert sum(sent) < sum(map(len, texts)) / 100
+
+
 def test_groups_use_every_piece_once():
     import random
 
