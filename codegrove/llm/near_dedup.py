@@ -1,12 +1,16 @@
-"""Groups of documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8, by an exact join.
+"""Groups of documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8, by SimHash and an exact join for the rest.
+
+Documents of equal sets are one node. Each node has a SimHash fingerprint of its set; the
+binary-trie self-join of simhash.py links those that differ in at most FINGERPRINT_BITS bits, and
+links whose texts are similar connect their nodes. Fingerprints give no bound at a similarity of
+0.8, where some ten bits differ, so pairs not yet connected are found by prefixes:
 
 All documents order their shingles alike: those of many documents, as told from a sample, come last,
 the others by their hash. Of n shingles, two similar documents share one of the first
-n - ceil(0.8 n) + 1, so every similar pair meets at such a shingle. Documents of equal
-sets are one node. First each node is compared with the smallest node of its size at
+n - ceil(0.8 n) + 1, so every similar pair meets at such a shingle. First each node is compared with the smallest node of its size at
 each of its shingles, which links large groups by a number of pairs that grows with
 their size; then all pairs of nodes that meet and are not yet connected are compared.
-Neither the order nor the first step decides what is found. Of a pair that meets, the numbers
+Neither the fingerprints, the order nor the first step decide what is found. Of a pair that meets, the numbers
 of shingles in BINS ranges of hashes are compared first: the sum of the smaller ones bounds
 what the two can share, and only pairs that may be similar by it are compared by text.
 Shingles are told by 64-bit hashes.
@@ -25,8 +29,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from codegrove.llm.common import connected_components, discard, materialize
 from codegrove.llm.line_dedup import _bytes, _mix, _words
+from codegrove.llm.simhash import hamming_links
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
+#: Fingerprints that differ in so many bits at most are candidates.
+FINGERPRINT_BITS = 2
 #: One of so many documents is read to find common shingles; a shingle is common if so many of those hold it; at most so many are kept.
 SAMPLED, COMMON, MOST_COMMON = 16, 4, 1 << 17
 #: Ranges of hashes in which shingles are counted, in 16 bits each; larger sets than could be counted so are not.
@@ -80,6 +87,24 @@ def _sliced(batch: pa.RecordBatch, size: int = 1 << 20):
         at = stop
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of hashes: a bit is 1 if set in over half of them; 0 of none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(s), 255 << 7):
+        bits = np.unpackbits(s[at : at + (255 << 7)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255  # sums of 255 bits fit a byte
+        ones += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.uint8)
+    return int(np.packbits(ones * 2 > len(s), bitorder="little").view("<i8")[0])
+
+
+def fingerprint_pairs(heads: DataFrame) -> DataFrame:
+    """(u, v), u < v, of rows (node, fp): those of one fingerprint paired with the smallest of them, and these linked by hamming_links."""
+    codes = materialize(heads.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    same = heads.select("fp", F.col("node").alias("v")).join(codes.withColumnRenamed("node", "u"), "fp").where("u < v").select("u", "v")
+    links = hamming_links(codes, FINGERPRINT_BITS)
+    return materialize(same.union(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct(), "fingerprint-pairs")
+
+
 def first_shingles(s: np.ndarray, common: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """The shingles of the set s (sorted) at which a similar document must meet it. common: most frequent first."""
     n = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1
@@ -107,8 +132,8 @@ def may_share(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def _similar(pairs: DataFrame, counts: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those (u, v) of pairs whose texts are similar. counts, texts: one row for each node."""
+def _similar(pairs: DataFrame, counts: DataFrame, texts: DataFrame, threshold: float, label: str) -> DataFrame:
+    """Those (u, v) of pairs whose texts are similar, written. counts, texts: one row for each node."""
 
     def bounded(batches):
         for x in batches:
@@ -136,7 +161,10 @@ def _similar(pairs: DataFrame, counts: DataFrame, texts: DataFrame, threshold: f
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return sides.mapInArrow(run, "u long, v long")
+    links = materialize(sides.mapInArrow(run, "u long, v long"), label)
+    for table in (near, chosen):
+        discard(table)
+    return links
 
 
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -167,25 +195,31 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             sets = [s[i:j] for i, j in zip(ends[:-1], ends[1:])]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             first = [first_shingles(s, shared.value, threshold) for s in sets]
-            described = [pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array([bins(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *described], names=["doc_id", "text_hash", "k", "n", "first", "bins"])
+            described = [pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array([bins(s) for s in sets], pa.binary()), pa.array([fingerprint(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *described], names=["doc_id", "text_hash", "k", "n", "first", "bins", "fp"])
 
-    rows = materialize(texts.mapInArrow(describe, "doc_id long, text_hash long, k binary, n int, first array<long>, bins binary"), "shingles")
+    rows = materialize(texts.mapInArrow(describe, "doc_id long, text_hash long, k binary, n int, first array<long>, bins binary, fp long"), "shingles")
     nodes = materialize(rows.groupBy("k").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("k", F.col("r.doc_id").alias("doc_id"), F.col("r.text_hash").alias("text_hash")), "sets")
-    heads = materialize(rows.join(nodes, ["k", "doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), "text_hash", "n", "first", "bins").dropDuplicates(["node", "text_hash"]), "nodes")
+    heads = materialize(rows.join(nodes, ["k", "doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), "text_hash", "n", "first", "bins", "fp").dropDuplicates(["node", "text_hash"]), "nodes")
     counts = heads.select("node", "n", "bins")
     met = heads.select("node", "n", F.explode("first").alias("s"))
     several = met.groupBy("s").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("s")
     met = materialize(met.join(several, "s", "left_semi").distinct(), "met")
     texts = texts.join(nodes, ["doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), "text", "text_hash").dropDuplicates(["node", "text_hash"])
 
+    marked = fingerprint_pairs(heads.select("node", "fp"))
+    alike = _similar(marked, counts, texts, threshold, "fingerprint-links")
+    components = materialize(connected_components(alike), "connected")
+
     first = None
     for shift in (0.0, 0.5):
         near = met.withColumn("band", F.floor(F.log("n") / -math.log(threshold) + shift))
         pairs = near.join(near.groupBy("s", "band").agg(F.min("node").alias("u")), ["s", "band"]).where("u < node").select("u", F.col("node").alias("v"))
         first = pairs if first is None else first.union(pairs)
-    first = materialize(first.distinct(), "first-pairs")
-    links = materialize(_similar(first, counts, texts, threshold), "first-links")
+    ends = [components.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("u", "x"), ("v", "y"))]
+    apart = first.distinct().join(ends[0], "u", "left").join(ends[1], "v", "left").where("coalesce(x, u) <> coalesce(y, v)").select("u", "v")
+    first = materialize(apart.join(marked, ["u", "v"], "left_anti"), "first-pairs")
+    links = alike.union(_similar(first, counts, texts, threshold, "first-links"))
     components = connected_components(links)
 
     labelled = met.join(components, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("label"))
@@ -194,7 +228,7 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     a, b = (labelled.select("s", *(F.col(c).alias(c + side) for c in ("node", "n", "label"))) for side in "ab")
     sizes = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
     rest = a.join(b, (a.s == b.s) & (F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & sizes).select(F.col("nodea").alias("u"), F.col("nodeb").alias("v")).distinct()
-    more = materialize(_similar(rest.join(first, ["u", "v"], "left_anti"), counts, texts, threshold), "more-links")
+    more = _similar(rest.join(first.union(marked), ["u", "v"], "left_anti"), counts, texts, threshold, "more-links")
     for table in (heads, met, first, labelled):
         discard(table)
     components = connected_components(links.union(more))

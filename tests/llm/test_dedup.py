@@ -270,3 +270,33 @@ def test_bins_bound_what_two_sets_share():
 def test_links_refuse_budgets_that_the_blocks_do_not_cover(spark):
     with pytest.raises(ValueError):
         hamming_links(spark.createDataFrame([], "fp long, node long"), 3)
+
+
+def test_fingerprints_of_sets():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 254, 255, 256, 40000):
+        s = np.sort(rng.integers(-(2**63), 2**63, n, dtype=np.int64))
+        ones = [sum(int(x) >> b & 1 for x in s) for b in range(64)]
+        assert near_dedup.fingerprint(s) % 2**64 == sum(1 << b for b in range(64) if 2 * ones[b] > n)
+
+
+def test_near_copies_are_linked_by_their_fingerprints(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = []
+    for _ in range(12):
+        words = [rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(1500)]
+        docs += [words, [*words[:-1], "end"], ["start", *words[1:]]]
+    sets = [near_dedup.shingles(" ".join(w)) for w in docs]
+    codes = [near_dedup.fingerprint(s) for s in sets] + [5, 5, 5]
+    root = brute_components(codes, lambda a, b: ((a ^ b) % 2**64).bit_count() <= near_dedup.FINGERPRINT_BITS)
+    pairs = [(r.u, r.v) for r in near_dedup.fingerprint_pairs(spark.createDataFrame(list(enumerate(codes)), "node long, fp long")).collect()]
+    linked = {frozenset(p) for p in pairs}
+    assert all(u < v for u, v in pairs) and brute_components(range(len(codes)), lambda a, b: frozenset((a, b)) in linked) == root and len(pairs) > 12
+
+    found, similar = {}, near_dedup._similar
+    monkeypatch.setattr(near_dedup, "_similar", lambda *of: found.setdefault(of[-1], similar(*of)))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_copies(frame).collect()) == [(i, i // 3 * 3) for i in range(36)]
+    by_fingerprint = {frozenset((r.u, r.v)) for r in found["fingerprint-links"].collect()}
+    assert by_fingerprint == {p for p in linked if max(p) < 36} and list(found) == ["fingerprint-links", "first-links", "more-links"]
+    assert not by_fingerprint & {frozenset((r.u, r.v)) for r in found["first-links"].collect()}
