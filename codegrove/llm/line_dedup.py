@@ -510,7 +510,9 @@ def find_repeats(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
     firsts, place = lines.where("tag is not null"), ["doc_id", "rk", "line"]
     similar = firsts.select(*MINE, "rk").join(_similar(docs, firsts, threshold), MINE, "left_semi").select(*place)
     gone = lines.where("tag is null").select(*place).union(similar)
-    return gone.groupBy("doc_id", "rk").agg(F.collect_set("line").alias("lines"))
+    repeats = materialize(gone.groupBy("doc_id", "rk").agg(F.collect_set("line").alias("lines")), "repeats")
+    discard(lines)
+    return repeats
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:

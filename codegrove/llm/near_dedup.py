@@ -132,8 +132,18 @@ def may_share(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def _similar(pairs: DataFrame, counts: DataFrame, texts: DataFrame, threshold: float, label: str) -> DataFrame:
-    """Those (u, v) of pairs whose texts are similar, written. counts, texts: one row for each node."""
+def _chosen(texts: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, text), written, of the nodes in needed. texts: doc_id, text, text_hash; nodes: doc_id, text_hash. A text that is not needed does not travel, unless very many are."""
+    wanted = materialize(nodes.select("doc_id", "text_hash").join(needed, F.col("doc_id") == F.col("node"), "left_semi").distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    found = texts.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["doc_id", "text_hash"], "left_semi")
+    chosen = materialize(found.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("node"), "text"), "compared")
+    discard(wanted)
+    return chosen
+
+
+def _similar(pairs: DataFrame, counts: DataFrame, texts: DataFrame, nodes: DataFrame, threshold: float, label: str) -> DataFrame:
+    """Those (u, v) of pairs whose texts are similar, written. counts: one row for each node; texts, nodes: see _chosen."""
 
     def bounded(batches):
         for x in batches:
@@ -145,10 +155,9 @@ def _similar(pairs: DataFrame, counts: DataFrame, texts: DataFrame, threshold: f
     left, right = (counts.select(F.col("node").alias(k), F.col("n").alias(n), F.col("bins").alias(c)) for k, n, c in (("u", "n", "a"), ("v", "m", "b")))
     near = pairs.join(left, "u").join(right, "v").select("u", "v", "n", "m", "a", "b").mapInArrow(bounded, "u long, v long")
     near = materialize(near, "near-pairs")
-    # only texts of pairs that are left travel
-    needed = near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct()
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed.hint("shuffle_hash")
-    chosen = materialize(texts.join(needed, "node", "left_semi").select("node", "text"), "compared")
+    if near.isEmpty():
+        return near
+    chosen = _chosen(texts, nodes, near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct())
     left, right = chosen.select(F.col("node").alias("u"), F.col("text").alias("a")), chosen.select(F.col("node").alias("v"), F.col("text").alias("b"))
     sides = near.join(left, "u").join(right, "v").select("u", "v", "a", "b")
 
@@ -200,15 +209,16 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     rows = materialize(texts.mapInArrow(describe, "doc_id long, text_hash long, k binary, n int, first array<long>, bins binary, fp long"), "shingles")
     nodes = materialize(rows.groupBy("k").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("k", F.col("r.doc_id").alias("doc_id"), F.col("r.text_hash").alias("text_hash")), "sets")
-    heads = materialize(rows.join(nodes, ["k", "doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), "text_hash", "n", "first", "bins", "fp").dropDuplicates(["node", "text_hash"]), "nodes")
+    of = materialize(rows.select("doc_id", "text_hash", "k").join(nodes.select("k", F.col("doc_id").alias("node")), "k").select("doc_id", "text_hash", "node"), "of")
+    heads = materialize(rows.join(nodes, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("node"), "n", "first", "bins", "fp"), "nodes")
+    discard(rows)
     counts = heads.select("node", "n", "bins")
     met = heads.select("node", "n", F.explode("first").alias("s"))
     several = met.groupBy("s").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("s")
     met = materialize(met.join(several, "s", "left_semi").distinct(), "met")
-    texts = texts.join(nodes, ["doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), "text", "text_hash").dropDuplicates(["node", "text_hash"])
 
     marked = fingerprint_pairs(heads.select("node", "fp"))
-    alike = _similar(marked, counts, texts, threshold, "fingerprint-links")
+    alike = _similar(marked, counts, texts, nodes, threshold, "fingerprint-links")
     components = materialize(connected_components(alike), "connected")
 
     first = None
@@ -219,7 +229,7 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ends = [components.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("u", "x"), ("v", "y"))]
     apart = first.distinct().join(ends[0], "u", "left").join(ends[1], "v", "left").where("coalesce(x, u) <> coalesce(y, v)").select("u", "v")
     first = materialize(apart.join(marked, ["u", "v"], "left_anti"), "first-pairs")
-    links = alike.union(_similar(first, counts, texts, threshold, "first-links"))
+    links = alike.union(_similar(first, counts, texts, nodes, threshold, "first-links"))
     components = connected_components(links)
 
     labelled = met.join(components, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("label"))
@@ -228,9 +238,10 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     a, b = (labelled.select("s", *(F.col(c).alias(c + side) for c in ("node", "n", "label"))) for side in "ab")
     sizes = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
     rest = a.join(b, (a.s == b.s) & (F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & sizes).select(F.col("nodea").alias("u"), F.col("nodeb").alias("v")).distinct()
-    more = _similar(rest.join(first.union(marked), ["u", "v"], "left_anti"), counts, texts, threshold, "more-links")
-    for table in (heads, met, first, labelled):
+    more = _similar(rest.join(first.union(marked), ["u", "v"], "left_anti"), counts, texts, nodes, threshold, "more-links")
+    for table in (heads, met, first, labelled, marked, nodes):
         discard(table)
     components = connected_components(links.union(more))
-    of = rows.select("doc_id", "text_hash", "k").join(nodes.select("k", F.col("doc_id").alias("node")), "k").join(components, "node", "left")
-    return of.select("doc_id", "text_hash", F.coalesce("component", "node").alias("component_id"))
+    copies = materialize(of.join(components, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component_id")), "near-copies")
+    discard(of)
+    return copies

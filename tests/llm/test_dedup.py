@@ -1,6 +1,7 @@
 """SimHash and substring deduplication against brute force."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -300,3 +301,37 @@ def test_near_copies_are_linked_by_their_fingerprints(spark, monkeypatch):
     by_fingerprint = {frozenset((r.u, r.v)) for r in found["fingerprint-links"].collect()}
     assert by_fingerprint == {p for p in linked if max(p) < 36} and list(found) == ["fingerprint-links", "first-links", "more-links"]
     assert not by_fingerprint & {frozenset((r.u, r.v)) for r in found["first-links"].collect()}
+
+
+def test_near_copies_move_and_leave_little(spark, monkeypatch):
+    from codegrove.session import shared_dir
+
+    rng = random.Random(11)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(30)]
+    words[7] = [*words[3][:-1], "end"]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string").repartition(3)
+    plans, write = {}, near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, label, **o: (plans.setdefault(label, []).append(df._jdf.queryExecution().toString()), write(df, label, **o))[1])
+    here, limit = shared_dir(spark).removeprefix("file:"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    before = set(os.listdir(here))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.component_id for r in near_dedup.near_copies(frame).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {i: 3 if i == 7 else i for i in range(30)}
+    # texts meet a small table of the wanted ones, and are not dealt out by themselves
+    assert plans["compared"] and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans["compared"])
+    left = {f.split("-", 1)[1].rsplit("-", 1)[0] for f in set(os.listdir(here)) - before if f.startswith("codegrove-")}
+    assert not left & {"shingles", "sets", "nodes", "met", "compared"}
+
+
+def test_line_dedup_leaves_its_lines_nowhere(spark):
+    from codegrove.llm.line_dedup import dedup_lines
+    from codegrove.session import shared_dir
+
+    here = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(here))
+    rows = dedup_lines(spark.createDataFrame([(1, "a b c d e f\nx"), (2, "a b c d e f\ny")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(1, "a b c d e f\nx"), (2, "y")]
+    assert not [f for f in set(os.listdir(here)) - before if f.startswith("codegrove-lines-")]
