@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from codegrove.llm.common import discard, materialize
+from codegrove.llm.common import discard, materialize, trimmed
 
 THRESHOLD = 0.8
 #: Counters for word frequencies, whatever the vocabulary.
@@ -62,6 +62,8 @@ PARTS = 16
 LONG = 32
 #: Tables of classes up to so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Keys of documents, single numbers, are broadcast up to so many.
+BROADCAST_KEYS = 1_000_000
 
 
 def _mix(h: np.ndarray, by: int) -> np.ndarray:
@@ -181,7 +183,7 @@ def word_levels(docs: DataFrame, counters: int = COUNTERS) -> tuple[np.ndarray,
             level = np.rint(np.log2(np.maximum(total, 1)) * STEPS).astype(np.uint16)
             yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "levels": [total[:1].tobytes() if k < 0 else level.tobytes()]})
 
-    counted = docs.select("text").mapInArrow(count, "block int, at binary, n binary")
+    counted = docs.select("text").mapInArrow(trimmed(count), "block int, at binary, n binary")
     rows = counted.repartition("block").mapInArrow(add, "block int, levels binary").toArrow()  # a row for each block
     out, breaks = np.zeros(-(-counters // BLOCK) * BLOCK, np.uint16), 0
     for k, level in zip(rows["block"].to_pylist(), rows["levels"].to_pylist()):
@@ -309,8 +311,15 @@ def _classes(docs: DataFrame, threshold: float, group: int) -> DataFrame:
         if held:
             yield from bucket(held)
 
-    dealt = docs.mapInArrow(deal, "bucket int, rows binary, prefixes binary, later binary").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "doc_id long, rk long, line int, tag int, n int, b1 long, b2 long, lone int, hot int, prefix array<bigint>")
+    dealt = docs.mapInArrow(trimmed(deal), "bucket int, rows binary, prefixes binary, later binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(trimmed(run), "doc_id long, rk long, line int, tag int, n int, b1 long, b2 long, lone int, hot int, prefix array<bigint>")
+
+
+def _shared(word: np.ndarray) -> np.ndarray:
+    """Where words stand that stand more than once."""
+    order = np.argsort(word)
+    same = word[order[1:]] == word[order[:-1]]
+    return order[np.r_[False, same] | np.r_[same, False]] if len(word) else order
 
 
 def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
@@ -346,7 +355,7 @@ def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
             extent = (col["n"].astype(np.int64)[own] << HALF) | at
             held.append(np.stack([b.column("prefix").flatten().to_numpy()[cold], col["doc_id"][own], place[own], extent, col["b1"][own], col["b2"][own]]))
             count += len(own)
-            if count >= 2 * ENTRIES:
+            if count >= ENTRIES // 2:
                 yield blocks()
                 held, count = [], 0
         if count:
@@ -381,6 +390,7 @@ def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
 
     def bucket(blocks: list[bytes]):
         rows = np.concatenate([np.frombuffer(x, np.int64).reshape(6, -1) for x in blocks], axis=1)
+        rows = rows[:, _shared(rows[0])]  # most words are of one class
         rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
         return partners(dict(zip(("word", "doc_id", "place", "extent", "b1", "b2"), rows)))
 
@@ -396,8 +406,8 @@ def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
         if blocks:
             yield bucket(blocks)
 
-    dealt = firsts.select("doc_id", "line", "tag", "n", "b1", "b2", "lone", "hot", "prefix").mapInArrow(deal, "bucket int, entries binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, line int, tag int, a_doc_id long, a_line int, a_tag int, more boolean")
+    dealt = firsts.select("doc_id", "line", "tag", "n", "b1", "b2", "lone", "hot", "prefix").mapInArrow(trimmed(deal), "bucket int, entries binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), "doc_id long, line int, tag int, a_doc_id long, a_line int, a_tag int, more boolean")
 
 
 def _prefixed(df: DataFrame, p: str) -> DataFrame:
@@ -410,12 +420,16 @@ MINE, THEIRS = PAIR[:3], PAIR[3:]
 
 def _pairs(later: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
     """The same filters as _meet, as a join of entries on their word."""
-    both = later.join(_prefixed(earlier, "a_"), F.col("word") == F.col("a_word")).where(F.struct(*THEIRS) < F.struct(*MINE))
+    both = later.join(_prefixed(earlier, "a_"), F.col("word") == F.col("a_word"))
     need = F.ceil((F.col("n") + F.col("a_n")) * (threshold / (1 + threshold)) - 1e-9)
     apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("a_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("a_b2")))
     ok = F.least("n", "a_n") >= F.greatest("n", "a_n") * threshold - 1e-9
     ok &= (F.least(F.col("n") - F.col("at"), F.col("a_n") - F.col("a_at")) >= need) & (F.col("n") + F.col("a_n") - apart >= 2 * need)
-    return both.where(ok).select(*PAIR)
+    # column by column, the cheapest first: a struct would be built for each pair
+    before = F.lit(False)
+    for mine, theirs in reversed(list(zip(MINE, THEIRS))):
+        before = (F.col(theirs) < F.col(mine)) | ((F.col(theirs) == F.col(mine)) & before)
+    return both.where(before & ok).select(*PAIR)
 
 
 def _rounds(entries: DataFrame, threshold: float) -> DataFrame | None:
@@ -440,9 +454,13 @@ def _rounds(entries: DataFrame, threshold: float) -> DataFrame | None:
     return found
 
 
-def _word_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(doc_id, line, tag, words) of the classes in needed (doc_id, line, tag, rk), read from the first line of each."""
+def _word_sets(docs: DataFrame, needed: DataFrame, few: bool = False) -> DataFrame:
+    """(doc_id, line, tag, words) of the classes in needed (doc_id, line, tag, rk), read from the first line of each. few: they are probably in few documents, so that others need not travel."""
     lines = needed.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("line", "tag")).alias("lines"))
+    if few:
+        lines = materialize(lines, "wanted")
+        if lines.count() <= BROADCAST_KEYS:
+            docs = docs.join(F.broadcast(lines.select("rk").distinct()), "rk", "left_semi")
 
     def run(batches):
         for b in (x.slice(i, 64) for x in batches for i in range(0, x.num_rows, 64)):
@@ -464,11 +482,12 @@ def _word_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return found.dropDuplicates(MINE)
 
 
-def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, threshold: float, few: bool = False) -> DataFrame:
     """Classes (doc_id, line, tag) with a pair whose word sets are similar. A hash table of a partition's wanted lines, not of texts, meets the texts."""
     needed = pairs.select(*MINE).union(pairs.select(*THEIRS)).distinct()
-    sets = materialize(_word_sets(docs, firsts.join(needed, MINE, "left_semi").select(*MINE, "rk")), "word-sets")
-    both = pairs.join(sets, MINE).join(_prefixed(sets, "a_"), THEIRS)
+    needed = needed if few else needed.hint("shuffle_hash")
+    sets = materialize(_word_sets(docs, firsts.join(needed, MINE, "left_semi").select(*MINE, "rk"), few), "word-sets")
+    both = pairs.join(sets.hint("shuffle_hash"), MINE).join(_prefixed(sets, "a_").hint("shuffle_hash"), THEIRS)  # sets are not sorted
     shared = F.size(F.array_intersect("words", "a_words"))
     similar = materialize(both.where(shared >= (F.size("words") + F.size("a_words") - shared) * threshold - 1e-9).select(*MINE).distinct(), "similar")
     discard(sets)
@@ -500,7 +519,7 @@ def _similar(docs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
     again = materialize(_entries(firsts.join(_small(failed), MINE, "left_semi")).select("word", *MEMBER), "again")
     others = _entries(firsts).join(_small(again.select("word").distinct()), "word", "left_semi").select("word", *MEMBER)
     rest = _pairs(again, others, threshold).distinct().join(pairs, PAIR, "left_anti")
-    return found.union(_verified(docs, firsts, materialize(rest, "rest"), threshold))
+    return found.union(_verified(docs, firsts, materialize(rest, "rest"), threshold, few=True))
 
 
 def find_repeats(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
@@ -508,7 +527,7 @@ def find_repeats(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
     plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("b1", "b2", "prefix.list.element")}  # numbers that hardly repeat
     lines = materialize(_classes(docs.where("doc_id is not null"), threshold, group), "lines", **plain)
     firsts, place = lines.where("tag is not null"), ["doc_id", "rk", "line"]
-    similar = firsts.select(*MINE, "rk").join(_similar(docs, firsts, threshold), MINE, "left_semi").select(*place)
+    similar = firsts.select(*MINE, "rk").join(_similar(docs, firsts, threshold).hint("shuffle_hash"), MINE, "left_semi").select(*place)
     gone = lines.where("tag is null").select(*place).union(similar)
     repeats = materialize(gone.groupBy("doc_id", "rk").agg(F.collect_set("line").alias("lines")), "repeats")
     discard(lines)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from codegrove.llm.common import connected_components, discard, materialize
+from codegrove.llm.common import connected_components, discard, materialize, trimmed
 from codegrove.llm.line_dedup import _bytes, _mix, _words
 from codegrove.llm.simhash import hamming_links
 
@@ -170,7 +170,7 @@ def _similar(pairs: DataFrame, counts: DataFrame, texts: DataFrame, nodes: DataF
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    links = materialize(sides.mapInArrow(run, "u long, v long"), label)
+    links = materialize(sides.mapInArrow(trimmed(run), "u long, v long"), label)
     for table in (near, chosen):
         discard(table)
     return links
@@ -207,7 +207,7 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             described = [pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array([bins(s) for s in sets], pa.binary()), pa.array([fingerprint(s) for s in sets], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *described], names=["doc_id", "text_hash", "k", "n", "first", "bins", "fp"])
 
-    rows = materialize(texts.mapInArrow(describe, "doc_id long, text_hash long, k binary, n int, first array<long>, bins binary, fp long"), "shingles")
+    rows = materialize(texts.mapInArrow(trimmed(describe), "doc_id long, text_hash long, k binary, n int, first array<long>, bins binary, fp long"), "shingles")
     nodes = materialize(rows.groupBy("k").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("k", F.col("r.doc_id").alias("doc_id"), F.col("r.text_hash").alias("text_hash")), "sets")
     of = materialize(rows.select("doc_id", "text_hash", "k").join(nodes.select("k", F.col("doc_id").alias("node")), "k").select("doc_id", "text_hash", "node"), "of")
     heads = materialize(rows.join(nodes, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("node"), "n", "first", "bins", "fp"), "nodes")

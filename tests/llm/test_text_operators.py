@@ -364,3 +364,25 @@ def test_words_are_told_apart_like_split():
     assert len(start) == len(expected)
     assert {(w, int(x)) for w, x in zip(expected, h)} == {(w, int(dict(zip(expected, h))[w])) for w in set(expected)}
     assert len(set(h.tolist())) == len(set(expected))
+
+
+def test_words_of_one_entry_are_set_aside():
+    rng = np.random.default_rng(5)
+    for word in (np.zeros(0, np.int64), np.array([3]), np.array([3, 3]), rng.integers(-40, 40, 60), np.full(9, -1)):
+        assert sorted(line_dedup._shared(word).tolist()) == [i for i, w in enumerate(word) if (word == w).sum() > 1]
+
+
+def test_texts_without_wanted_lines_stay_where_they_are(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, 10 * i, f"first line {i}\nand b{i} and A{i} more") for i in range(40)], "doc_id long, rk long, text string")
+    needed = spark.createDataFrame([(i, line, 7, 10 * i) for i, line in ((3, 0), (3, 1), (20, 1))], "doc_id long, line int, tag int, rk long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for keys in (line_dedup.BROADCAST_KEYS, 1):  # too many keys: all texts are dealt out
+            monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", keys)
+            found = line_dedup._word_sets(docs, needed, few=True)
+            assert ("BroadcastHashJoin [rk" in found._jdf.queryExecution().toString()) == (keys > 1)
+            want = {(r.doc_id, r.line): sorted(r.words) for r in line_dedup._word_sets(docs, needed).collect()}
+            assert {(r.doc_id, r.line): sorted(r.words) for r in found.collect()} == want and {k: len(v) for k, v in want.items()} == {(3, 0): 3, (3, 1): 4, (20, 1): 4}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
