@@ -11,9 +11,10 @@ lines are judged against all earlier lines, whether or not those stay.
    mixed word hashes; every line but the first of a class goes.
 3. Each class puts its rarest words, the prefix that two similar sets must share one of,
    into an index, with a 128-bit bitmap of its words; a word that occurs once in all
-   documents is left out, as nobody else has it. Members of an index entry meet,
-   earliest first; a pair passes the length and positional filters and the bound that the
-   bitmaps put on the overlap; a class that has PARTNERS partners is not compared on.
+   documents is left out, as nobody else has it. Members of an index entry meet, those
+   of nearest size first; a pair passes the length and positional filters and the bound
+   that the bitmaps put on the overlap; a class that has PARTNERS partners, the likeliest
+   of those met so far, is not compared on.
    Entries of words counted more than GROUP times are never gathered: they meet in rounds,
    round k with the earliest 16 ** k members, taken by partial aggregation.
 4. Partners are verified by Jaccard on the word sets. A class none of whose partners holds,
@@ -26,8 +27,6 @@ so memory follows the longest line and not the longest text.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -48,17 +47,19 @@ PARTNERS = 8
 #: A line that has words, as it travels: sums of its word hashes, its place, size and bitmap, numbers of prefix words.
 ROW = np.dtype([(k, "<i8") for k in ("k1", "k2", "doc", "rk", "b1", "b2")] + [(k, "<i4") for k in ("line", "n", "lone", "hot", "size")])
 LATER = np.dtype([("doc", "<i8"), ("rk", "<i8"), ("line", "<i4")])
-#: What an entry knows of its class; (doc_id, line, tag) tells and orders classes. The tag, half of k1, only matters for rows that share a doc_id.
+#: What an entry knows of its class; (doc_id, line, tag) tells and orders classes. The tag is the rk of its document and only matters for rows that share a doc_id.
 MEMBER = ["doc_id", "line", "tag", "n", "at", "b1", "b2"]
+#: A member of an index entry is compared with so many smaller and so many larger ones at first, then with twice as many, and so on.
+MEETINGS = 64
 #: Two numbers of so many bits are packed into one long where entries are exchanged.
 HALF = 31
 #: Entries travel in blocks, dealt by word into BUCKETS buckets, or as many as leave about ENTRIES entries in each.
 BUCKETS, ENTRIES = 256, 1 << 18
-#: Bytes of text taken up at once, and bytes hashed at once.
-SLICE, SLAB = 1 << 20, 1 << 18
+#: Bytes of text taken up at once.
+SLICE = 1 << 20
 #: Parts in which the earliest entries of a common word are found before they are merged.
 PARTS = 16
-#: Words of more bytes are hashed one by one.
+#: Words of more bytes, a multiple of eight, are hashed one by one.
 LONG = 32
 #: Tables of classes up to so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -71,43 +72,40 @@ def _mix(h: np.ndarray, by: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-@functools.cache
-def _powers() -> list[np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-    base = 0x9FB21C651E98DF2B
-    return [np.cumprod(np.r_[np.uint64(1), np.full(SLAB + LONG, x, np.uint64)]) for x in (base, pow(base, -1, 1 << 64))]
-
-
 def _words(data: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of UTF-8 bytes start, and 64-bit hashes of them in lower case (A-Z only). docs: offsets of the documents, at which words end.
 
-    A word's hash is a polynomial in its bytes, taken from running sums. Long words, among
-    which such a polynomial has systematic collisions, get XXH3 instead.
+    A word is read as numbers of eight bytes, the last filled up with zeros: the first and
+    the length are mixed, then each further number is added and mixed in. Words of more
+    than LONG bytes get XXH3.
     """
-    powers, inverse = _powers()
-    gap = (data == 32) | (data - np.uint8(9) < 5)
-    first, last = ~gap, ~gap
-    first[1:] &= gap[:-1]
-    last[:-1] &= gap[1:]
-    inner = docs[(docs > 0) & (docs < len(data))]
-    first[inner] = ~gap[inner]
-    last[inner - 1] = ~gap[inner - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    h = np.zeros(len(start), np.uint64)
-    short = end - start <= LONG
-    cuts = np.searchsorted(start, np.arange(0, len(data) + SLAB, SLAB))
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        own = np.arange(a, b)[short[a:b]]
-        if len(own):
-            low, high = start[own[0]], end[own[-1]]
-            total = np.zeros(high - low + 1, np.uint64)
-            part = data[low:high]
-            lower = part + ((part - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
-            np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * powers[: high - low], out=total[1:])
-            h[own] = (total[end[own] - low] - total[start[own] - low]) * inverse[start[own] - low]
-    for i in np.flatnonzero(~short):
-        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes().lower())
-    return start, _mix(h, 0x9E3779B97F4A7C15)
+    size = len(data)
+    if not size:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    lower = np.zeros(size + LONG, np.uint8)  # numbers are read beyond the end
+    np.add(data, (data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5), out=lower[:size])
+    word = (data != 32) & (data - np.uint8(9) >= 5)
+    edges = np.flatnonzero(np.concatenate((word[:1], word[1:] != word[:-1], word[-1:])))  # starts and ends in turn
+    inner = docs[(docs > 0) & (docs < size)]
+    inner = np.unique(inner[word[inner] & word[inner - 1]])
+    if len(inner):
+        edges = np.insert(edges, np.repeat(np.searchsorted(edges, inner), 2), np.repeat(inner, 2))
+    start = np.ascontiguousarray(edges[::2])
+    length = edges[1::2] - start
+    numbers = np.ndarray(size + LONG - 7, np.uint64, lower, strides=(1,))  # the eight bytes from each place
+    masks = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(LONG + 1)], np.uint64)
+    length = np.minimum(length, LONG + 1)
+    h = numbers[start] & masks[np.minimum(length, 8)]
+    h += length.view(np.uint64) * np.uint64(0x9FB21C651E98DF2B)
+    h = _mix(h, 0x9E3779B97F4A7C15)
+    more = np.flatnonzero(length > 8)
+    for k in range(8, LONG, 8):
+        h[more] = _mix(h[more] + (numbers[start[more] + k] & masks[np.minimum(length[more] - k, 8)]), 0xD6E8FEB86659FD93)
+        more = more[length[more] > k + 8]
+    for i in more:
+        end = int(edges[2 * i + 1])
+        h[i] = _mix(np.array([xxhash.xxh3_64_intdigest(lower[start[i] : end].tobytes())], np.uint64), 0x9E3779B97F4A7C15)[0]
+    return start, h
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,16 +117,19 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(line: np.ndarray, h: np.ndarray, levels: np.ndarray | None = None):
-    """Distinct word hashes of many lines: (line, hash, rarity), sorted by line, then rarity, then hash. line and h: of each word."""
+    """Distinct word hashes of many lines: (line, hash, rarity), sorted by line, then rarity, then hash. line and h: of each word; the last word's line is the largest."""
     level = levels[(h % np.uint64(len(levels))).astype(np.int64)] if levels is not None else np.zeros(len(h), np.uint16)
     packed = (line.astype(np.uint64) << np.uint64(42)) | (level.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
     order = np.argsort(packed)
     p, x = packed[order], h[order]
-    if (len(line) and line.max() >= 1 << 22) or ((p[1:] == p[:-1]) & (x[1:] != x[:-1])).any():  # hashes that agree in their upper half
+    new = np.r_[True, p[1:] != p[:-1]] if len(h) else np.zeros(0, bool)
+    if (len(line) and line[-1] >= 1 << 22) or (x[1:] != x[:-1])[~new[1:]].any():  # hashes that agree in their upper half
         order = np.lexsort((h, level, line))
-    line, h, level = line[order], h[order], level[order]
-    new = np.r_[True, (line[1:] != line[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
-    return line[new], h[new], level[new]
+        line, h, level = line[order], h[order], level[order]
+        new = np.r_[True, (line[1:] != line[:-1]) | (h[1:] != h[:-1])]
+        return line[new], h[new], level[new]
+    p = p[new]
+    return (p >> np.uint64(42)).view(np.int64), x[new], (p >> np.uint64(32)).astype(np.uint16) & np.uint16(1023)
 
 
 def _slices(texts: pa.Array, size: int = SLICE):
@@ -198,34 +199,46 @@ def _lines(data: np.ndarray, offsets: np.ndarray, first_line: int, levels: np.nd
     """Of each line that has words: (number of its document, ROW without doc and rk), and all prefixes, end to end."""
     at, h = _words(data, offsets)
     breaks = np.flatnonzero(data == 10)
-    word_doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(at, offsets)))
     opening = np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1)  # number of each document's first line among all lines
-    line, h, level = _sets(np.searchsorted(breaks, at) + word_doc, h, levels)
+    ends = np.sort(np.concatenate((breaks, offsets[1:])))  # of each line
+    line, h, level = _sets(np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(at, ends), prepend=0)), h, levels)
     start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
     rows = np.zeros(len(start), ROW)
     if not len(start):
         return np.zeros(0, np.int64), rows, np.zeros(0, np.int64)
     n = np.diff(np.r_[start, len(line)])
-    rows["k1"], rows["k2"] = (np.add.reduceat(_mix(h, by), start).view(np.int64) for by in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+    rows["k1"], rows["k2"] = (np.add.reduceat(x, start).view(np.int64) for x in (h, _mix(h, 0xC2B2AE3D27D4EB4F)))
     bit = np.uint64(1) << (h & np.uint64(63))
-    upper = (h >> np.uint64(6)) & np.uint64(1) == 1
-    rows["b1"], rows["b2"] = (np.bitwise_or.reduceat(np.where(keep, bit, np.uint64(0)), start).view(np.int64) for keep in (upper, ~upper))
+    upper = -((h >> np.uint64(6)) & np.uint64(1))  # all bits or none
+    rows["b1"], rows["b2"] = (np.bitwise_or.reduceat(bit & keep, start).view(np.int64) for keep in (upper, ~upper))
     prefix = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
     prefix[n / (n + 1) < threshold - 1e-9] = 0  # so short that only equal sets are similar
-    inside = np.arange(len(line)) - np.repeat(start, n) < np.repeat(prefix, n)
-    rows["lone"] = np.add.reduceat(inside & (level == 0), start)  # the rarest, so they come first
-    inside &= level > 0
-    rows["hot"] = np.add.reduceat(inside & (level > common), start)
+    stop = np.cumsum(prefix)
+    inside = np.repeat(start - (stop - prefix), prefix) + np.arange(stop[-1])
+    h, level = h[inside], level[inside]
+    rows["lone"], rows["hot"] = (np.diff(np.r_[0, np.cumsum(x)][np.r_[0, stop]]) for x in (level == 0, (level > 0) & (level > common)))  # the lone are the rarest, so they come first
     rows["size"], rows["n"] = prefix - rows["lone"], n
     doc = np.searchsorted(opening, line[start], side="right") - 1
     rows["line"] = line[start] - opening[doc] + np.where(doc == 0, first_line, 0)
-    return doc, rows, h[inside].view(np.int64)
+    return doc, rows, h[level > 0].view(np.int64)
+
+
+def _ordered(rows: np.ndarray) -> np.ndarray:
+    """Places of rows by class, then document, line and rk."""
+    k1 = np.ascontiguousarray(rows["k1"])
+    order = np.argsort(k1)
+    same = np.diff(k1[order]) == 0
+    tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False]) if len(rows) else order
+    if len(tied):  # most classes are of one line
+        own = rows[order[tied]]
+        order[tied] = order[tied][np.lexsort([own[k] for k in ("rk", "line", "doc", "k2", "k1")])]
+    return order
 
 
 def _reduced(held: list[tuple[np.ndarray, np.ndarray]]):
     """The first row of each class with its prefix, and the other rows, but for repeats of the first itself."""
     rows, prefix = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort([rows[k] for k in ("rk", "line", "doc", "k2", "k1")])
+    order = _ordered(rows)
     size = rows["size"].astype(np.int64)
     begin = np.cumsum(size) - size
     rows = rows[order]
@@ -241,7 +254,7 @@ def _reduced(held: list[tuple[np.ndarray, np.ndarray]]):
 
 
 def _classes(docs: DataFrame, threshold: float, group: int) -> DataFrame:
-    """A row for each class, at its first line: (doc_id, rk, line, tag, n, b1, b2, prefix, lone, hot); and (doc_id, rk, line) of all other lines that have words.
+    """A row for each class, at its first line: (doc_id, line, tag, n, b1, b2, lone, hot, prefix); and (doc_id, line, tag) of all other lines that have words.
 
     lone: number of words before the prefix that occur once in all documents; hot: number
     of words at its end that are common. Rows travel in blocks, reduced to one row of each
@@ -287,14 +300,14 @@ def _classes(docs: DataFrame, threshold: float, group: int) -> DataFrame:
     def bucket(held):
         first, prefix, later = _reduced(held)
         ends = pa.array(np.r_[0, np.cumsum(first["size"])].astype(np.int32))
-        numbers = {"doc_id": first["doc"], "rk": first["rk"], "line": first["line"], "tag": (first["k1"] & 0x7FFFFFFF).astype(np.int32), **{k: first[k] for k in ("n", "b1", "b2", "lone", "hot")}}
+        numbers = {"doc_id": first["doc"], "line": first["line"], "tag": first["rk"], **{k: first[k] for k in ("n", "b1", "b2", "lone", "hot")}}
         yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in numbers.values()), pa.ListArray.from_arrays(ends, pa.array(prefix))], names=[*numbers, "prefix"])
         yield others(later)
 
     def others(later):
-        none = {**dict.fromkeys(("tag", "n"), pa.int32()), **dict.fromkeys(("b1", "b2"), pa.int64()), **dict.fromkeys(("lone", "hot"), pa.int32()), "prefix": pa.list_(pa.int64())}
-        known = [pa.array(np.ascontiguousarray(later[k])) for k in ("doc", "rk", "line")]
-        return pa.RecordBatch.from_arrays([*known, *(pa.nulls(len(later), t) for t in none.values())], names=["doc_id", "rk", "line", *none])
+        none = {"n": pa.int32(), **dict.fromkeys(("b1", "b2"), pa.int64()), **dict.fromkeys(("lone", "hot"), pa.int32()), "prefix": pa.list_(pa.int64())}
+        known = [pa.array(np.ascontiguousarray(later[k])) for k in ("doc", "line", "rk")]
+        return pa.RecordBatch.from_arrays([*known, *(pa.nulls(len(later), t) for t in none.values())], names=[*MINE, *none])
 
     def run(batches):
         held, now = [], None
@@ -312,21 +325,22 @@ def _classes(docs: DataFrame, threshold: float, group: int) -> DataFrame:
             yield from bucket(held)
 
     dealt = docs.mapInArrow(trimmed(deal), "bucket int, rows binary, prefixes binary, later binary").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(trimmed(run), "doc_id long, rk long, line int, tag int, n int, b1 long, b2 long, lone int, hot int, prefix array<bigint>")
+    return dealt.mapInArrow(trimmed(run), "doc_id long, line int, tag long, n int, b1 long, b2 long, lone int, hot int, prefix array<bigint>")
 
 
 def _shared(word: np.ndarray) -> np.ndarray:
-    """Where words stand that stand more than once."""
+    """Where words stand that stand more than once, equal ones together."""
     order = np.argsort(word)
     same = word[order[1:]] == word[order[:-1]]
     return order[np.r_[False, same] | np.r_[same, False]] if len(word) else order
 
 
 def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a class and its earliest partners in each index entry whose word is not common; more: there may be others.
+    """Pairs of a class and earlier partners, PARTNERS at most, in each index entry whose word is not common; more: there may be others.
 
     A bucket is in memory at once. Its words occur at most GROUP times each, and the number
-    of buckets follows the number of entries.
+    of buckets follows the number of entries. Entries meet by the upper half of their word:
+    a pair that only this half makes equal is one more to verify.
     """
     low = (1 << HALF) - 1
     total = firsts.select(F.sum(F.ceil(F.col("n") * (1 - threshold)) + 1)).first()[0] or 0
@@ -337,7 +351,7 @@ def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
 
         def blocks():
             rows = np.concatenate(held, axis=1)
-            bucket = (_mix(rows[0].view(np.uint64), 0xC2B2AE3D27D4EB4F) % np.uint64(buckets)).astype(np.int32)
+            bucket = (_mix(rows[0].view(np.uint64) >> np.uint64(HALF), 0xC2B2AE3D27D4EB4F) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[:, order], bucket[order]
             start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -351,9 +365,9 @@ def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
             at = np.arange(len(own)) - (np.cumsum(sizes) - sizes)[own]
             cold = at < (sizes - col["hot"])[own]
             own, at = own[cold], at[cold] + col["lone"][own[cold]]
-            place = (col["line"].astype(np.int64) << HALF) | col["tag"]
+            word = (b.column("prefix").flatten().to_numpy()[cold] & ~low) | col["line"][own]
             extent = (col["n"].astype(np.int64)[own] << HALF) | at
-            held.append(np.stack([b.column("prefix").flatten().to_numpy()[cold], col["doc_id"][own], place[own], extent, col["b1"][own], col["b2"][own]]))
+            held.append(np.stack([word, col["doc_id"][own], col["tag"][own], extent, col["b1"][own], col["b2"][own]]))
             count += len(own)
             if count >= ENTRIES // 2:
                 yield blocks()
@@ -362,37 +376,52 @@ def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
             yield blocks()
 
     def partners(c: dict[str, np.ndarray]):
-        word = c["word"]
-        start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        head = np.repeat(start, np.diff(np.r_[start, len(word)]))
-        n, at, b1, b2 = (c["extent"] >> HALF).astype(np.int32), (c["extent"] & low).astype(np.int32), c["b1"].view(np.uint64), c["b2"].view(np.uint64)
-        least, most = np.ceil(n * threshold - 1e-9).astype(np.int32), np.floor(n / threshold + 1e-9).astype(np.int32)
-        mine, theirs = [], []
-        rows, j, had = np.arange(len(word)), 0, np.zeros(len(word), np.int32)
+        """c: sorted by word and n; the line is in the lower half of the word. In a pair the smaller or equal set has the word among its first n - 2t / (1 + t) * n words: short. So a member meets short ones of at most its size, and if it is short itself also all larger ones."""
+        word, line, doc, tag, b1, b2 = c["word"] >> HALF, c["word"] & low, c["doc_id"], c["tag"], c["b1"].view(np.uint64), c["b2"].view(np.uint64)
+        n, rest = c["extent"] >> HALF, (c["extent"] >> HALF) - (c["extent"] & low)
+        entry = np.cumsum(np.r_[False, word[1:] != word[:-1]][: len(word)]) << 32
+        least, most = np.ceil(n * threshold - 1e-9).astype(np.int64), np.floor(n / threshold + 1e-9).astype(np.int64)
+        is_short = rest >= np.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9)
+        rows, short, sizes = np.arange(len(word)), np.flatnonzero(is_short), entry + n
+        low_from, low_to = np.searchsorted(sizes[short], entry + least), np.searchsorted(sizes[short], sizes, side="right")
+        high_from, high_to = np.searchsorted(sizes, sizes, side="right"), np.where(is_short, np.searchsorted(sizes, entry + most, side="right"), 0)
+        mine, theirs, had, many = [rows[:0]], [rows[:0]], np.zeros(len(word), np.int64), MEETINGS
         while True:
-            rows = rows[head[rows] + j < rows]
+            on = np.flatnonzero(((low_from < low_to) | (high_from < high_to)) & (had[rows] < PARTNERS))
+            rows, low_from, low_to, high_from, high_to = (x[on] for x in (rows, low_from, low_to, high_from, high_to))
             if not len(rows):
                 break
-            a = head[rows] + j
-            fits = np.flatnonzero((n[a] >= least[rows]) & (n[a] <= most[rows]))
-            r, a = rows[fits], a[fits]
-            both = n[r] + n[a]
-            need = np.ceil(both * (threshold / (1 + threshold)) - 1e-9)
-            apart = np.bitwise_count(b1[r] ^ b1[a]).astype(np.int64) + np.bitwise_count(b2[r] ^ b2[a])
-            ok = (np.minimum(n[r] - at[r], n[a] - at[a]) >= need) & (both - apart >= 2 * need)
-            mine.append(r[ok])
-            theirs.append(a[ok])
-            had[r[ok]] += 1
-            rows, j = rows[had[rows] < PARTNERS], j + 1
-        mine, theirs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (mine, theirs))
-        cols = [x.astype(t) for i in (mine, theirs) for x, t in ((c["doc_id"][i], np.int64), (c["place"][i] >> HALF, np.int32), (c["place"][i] & low, np.int32))]
+            for i in range(0, len(rows), SLICE // many + 1):  # the nearest in size
+                part = slice(i, i + SLICE // many + 1)
+                below, above = (np.clip(to[part] - begin[part], 0, many) for begin, to in ((low_from, low_to), (high_from, high_to)))
+                r = np.concatenate((np.repeat(rows[part], below), np.repeat(rows[part], above)))
+                a = np.concatenate((short[np.repeat(low_to[part] - np.cumsum(below), below) + np.arange(below.sum())], np.repeat(high_from[part] - (np.cumsum(above) - above), above) + np.arange(above.sum())))
+                need = np.ceil((n[r] + n[a]) * (threshold / (1 + threshold)) - 1e-9)
+                ok = np.flatnonzero(np.minimum(rest[r], rest[a]) >= need)
+                r, a, need = r[ok], a[ok], need[ok]
+                apart = np.bitwise_count(b1[r] ^ b1[a]).astype(np.int64) + np.bitwise_count(b2[r] ^ b2[a])
+                ok = n[r] + n[a] - apart >= 2 * need
+                ok &= (doc[a] < doc[r]) | ((doc[a] == doc[r]) & ((line[a] < line[r]) | ((line[a] == line[r]) & (tag[a] < tag[r]))))
+                r, a, apart = r[ok], a[ok], apart[ok]
+                order = np.lexsort((doc[a], apart / (n[r] + n[a]), r))  # the likeliest first, of these the earliest
+                r, a = r[order], a[order]
+                first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]][: len(r)])
+                rank = had[r] + np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
+                had[r] = rank + 1
+                mine.append(r[rank < PARTNERS])
+                theirs.append(a[rank < PARTNERS])
+            low_to, high_from, many = low_to - many, high_from + many, many * 2
+        mine, theirs = np.concatenate(mine), np.concatenate(theirs)
+        cols = [x.astype(t) for i in (mine, theirs) for x, t in ((doc[i], np.int64), (line[i], np.int32), (tag[i], np.int64))]
         return pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), pa.array(had[mine] >= PARTNERS)], names=[*PAIR, "more"])
 
     def bucket(blocks: list[bytes]):
         rows = np.concatenate([np.frombuffer(x, np.int64).reshape(6, -1) for x in blocks], axis=1)
-        rows = rows[:, _shared(rows[0])]  # most words are of one class
-        rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
-        return partners(dict(zip(("word", "doc_id", "place", "extent", "b1", "b2"), rows)))
+        order = _shared(rows[0] >> HALF)  # words of several classes
+        word, extent = rows[0][order] >> HALF, rows[3][order]
+        entry = np.cumsum(np.r_[False, word[1:] != word[:-1]][: len(word)])
+        order = order[np.argsort((entry << 32) | (extent >> HALF))]
+        return partners(dict(zip(("word", "doc_id", "tag", "extent", "b1", "b2"), (x[order] for x in rows))))
 
     def run(batches):
         blocks, now = [], None
@@ -407,7 +436,7 @@ def _meet(firsts: DataFrame, threshold: float) -> DataFrame:
             yield bucket(blocks)
 
     dealt = firsts.select("doc_id", "line", "tag", "n", "b1", "b2", "lone", "hot", "prefix").mapInArrow(trimmed(deal), "bucket int, entries binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), "doc_id long, line int, tag int, a_doc_id long, a_line int, a_tag int, more boolean")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), "doc_id long, line int, tag long, a_doc_id long, a_line int, a_tag long, more boolean")
 
 
 def _prefixed(df: DataFrame, p: str) -> DataFrame:
@@ -455,7 +484,7 @@ def _rounds(entries: DataFrame, threshold: float) -> DataFrame | None:
 
 
 def _word_sets(docs: DataFrame, needed: DataFrame, few: bool = False) -> DataFrame:
-    """(doc_id, line, tag, words) of the classes in needed (doc_id, line, tag, rk), read from the first line of each. few: they are probably in few documents, so that others need not travel."""
+    """(doc_id, line, tag, words) of the classes in needed (doc_id, line, tag, rk), read from the first line of each. few: they are probably in few documents, so that others need not travel. A class may come several times where its row is repeated."""
     lines = needed.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("line", "tag")).alias("lines"))
     if few:
         lines = materialize(lines, "wanted")
@@ -463,7 +492,14 @@ def _word_sets(docs: DataFrame, needed: DataFrame, few: bool = False) -> DataFra
             docs = docs.join(F.broadcast(lines.select("rk").distinct()), "rk", "left_semi")
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()  # repeats of a row are in one task, unless that was split
         for b in (x.slice(i, 64) for x in batches for i in range(0, x.num_rows, 64)):
+            keys = list(zip(b.column("doc_id").to_pylist(), b.column("rk").to_pylist()))
+            new = {k: i for i, k in enumerate(keys) if k not in seen}
+            seen.update(new)
+            if not new:
+                continue
+            b = b.take(pa.array(list(new.values()), pa.int64())) if len(new) < len(keys) else b
             lists = b.column("lines")
             doc = np.repeat(b.column("doc_id").to_numpy(), lists.value_lengths().to_numpy())
             number, tag = lists.flatten().field("line"), lists.flatten().field("tag")
@@ -478,18 +514,32 @@ def _word_sets(docs: DataFrame, needed: DataFrame, few: bool = False) -> DataFra
             cuts = pa.array(np.searchsorted(line, np.arange(len(doc) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(doc), number, tag, pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64)))], names=["doc_id", "line", "tag", "words"])
 
-    found = docs.join(lines.hint("shuffle_hash"), ["doc_id", "rk"]).select("doc_id", "text", "lines").mapInArrow(run, "doc_id long, line int, tag int, words array<bigint>")
-    return found.dropDuplicates(MINE)
+    found = docs.join(lines.hint("shuffle_hash"), ["doc_id", "rk"]).select("doc_id", "rk", "text", "lines")
+    return found.mapInArrow(run, f"doc_id long, line int, tag {needed.schema['tag'].dataType.simpleString()}, words array<bigint>")
+
+
+def _similar_sets(threshold: float):
+    """For mapInArrow: the classes (doc_id, line, tag) of rows whose word sets, words and a_words, are similar."""
+
+    def run(batches):
+        for b in batches:
+            lists = [b.column(c) for c in ("words", "a_words")]
+            sizes = [x.value_lengths().to_numpy().astype(np.int64) for x in lists]
+            row, words = np.concatenate([np.repeat(np.arange(len(n)), n) for n in sizes]), np.concatenate([x.flatten().to_numpy() for x in lists])
+            union = np.bincount(_sets(row, words.view(np.uint64))[0], minlength=b.num_rows)
+            ok = sum(sizes) - union >= union * threshold - 1e-9
+            yield b.select(MINE).filter(pa.array(ok))
+
+    return run
 
 
-def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, threshold: float, few: bool = False) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, threshold: float, few: bool = False) -> DataFrame:
     """Classes (doc_id, line, tag) with a pair whose word sets are similar. A hash table of a partition's wanted lines, not of texts, meets the texts."""
-    needed = pairs.select(*MINE).union(pairs.select(*THEIRS)).distinct()
-    needed = needed if few else needed.hint("shuffle_hash")
-    sets = materialize(_word_sets(docs, firsts.join(needed, MINE, "left_semi").select(*MINE, "rk"), few), "word-sets")
+    needed = pairs.select(*MINE).union(pairs.select(*THEIRS)).distinct().withColumn("rk", F.col("tag"))
+    sets = materialize(_word_sets(docs, needed, few), "word-sets", **{"parquet.enable.dictionary#words.list.element": "false"})
     both = pairs.join(sets.hint("shuffle_hash"), MINE).join(_prefixed(sets, "a_").hint("shuffle_hash"), THEIRS)  # sets are not sorted
-    shared = F.size(F.array_intersect("words", "a_words"))
-    similar = materialize(both.where(shared >= (F.size("words") + F.size("a_words") - shared) * threshold - 1e-9).select(*MINE).distinct(), "similar")
+    similar = both.select(*MINE, "words", "a_words").mapInArrow(_similar_sets(threshold), "doc_id long, line int, tag long")
+    similar = materialize(similar.distinct(), "similar")
     discard(sets)
     return similar
 
@@ -512,24 +562,22 @@ def _similar(docs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
     if common is not None:
         pairs = pairs.union(common.withColumn("more", F.lit(True)))
     pairs = materialize(pairs.groupBy(*PAIR).agg(F.max("more").alias("more")), "pairs")
-    found = _verified(docs, firsts, pairs, threshold)
+    found = _verified(docs, pairs, threshold)
     failed = materialize(pairs.where("more").select(*MINE).distinct().join(found, MINE, "left_anti"), "failed")
     if failed.isEmpty():
         return found
     again = materialize(_entries(firsts.join(_small(failed), MINE, "left_semi")).select("word", *MEMBER), "again")
     others = _entries(firsts).join(_small(again.select("word").distinct()), "word", "left_semi").select("word", *MEMBER)
     rest = _pairs(again, others, threshold).distinct().join(pairs, PAIR, "left_anti")
-    return found.union(_verified(docs, firsts, materialize(rest, "rest"), threshold, few=True))
+    return found.union(_verified(docs, materialize(rest, "rest"), threshold, few=True))
 
 
 def find_repeats(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """(doc_id, rk, lines): numbers of the lines to remove, for each document that loses lines. docs: doc_id, rk, text."""
     plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("b1", "b2", "prefix.list.element")}  # numbers that hardly repeat
     lines = materialize(_classes(docs.where("doc_id is not null"), threshold, group), "lines", **plain)
-    firsts, place = lines.where("tag is not null"), ["doc_id", "rk", "line"]
-    similar = firsts.select(*MINE, "rk").join(_similar(docs, firsts, threshold).hint("shuffle_hash"), MINE, "left_semi").select(*place)
-    gone = lines.where("tag is null").select(*place).union(similar)
-    repeats = materialize(gone.groupBy("doc_id", "rk").agg(F.collect_set("line").alias("lines")), "repeats")
+    gone = lines.where("n is null").select(*MINE).union(_similar(docs, lines.where("n is not null"), threshold))
+    repeats = materialize(gone.groupBy("doc_id", F.col("tag").alias("rk")).agg(F.collect_set("line").alias("lines")), "repeats")
     discard(lines)
     return repeats
 
@@ -555,4 +603,4 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROU
     columns = [kept.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     count = (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("int")
-    return joined.select(*columns, count.alias(n_lines), F.when(loses, F.size("__codegrove_gone")).otherwise(0).alias(n_removed))
+    return joined.select(*columns, F.when(loses, F.size("__codegrove_lines")).otherwise(count).alias(n_lines), F.when(loses, F.size("__codegrove_gone")).otherwise(0).alias(n_removed))

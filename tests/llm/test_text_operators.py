@@ -347,6 +347,36 @@ def test_pipeline_stages(spark):
     assert len(packed) == corpus_pipeline.run(spark, sf).count()
 
 
+def test_likeliest_partners_of_an_entry_are_taken(spark):
+    rows = [(d, 0, d, 10, 0 if d in (11, 100) else 3 << d, 0, 0, 0, [7 << 40]) for d in [*range(12), 100]]  # 11 agrees with 100 in all bits, the others but for two
+    firsts = spark.createDataFrame(rows, "doc_id long, line int, tag long, n int, b1 long, b2 long, lone int, hot int, prefix array<bigint>")
+    got = [r for r in line_dedup._meet(firsts, 0.8).collect() if r.doc_id == 100]
+    assert 11 in {r.a_doc_id for r in got} and len(got) == line_dedup.PARTNERS and all(r.more for r in got)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_meeting_step_by_step_loses_no_link(spark, monkeypatch, threshold):
+    monkeypatch.setattr(line_dedup, "MEETINGS", 1)
+    monkeypatch.setattr(line_dedup, "PARTNERS", 2)
+    rng = random.Random(3)
+    docs = []
+    for d in range(90):  # variants of two long lines, of many sizes
+        words = [f"t{d % 2}w{i}" for i in range(30)]
+        docs.append((d, " ".join(rng.sample(words, rng.randint(20, 30)) + [f"x{rng.randrange(12)}" for _ in range(rng.randint(0, 6))])))
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame([(d, t, 1, "x") for d, t in docs], SCHEMA).repartition(3), threshold).collect()}
+    gone = brute_lines(docs, threshold)
+    assert got == {d: len(gone.get(d, ())) for d, _ in docs} and 20 < len(gone) < 90
+
+
+def test_word_sets_of_repeated_rows_come_once_and_unsorted(spark):
+    docs = spark.createDataFrame([(i % 5, 10 * (i % 5), f"one {i % 5}\ntwo b") for i in range(40)], "doc_id long, rk long, text string")
+    needed = spark.createDataFrame([(i, 1, 10 * i, 10 * i) for i in range(5)], "doc_id long, line int, tag long, rk long")
+    found = line_dedup._word_sets(docs, needed)
+    assert sorted((r.doc_id, r.line, r.tag, len(r.words)) for r in found.collect()) == [(i, 1, 10 * i, 2) for i in range(5)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow")
+
+
 def test_pipeline_keeps_columns_of_any_name(spark):
     rows = [(i, f"one two three\nline {i} of {i * 7}", "en", 5, 99, "x", "y") for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, n_removed long, N_Lines string, __key string")
