@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codegrove.api import Corpus
 from codegrove.operators import links, metrics, renderer, validator
-from codegrove.plans.generated import LINKED, SHAPE, broken_sources, linked_catalog, nation_catalogs, order_functions, part_catalog, supplier_catalog, supplier_modules, verdict_catalog, written
+from codegrove.plans.generated import LINKED, SHAPE, broken_sources, linked_catalog, nation_catalogs, order_functions, part_catalog, prose_sources, supplier_catalog, supplier_modules, verdict_catalog, written
 from codegrove.sources.catalog import scan_catalogs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,9 +259,8 @@ def spoken_numbers(spark, sf_dir):
 
 @_register("q_parse_errors", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def parse_errors(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sources = docs.select(F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
-    return Corpus(sources).errors().groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("lang")).agg(F.count("*").alias("n"))
+    lang = F.when(F.instr("path", "/") > 0, F.expr("substring(path, instr(path, '/') + 1)"))
+    return Corpus(prose_sources(spark, sf_dir)).errors().groupBy(lang.alias("lang")).agg(F.count("*").alias("n"))
 
 
 for _k, _sql in ISSUES.items():

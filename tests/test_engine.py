@@ -339,6 +339,20 @@ def test_streamed_folder(spark, tmp_path):
     assert [r.name for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["too-many-params"]
 
 
+def test_documents_that_are_python_are_counted_as_prose(spark, tmp_path):
+    import duckdb
+
+    from codegrove.plans.queries import ORACLE, QUERIES
+
+    texts = ["Ofreeswhwh### nt%%% erblean%%%", "x = 1\n", "", None, "two words", '"""', "a)", "(", "\ufeff", "def f(): pass\n"]
+    rows = [(k, text, lang) for k, text in enumerate(texts) for lang in ("en", "a/b", "", None)] + [(None, "x", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = set(db.sql(ORACLE["q_parse_errors"]).fetchall())
+    assert {tuple(r) for r in QUERIES["q_parse_errors"](spark, str(tmp_path)).collect()} == want and len(want) == 4
+
+
 def test_entry_points(spark):
     sys.path.insert(0, str(Path(__file__).parents[1]))
     import __spark_entry__ as e
