@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegrove.functions.parser import functions, parse_errors, parse_sources, top_level_functions
+from codegrove.functions.parser import functions, parse_errors, parse_sources, statements, top_level_functions
 from codegrove.operators import links, metrics
 from codegrove.sources.files import read_sources
 
@@ -13,6 +13,7 @@ class Corpus:
     """A parsed corpus. Filter sources before: filters do not pass the parser."""
 
     def __init__(self, sources: DataFrame, thresholds: metrics.Thresholds = metrics.Thresholds()):
+        self.sources = sources
         self.parsed = parse_sources(sources)
         self.thresholds = thresholds
 
@@ -23,6 +24,10 @@ class Corpus:
     def functions(self) -> DataFrame:
         return functions(self.parsed)
 
+    def statements(self) -> DataFrame:
+        """One row per statement of a function."""
+        return statements(parse_sources(self.sources, statements=True))
+
     def errors(self) -> DataFrame:
         return parse_errors(self.parsed)
 

@@ -1,4 +1,7 @@
-"""Per-function metrics and threshold tags, as expressions over a function's statements: no shuffle, no Python."""
+"""Per-function metrics and threshold tags, as expressions over what the parser counted: no shuffle, no Python.
+
+A filter on tags repeats their expressions below it, so they only read columns.
+"""
 
 from __future__ import annotations
 
@@ -36,49 +39,11 @@ def n_params() -> Column:
     return F.col("n_arguments") - F.when(F.col("first_param").isin("self", "cls"), 1).otherwise(0)
 
 
-def sloc() -> Column:
-    """Distinct lines of the top-level statements; a nested scope counts its first line, the docstring none.
-
-    Statements come in source order, so each adds its lines beyond the last one counted.
-    """
-
-    def add(total: Column, s: Column) -> Column:
-        end = F.when(s["is_scope"], s["lineno"]).otherwise(s["end_lineno"])
-        more = F.greatest(end - F.greatest(s["lineno"] - 1, total["last"]), F.lit(0))
-        counted = F.struct((total["n"] + more).alias("n"), F.greatest(total["last"], end).alias("last"))
-        return F.when(s["is_top"] & ~s["is_docstring"], counted).otherwise(total)
-
-    return F.aggregate("statements", F.struct(F.lit(0).alias("n"), F.lit(0).alias("last")), add, lambda total: total["n"])
-
-
-def branches() -> Column:
-    def weight(s: Column) -> Column:
-        n = F.when(s["node"].isin("If", "For", "AsyncFor", "While"), 1).when(s["node"] == "Try", s["n_handlers"]).when(s["node"] == "Match", s["n_cases"]).otherwise(0)
-        return F.when(s["in_star_handler"], 0).otherwise(n)
-
-    return F.aggregate("statements", F.lit(0), lambda n, s: n + weight(s))
-
-
-def _deepest() -> Column:
-    """(depth, line, col) of the first deepest statement; except* statements are not entered. Depth 0 is the function's own place."""
-    start = F.struct(F.lit(0).alias("depth"), F.col("lineno").alias("line"), F.col("col").alias("col"))
-    deeper = lambda best, s: (s["depth"] > best["depth"]) & ~s["in_star"]
-    return F.aggregate("statements", start, lambda best, s: F.when(deeper(best, s), F.struct(s["depth"].alias("depth"), s["lineno"].alias("line"), s["col"].alias("col"))).otherwise(best))
-
-
 def metrics(functions: DataFrame) -> DataFrame:
-    """functions with n_params, max_depth, depth_line, depth_col, sloc and branches in place of statements."""
-    out = functions.withColumn("deepest", _deepest())
-    columns = [c for c in functions.columns if c not in ("statements", "n_arguments", "first_param")]
-    return out.select(
-        *columns,
-        n_params().alias("n_params"),
-        F.col("deepest.depth").alias("max_depth"),
-        F.col("deepest.line").alias("depth_line"),
-        F.col("deepest.col").alias("depth_col"),
-        sloc().alias("sloc"),
-        branches().alias("branches"),
-    )
+    """functions with n_params, max_depth, depth_line, depth_col, sloc and branches in place of the parser's columns for them."""
+    counts = ("max_depth", "depth_line", "depth_col", "sloc", "branches")
+    left_out = (*counts, "n_arguments", "first_param", "statements", "n_statements", "n_top_statements")
+    return functions.select(*(c for c in functions.columns if c not in left_out), n_params().alias("n_params"), *counts)
 
 
 def with_tags(measured: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:

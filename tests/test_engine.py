@@ -3,6 +3,7 @@
 import ast
 import sys
 from pathlib import Path
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,49 @@ def test_bad_files_are_rows(spark):
     assert rows.batch().to_pydict()["path"] == ["y", "z"] and rows.ends == [0, 1, 1]
 
 
+PIECES = ["# lead\n\nx = 1\n", "def f(a, *, b):\n  x = 0\n  y = 1\n", "def f(\n    a,\n    b\n):\n    x = 0\n", "@d\ndef f(a):\n    x = 0\n", "def f(): pass\n", "def f(a):\n    'doc'; y = 2\n    x = 0;\n", "def f():\n    exit()\n    x = 0\n", "@d\n",
+          "def f(self):\n    try:\n        a\n    except* E:\n        for b in c: pass\n    x = 0\n", "def f():\n    def g():\n        pass\n    x = 0\n", "class A:\n    def f(self):\n        x = 0\n", "if a:\n    def f():\n        x = 0\nelse:\n    x = 0\n", "def f():\n    x = (1,\n    2)\n    x = 0\n",
+          "def f():\n    x = 0 \\\n    + 1\n    x = 0\n", "def f(a):\n    match x:\n        case 1:\n            y\n    x = 0\n", "def if(a):\n    x = 0\n", "def f(é):\n\n    # é\n    'doc é'\n    x = 'é'; z = 1\n    x = 0\n", 's = """\ndef f(a):\n    x = 0\n"""\n', "def f():\n    '''\n    x = 0\n    '''\n    x = 0\n", "def f():\n    if a:\n        x\n    elif b:\n        y\n    else:\n        z\n"]
+
+
+def test_known_parts_give_the_rows_of_a_fresh_parse():
+    random, known, fresh, before = Random(1), Rows(), [], 0
+    for k in range(3000):
+        lines = "".join(random.choices(PIECES, k=random.randrange(1, 4))).replace("def f(", f"def f{k % 9}(").splitlines(keepends=True)
+        for _ in range(random.choice((0, 0, 1, 2))):
+            lines.insert(random.randrange(len(lines)), lines.pop(random.randrange(len(lines))))
+        rows = Rows()
+        parse(str(k), "".join(lines), rows)
+        fresh += rows.batch().to_pylist()
+        parse(str(k), "".join(lines), known)
+    assert known.batch().to_pylist() == fresh
+    for r in fresh:
+        body = [s for s in r["statements"] if not s["in_star"]]
+        deepest = max((s["depth"] for s in body), default=0)
+        place = next(((s["lineno"], s["col"]) for s in body if s["depth"] == deepest), None) if deepest else (r["lineno"], r["col"])
+        own = [s for s in r["statements"] if s["is_top"] and not s["is_docstring"]]
+        lines = {x for s in own for x in range(s["lineno"], (s["lineno"] if s["is_scope"] else s["end_lineno"]) + 1)}
+        if r["error"] is None:
+            assert (r["max_depth"], (r["depth_line"], r["depth_col"]), r["sloc"], r["n_statements"], r["n_top_statements"]) == (deepest, place, len(lines), len(r["statements"]), sum(s["is_top"] for s in r["statements"]))
+    assert 500 < sum(r["error"] is not None for r in fresh) < len(fresh) - 2000
+
+
+def test_files_of_known_parts_are_not_parsed_again(monkeypatch):
+    texts, real, rows = [], ast.parse, Rows(statements=False)
+    monkeypatch.setattr(ast, "parse", lambda text: texts.append(text) or real(text))
+    for k in range(1000):
+        parse("p", f"def f{k}({', '.join('abc'[: k % 3])}):\n    # note\n" + "    x = 0\n" * (k % 7 + 1) + f"    if a == {k % 5}:\n        y\n", rows)
+    assert len(texts) < 50 and len(rows.told) == 1000 and len(rows.parts.counted) < 9 * 50
+
+
+def test_filters_on_tags_count_nothing_again(spark):
+    from codegrove.plans.queries import QUERIES
+
+    for name in ("q_god_function", "q_spoken_summary", "q_tags", "q_statements"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "aggregate(" not in plan and "statements:" not in plan and "explode(statements" not in plan
+
+
 def walk(f):
     """Depth, line, SLOC and branches by plain recursion, as a second opinion."""
     best, count, lines = [0, f.lineno], [0], set()
@@ -130,6 +174,11 @@ def test_standard_library_against_plain_recursion(spark):
     assert got == want and len(want) > 2000
 
 
+def test_statements_are_rows(spark):
+    rows = corpus(spark, "def f(a):\n    if a:\n        x\n", "def f(:\n", "def g(a):\n    if a:\n        x\n").statements().orderBy("path", "ord").collect()
+    assert [(r.path, r.ord, r.node, r.lineno, r.depth, r.is_top) for r in rows] == [("p0", 0, "If", 2, 0, True), ("p0", 1, "Expr", 3, 1, False), ("p2", 0, "If", 2, 0, True), ("p2", 1, "Expr", 3, 1, False)]
+
+
 def test_tags_thresholds_and_order(spark):
     body = "".join(f"    if a:\n        x = {i}\n" for i in range(100))
     c = corpus(spark, f"def f(a, b, c, d, e):\n{body}", "def g(self, a, b, c, d): pass\n")
