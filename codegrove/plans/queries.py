@@ -144,9 +144,8 @@ for _query, _name in (("q_deep_nesting", "deep-nesting"), ("q_long_function", "l
 @_register("q_statements", _typed(SHAPES + """, w AS (SELECT k, l + doc + d + 1 + 2 * b AS statements, l + doc + 1 + CASE WHEN b > 0 THEN 1 ELSE 0 END AS top_statements FROM f)
   SELECT 'o' || k AS path, * FROM w""", ("path",), ("statements", "top_statements")))
 def statements(spark, sf_dir):
-    from codegrove.functions.parser import statements as rows
-
-    return rows(_orders(spark, sf_dir).parsed).groupBy("path").agg(F.count("*").alias("statements"), F.count_if("is_top").alias("top_statements"))
+    # files are told by their paths alone, so two files of one path count together
+    return _orders(spark, sf_dir).functions().groupBy("path").agg(F.sum("n_statements").alias("statements"), F.sum("n_top_statements").alias("top_statements"))
 
 
 @_register("q_tag_index", _typed(TAGS + INDEX + " SELECT name AS tag, * FROM i", ("tag", "entry_kind", "entry_id", "entry_title"), ("entry_number",)))
