@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codegrove.api import Corpus
 from codegrove.operators import links, metrics, renderer, validator
-from codegrove.plans.generated import LINKED, SHAPE, broken_sources, linked_catalog, nation_catalogs, order_functions, part_catalog, prose_sources, supplier_catalog, supplier_modules, verdict_catalog, written
+from codegrove.plans.generated import FILE_KEY, LINKED, SHAPE, broken_sources, linked_catalog, nation_catalogs, order_functions, part_catalog, prose_sources, supplier_catalog, supplier_modules, verdict_catalog, written
 from codegrove.sources.catalog import scan_catalogs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,7 +208,7 @@ def file_scan(spark, sf_dir):
     """The same modules as files, read back by a file scan."""
     rows = supplier_modules(spark, sf_dir).select(F.substring("path", 2, 20).cast("long").alias("k"), "content")
     found = Corpus.of_files(spark, written(rows, "sources"), "*.txt").functions()
-    return _longs(found.select(F.regexp_extract("path", "/k=([0-9]+)/", 1).cast("long").alias("k"), "qualified_name", "kind", "container", "fn_ord", "lineno", "end_lineno"))
+    return _longs(found.select(F.regexp_extract("path", FILE_KEY, 1).cast("long").alias("k"), "qualified_name", "kind", "container", "fn_ord", "lineno", "end_lineno"))
 
 
 @_register("q_error_rows", """SELECT 'b' || s_suppkey AS path, CASE s_suppkey % 4 WHEN 1 THEN s_suppkey % 7 + 1 WHEN 3 THEN 1 END AS lineno, s_suppkey % 4 = 2 AS not_utf8 FROM supplier WHERE s_suppkey % 4 <> 0""")
@@ -224,14 +224,14 @@ _USABLE = "s_nationkey % 6 < 4"
   UNION ALL SELECT DISTINCT s_nationkey, 'candidate', 0, 'c' || s_nationkey, NULL, 'Candidate', NULL, false, '' FROM supplier WHERE {_USABLE}""")
 def catalog_scan(spark, sf_dir):
     entries, _ = scan_catalogs(spark, written(nation_catalogs(spark, sf_dir), "catalogs"), "*.txt")
-    key = F.regexp_extract("catalog", "/k=([0-9]+)/", 1).cast("int").alias("k")
+    key = F.regexp_extract("catalog", FILE_KEY, 1).cast("int").alias("k")
     return entries.select(key, "kind", F.col("ord").cast("long").alias("ord"), "id", F.col("number").cast("long").alias("number"), "title", "status", "v01_priority", F.array_join("related_tags", ",").alias("tags"))
 
 
 @_register("q_catalog_problems", """SELECT DISTINCT s_nationkey AS k, s_nationkey % 6 = 4 AS no_mapping, s_nationkey % 6 = 5 AS other_version, s_nationkey % 6 = 5 AS lacks_fields FROM supplier WHERE s_nationkey % 6 >= 4""")
 def catalog_problems(spark, sf_dir):
     _, problems = scan_catalogs(spark, written(nation_catalogs(spark, sf_dir), "catalogs"), "*.txt")
-    key = F.regexp_extract("catalog", "/k=([0-9]+)/", 1).cast("int").alias("k")
+    key = F.regexp_extract("catalog", FILE_KEY, 1).cast("int").alias("k")
     return problems.select(key, F.col("msg").contains("mapping").alias("no_mapping"), F.col("msg").contains("only v1").alias("other_version"), F.col("msg").contains("lacks number, title, status").alias("lacks_fields"))
 
 
@@ -240,7 +240,7 @@ def catalog_problems(spark, sf_dir):
 def validate_catalogs(spark, sf_dir):
     entries, _ = scan_catalogs(spark, written(nation_catalogs(spark, sf_dir), "catalogs"), "*.txt")
     issues = validator.validate(entries)
-    return issues.select(F.regexp_extract("catalog", "/k=([0-9]+)/", 1).cast("int").alias("k"), "rule", "entity")
+    return issues.select(F.regexp_extract("catalog", FILE_KEY, 1).cast("int").alias("k"), "rule", "entity")
 
 
 @_register("q_spoken_summary", TAGS + """, a AS (SELECT k, count(*) AS n, string_agg(replace(name, '-', ' '), ', ' ORDER BY detector_ord) AS said FROM t GROUP BY k)

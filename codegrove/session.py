@@ -33,3 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codegrove-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
+
+
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """A path as the machine's own file system names it, or None where another file system holds it."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    scheme = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
+    return there.toUri().getPath() if scheme == "file" else None

@@ -348,6 +348,26 @@ def test_files_and_catalogs_are_scanned(spark, tmp_path):
     assert renderer.render(entries).count() == 2
 
 
+def test_unlinked_tags_are_not_dealt_out_by_name(spark):
+    from codegrove.plans.queries import QUERIES
+
+    plan = QUERIES["q_unlinked_tags"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_written_files_are_one_for_each_key(spark, tmp_path, monkeypatch):
+    from codegrove.plans import generated, queries
+
+    rows = spark.range(300).selectExpr("id AS k", "concat('def f', id, '(): pass\\n# é\\n') AS content").repartition(3)
+    path = generated.written(rows.union(rows.limit(0)).union(spark.createDataFrame([(7, "def g(): pass\n")], "k long, content string")), "test")
+    files = {p.name: p for p in Path(generated.local_path(spark, path)).glob("*/*")}
+    assert set(files) == {f"k={k}.txt" for k in range(300)} and sorted(files["k=7.txt"].read_text().splitlines()) == ["# é", "def f7(): pass", "def g(): pass"]
+    assert Corpus.of_files(spark, path, "*.txt").functions().count() == 301
+    here, there = [], queries.QUERIES["q_file_scan"](spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(generated, "local_path", lambda spark, path: here.append(path))
+    assert sorted(queries.QUERIES["q_file_scan"](spark, "/root/testdata/sf0.001").collect()) == sorted(there) and here and len({r.k for r in there}) == 10
+
+
 def test_too_many_entries_of_a_tag_are_refused(spark, monkeypatch):
     monkeypatch.setattr(links, "MAX_LINKS", 1)
     with pytest.raises(Exception, match="too many catalog entries"):
