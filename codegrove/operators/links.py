@@ -55,8 +55,8 @@ def links(probed: DataFrame) -> DataFrame:
 
 
 def unlinked_tags(tag_rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """Tags that no catalog entry claims."""
-    return tag_rows.join(tag_index(entries).select(F.col("tag").alias("name")).distinct(), "name", "left_anti")
+    """Tags that no catalog entry claims. The names that a catalog claims are broadcast: tags have few names, by which they would be dealt out to as few tasks."""
+    return tag_rows.join(F.broadcast(tag_index(entries).select(F.col("tag").alias("name")).distinct()), "name", "left_anti")
 
 
 def with_report(probed: DataFrame) -> DataFrame:
